@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import ngram_join
+from palimpsest.llm import decontaminate, ngram_join
 
 QUERIES = {
+    "op4_benchmark_decontamination": decontaminate.query,
     "op6_ngram_jaccard_join": ngram_join.query,
 }
 
