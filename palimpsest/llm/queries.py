@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, ngram_join
+from palimpsest.llm import decontaminate, ngram_join, token_counts
 
 QUERIES = {
     "op4_benchmark_decontamination": decontaminate.query,
     "op6_ngram_jaccard_join": ngram_join.query,
+    "op10_token_counts": token_counts.query,
 }
 
 ORACLES: dict[str, str] = {}
