@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, decontaminate, ngram_join, ppm, token_counts
+from palimpsest.llm import bpe, decontaminate, ngram_join, ppm, token_counts, toxicity
 
 QUERIES = {
     "op3_byte_level_bpe": bpe.query,
     "op4_benchmark_decontamination": decontaminate.query,
     "op6_ngram_jaccard_join": ngram_join.query,
     "op7_ppm_scores": ppm.query,
+    "op9_toxicity": toxicity.query,
     "op10_token_counts": token_counts.query,
 }
 
