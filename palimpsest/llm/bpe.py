@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from palimpsest.llm.bytewords import chunked
 from palimpsest.llm.common import only
-from palimpsest.llm.pretokens import splitter
+from palimpsest.llm.pretokens import Recent, splitter
 
 #: Distinct pieces whose ids a worker keeps between batches, and pieces in one recursive query.
 CACHE_WORDS = 300_000
@@ -131,7 +131,7 @@ class Coder:
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.name = {i: str(i) for i in ranks.values()}
         self.split = splitter(pattern)
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known = Recent(CACHE_WORDS)  # tokens, ids as text, decoded bytes
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "preserve_insertion_order": False})
         self.db.execute("create table merges(a int, b int, merged int)")
         self.db.execute("create table vocabulary(id int, chars varchar)")
@@ -158,10 +158,7 @@ class Coder:
             self.known[pieces[word]] = (len(ids), " ".join([name[i] for i in ids]), chars.encode("latin-1"))
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(pieces)
+        new = self.known.missing(pieces)
         short = [p for p in new if len(p) <= LONG // 4]
         for k in range(0, len(short), QUERY_WORDS):
             self._run(short[k : k + QUERY_WORDS], SHORT_QUERY)

@@ -40,3 +40,25 @@ def splitter(pattern: str, latin: bool = True):
         return [general(t) if w else find(t) for t, w in zip(texts, wide.tolist(), strict=True)]
 
     return run
+
+
+class Recent(dict):
+    """Values of pieces seen lately: all of the last ``most`` or more, at most twice as many, and the current batch."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """Pieces that must be computed; those of the older half move to the newer one."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        out, older = [], self.older
+        for p in pieces:
+            if p not in self:
+                if p in older:
+                    self[p] = older[p]
+                else:
+                    out.append(p)
+        return out
