@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, decontaminate, ngram_join, ppm, token_counts, toxicity
+from palimpsest.llm import bpe, decontaminate, ngram_join, pii, ppm, token_counts, toxicity
 
 QUERIES = {
+    "op2_personal_data": pii.query,
     "op3_byte_level_bpe": bpe.query,
     "op4_benchmark_decontamination": decontaminate.query,
     "op6_ngram_jaccard_join": ngram_join.query,
