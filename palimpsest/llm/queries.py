@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, decontaminate, ngram_join, pii, ppm, token_counts, toxicity
+from palimpsest.llm import bpe, decontaminate, langid, ngram_join, pii, ppm, token_counts, toxicity
 
 QUERIES = {
+    "op1_language_id": langid.query,
     "op2_personal_data": pii.query,
     "op3_byte_level_bpe": bpe.query,
     "op4_benchmark_decontamination": decontaminate.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_ppm_scores": ppm.query,
     "op9_toxicity": toxicity.query,
     "op10_token_counts": token_counts.query,
+    "language_id_pages": langid.pages_query,
 }
 
 ORACLES: dict[str, str] = {}
