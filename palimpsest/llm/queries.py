@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, decontaminate, langid, ngram_join, pii, ppm, token_counts, toxicity
+from palimpsest.llm import bpe, decontaminate, html_text, langid, ngram_join, pii, ppm, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_benchmark_decontamination": decontaminate.query,
     "op6_ngram_jaccard_join": ngram_join.query,
     "op7_ppm_scores": ppm.query,
+    "op8_html_text": html_text.query,
     "op9_toxicity": toxicity.query,
     "op10_token_counts": token_counts.query,
     "language_id_pages": langid.pages_query,
