@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, decontaminate, html_text, langid, ngram_join, pii, ppm, token_counts, toxicity
+from palimpsest.llm import bpe, decontaminate, html_text, langid, ngram_join, pii, ppm, token_counts, toxicity, vector_dedup
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op2_personal_data": pii.query,
     "op3_byte_level_bpe": bpe.query,
     "op4_benchmark_decontamination": decontaminate.query,
+    "op5_vector_dedup": vector_dedup.query,
     "op6_ngram_jaccard_join": ngram_join.query,
     "op7_ppm_scores": ppm.query,
     "op8_html_text": html_text.query,
