@@ -251,6 +251,18 @@ def _marker(shared):
     return run
 
 
+def _cleaner(shared, place: int):
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            for row, end, data, offsets in chunked(batch.column(place)):
+                keep = np.ones(end - row, bool)
+                keep[Shard(index, Words(data, offsets, ALNUM)).hits()[3]] = False
+                yield batch.slice(row, end - row).filter(pa.array(keep))
+
+    return run
+
+
 def _finder(shared):
     def run(batches):
         index = shared.value
@@ -332,11 +344,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, l
     return best.select("item_id", "offset", F.col("m.words").alias("words"), (-F.col("m.col2")).alias("doc_id"), (-F.col("m.col3")).alias("at_word"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a benchmark window; rows with a null id are judged by their text like others."""
-    marks = contamination(docs, benchmark)
-    bad = marks.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, column: str = "text", width: int = WIDTH, limit: int = PIECE_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose ``column`` has no benchmark window, with all their columns; nothing is shuffled."""
+    place = docs.columns.index(column)
+    for shared in _indexes(benchmark, width, limit):
+        docs = docs.mapInArrow(_cleaner(shared, place), docs.schema)
+    return docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:

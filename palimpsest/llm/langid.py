@@ -159,9 +159,10 @@ def fuse(rows: DataFrame, counted: DataFrame, languages: list[str]) -> DataFrame
     hosts = hosts.join(domains, "domain", "left").join(by_suffix, "suffix", "left")
     parent = share(smooth(F.coalesce("domain_counts", F.transform(every, lambda _: F.lit(0.0))), F.coalesce("suffix_prior", prior)))
     hosts = hosts.select("host", "counts", parent.alias("parent")).groupBy("host").agg(F.first("parent").alias("parent"), F.array(*[F.sum(F.col("counts")[i]) for i in range(len(languages))]).alias("counts"))
-    hosts = hosts.select(F.col("host").alias("prior_host"), share(smooth(F.col("counts"), F.col("parent"))).alias("host_prior"))
+    hosts = stored(hosts.select(F.col("host").alias("prior_host"), share(smooth(F.col("counts"), F.col("parent"))).alias("host_prior")))
+    # written tables, so that Spark knows their sizes: small ones are broadcast, others joined by key
     # likelihoods of a declared value and a suffix under each language, with one more row spread over unseen values
-    given = lambda key, out: _table(counted, key, languages).select(F.col(key).alias(f"given_{key}"), F.zip_with("counts", F.array(*map(F.lit, whole)), lambda n, t: F.log((n + 0.01) / (t + 1))).alias(out))
+    given = lambda key, out: stored(_table(counted, key, languages).select(F.col(key).alias(f"given_{key}"), F.zip_with("counts", F.array(*map(F.lit, whole)), lambda n, t: F.log((n + 0.01) / (t + 1))).alias(out)))
     rows = rows.join(hosts, F.col("host") == F.col("prior_host"), "left").join(given("declared", "declared_score"), F.col("declared") == F.col("given_declared"), "left").join(given("suffix", "suffix_score"), F.col("suffix") == F.col("given_suffix"), "left")
     none = F.transform(every, lambda _: F.lit(0.0))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
