@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from palimpsest.plans import relational
+
+QUERIES: dict = dict(relational.QUERIES)
+ORACLES: dict[str, str] = dict(relational.ORACLES)
 
 
 def flagship(spark, sf_dir):
