@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import relational
+from palimpsest.plans import relational, versioned
 
-QUERIES: dict = dict(relational.QUERIES)
-ORACLES: dict[str, str] = dict(relational.ORACLES)
+QUERIES: dict = relational.QUERIES | versioned.QUERIES
+ORACLES: dict[str, str] = relational.ORACLES | versioned.ORACLES
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return versioned.live_by_event_type(spark, sf_dir)
