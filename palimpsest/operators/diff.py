@@ -14,9 +14,9 @@ from palimpsest.operators.state import changed_between, winners
 HIDDEN_SCHEMAS = ("checkpoint", "undo_marker")
 
 
-def uuid_hex(change_id: Column) -> Column:
-    """32 hexadecimal digits of a change id: a UUID's, or those of a number."""
-    return F.lower(F.lpad(F.hex(change_id), 32, "0"))
+def uuid_hex(change_id: Column, text: bool = False) -> Column:
+    """32 hexadecimal digits of a change id: a UUID's where it is a text, else those of a number."""
+    return F.lower(F.replace(change_id, F.lit("-"), F.lit(""))) if text else F.lower(F.lpad(F.hex(change_id), 32, "0"))
 
 
 def diff_id(before: Column, after: Column) -> Column:
@@ -77,8 +77,9 @@ def diff(log: Log, before: str, after: str, schema_key: str | None = None, row_p
     both = winners(changed_between(log, sides) if prune else log, sides).withColumn("diff_type", kind_of("a", "b")).filter("diff_type is not null")
     old = F.when(live("a"), F.col("a.change_id"))
     new = F.col("b.change_id")
+    text = dict(log.members.dtypes)["change_id"] == "string"
     return both.select(
-        diff_id(F.when(old.isNotNull(), uuid_hex(old)), F.when(new.isNotNull(), uuid_hex(new))).alias("diff_id"),
+        diff_id(F.when(old.isNotNull(), uuid_hex(old, text)), F.when(new.isNotNull(), uuid_hex(new, text))).alias("diff_id"),
         *IDENTITY,
         "diff_type",
         old.alias("before_change_id"),
