@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from palimpsest.llm.bytewords import chunked
-from palimpsest.llm.common import only
+from palimpsest.llm.common import give_back, only
 from palimpsest.llm.pretokens import Recent, splitter
 
 #: Distinct pieces whose ids a worker keeps between batches, and pieces in one recursive query.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 QUERY_WORDS = 20_000
 LONG = 64
 #: Characters of long pieces in one recursive query, or one piece.
@@ -219,6 +219,8 @@ def _runner(shared, digests: bool):
                     columns += [pa.ListArray.from_arrays(first, flat), pa.array([raw for _, _, raw in coded], pa.binary())]
                     names = ["doc_id", "n_tokens", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        coder.db.execute("drop table if exists encoded")
+        give_back()
 
     return run
 

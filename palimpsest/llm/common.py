@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes that an operator sends to every executor at once.
 BROADCAST_BYTES = 64 << 20
 
+#: Rows and bytes of a batch between Spark and Python: what a worker holds beside its own arrays.
+ARROW_ROWS = 1_000
+ARROW_BYTES = 8 << 20
+
 _fallback: dict[str, str] = {}
 
 
@@ -39,6 +46,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def give_back() -> None:
+    """Returns free memory of a worker to the machine, as workers are used again by later tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes, "CDLL") and sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as written to, and read from, a Parquet table in the shared folder.
 
@@ -51,8 +65,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes in which the session sends texts to Python, unless they are lower already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns, cast; extra columns of any name are left out at the scan."""
+    bounded_batches(df.sparkSession)
     return df.select(*(F.col(name).cast(kind).alias(name) for name, kind in columns.items()))
 
 

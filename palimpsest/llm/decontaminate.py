@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bytewords import ALNUM, Words, chunked, mix
-from palimpsest.llm.common import only
+from palimpsest.llm.common import bounded_batches, give_back, only
 
 WIDTH = 10
 #: Words by which suffixes are picked; the shortest window's length if that is less.
@@ -247,6 +247,7 @@ def _marker(shared):
                     ],
                     names=["doc_id", "text_key", "n_words", "hits", "items"],
                 )
+        give_back()
 
     return run
 
@@ -346,6 +347,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, l
 
 def clean(docs: DataFrame, benchmark: DataFrame, column: str = "text", width: int = WIDTH, limit: int = PIECE_BYTES) -> DataFrame:
     """The rows of ``docs`` whose ``column`` has no benchmark window, with all their columns; nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(column)
     for shared in _indexes(benchmark, width, limit):
         docs = docs.mapInArrow(_cleaner(shared, place), docs.schema)

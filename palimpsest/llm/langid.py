@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bytewords import LOWER, chunked, sums
-from palimpsest.llm.common import stored
+from palimpsest.llm.common import bounded_batches, give_back, stored
 
 BUCKETS = 1 << 14
 SHARE = 0.002
@@ -115,6 +115,7 @@ def _scorer(shared, place: int, schema):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1, dtype=np.int32) * width), pa.array(score.reshape(-1)))
                 names = [n for i, n in enumerate(batch.schema.names) if i not in schema]
                 yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(count)], names=[*names, "text_score", "trigrams"])
+        give_back()
 
     return run
 
@@ -180,6 +181,7 @@ def fuse(rows: DataFrame, counted: DataFrame, languages: list[str]) -> DataFrame
 
 def evidence(rows: DataFrame, text: str, declared: str | None, host: str | None, *keep) -> DataFrame:
     """(kept columns, text, declared, host, domain, suffix) from columns of ``rows``; declared is the primary subtag."""
+    bounded_batches(rows.sparkSession)
     tag = F.lower(F.trim(F.col(declared).cast("string"))) if declared else F.lit(None).cast("string")
     name = F.lower(F.col(host).cast("string")) if host else F.lit(None).cast("string")
     labels = F.split(name, r"\.")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bytewords import ALNUM, Words, chunked, mix, windows
-from palimpsest.llm.common import components, only, stored
+from palimpsest.llm.common import components, give_back, only, stored
 
 #: Classes in one block of a tile; a tile compares two blocks.
 BLOCK = 64
@@ -92,6 +92,7 @@ def _signer(n: int, bands: int, rows: int):
                     [batch.column(0).slice(row, end - row), pa.array(keys, mask=absent), pa.ListArray.from_arrays(where, band.reshape(-1).view(np.int64))],
                     names=["doc_id", "key", "bands"],
                 )
+        give_back()
 
     return run
 

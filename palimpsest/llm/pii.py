@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 
 from palimpsest.llm.bytewords import chunked
-from palimpsest.llm.common import only
+from palimpsest.llm.common import bounded_batches, only
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -258,6 +258,7 @@ def masked(text: str, odd: bool = True) -> str:
 
 def mask(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with personal data in ``column`` masked; other columns, and nulls, stay as they are."""
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(column)
     text = docs.schema[column].dataType.simpleString()
 

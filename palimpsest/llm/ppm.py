@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bytewords import NONSPACE, Words, chunked, sums
-from palimpsest.llm.common import only, stored
+from palimpsest.llm.common import give_back, only, stored
 
 ORDER = 5
 DISCOUNT = 0.3
@@ -233,6 +233,7 @@ def _scorer(shared):
                     part = np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), value, min(1 << 16, end - row - low))
                     score[low : low + len(part)] = part
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, end - row) for i in (0, 2)), pa.array(score)], names=["doc_id", "text_key", "score"])
+        give_back()
 
     return run
 

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from palimpsest.llm.bytewords import chunked
-from palimpsest.llm.common import only
-from palimpsest.llm.pretokens import splitter
+from palimpsest.llm.common import give_back, only
+from palimpsest.llm.pretokens import Recent, splitter
 
 #: Distinct pieces whose counts a worker keeps between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 LIMIT = 512
 
 
@@ -208,13 +208,10 @@ class TextCounter:
     def __init__(self, raw: bytes, pattern: str):
         self.counter = PrefixCounter(raw)
         self.split = splitter(pattern)
-        self.cache: dict[str, bytes] = {}
+        self.cache = Recent(CACHE_WORDS)
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(pieces)
+        new = self.cache.missing(pieces)
         if not new:
             return
         raw = [p.encode("utf-8", "surrogatepass") for p in new]
@@ -330,6 +327,7 @@ def _runner(shared, limit: int, keep: bool):
                 if keep:
                     columns, names = [*columns, pa.array(changes, pa.binary())], [*names, "changes"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     return run
 
