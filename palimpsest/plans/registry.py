@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import relational, versioned
+from palimpsest.plans import documents, relational, versioned
 
-QUERIES: dict = relational.QUERIES | versioned.QUERIES
-ORACLES: dict[str, str] = relational.ORACLES | versioned.ORACLES
+QUERIES: dict = relational.QUERIES | versioned.QUERIES | documents.QUERIES
+ORACLES: dict[str, str] = relational.ORACLES | versioned.ORACLES | documents.ORACLES
 
 
 def flagship(spark, sf_dir):
