@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stored
+from palimpsest.llm.common import bounded_batches, stored
 
 #: A template is on this many differing pages of a host, and on this share of them.
 LEAST_PAGES = 4
@@ -218,14 +218,16 @@ def _parser(batches):
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars, n_removed) of every row of ``pages`` (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    bounded_batches(pages.sparkSession)
     parsed = stored(pages.mapInArrow(_parser, PAGE))
     seen = parsed.select("row_id", "host", "page_key", F.explode("subtrees").alias("subtree"))
     hosts = parsed.groupBy("host", "page_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
     counted = seen.groupBy("host", "subtree", "page_key").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("found"))
     often = counted.filter(F.col("found") >= least_pages).join(hosts, "host").filter(F.col("found") >= F.col("pages") * least_share)
     often = stored(often.select("host", "subtree"))
-    # at most the subtrees of one page meet in a group
-    gone = seen.join(often, ["host", "subtree"]).groupBy("row_id").agg(F.collect_set("subtree").alias("gone"))
+    # at most the subtrees of one page meet in a group; written, so that Spark knows its size and
+    # moves the pages' texts only where it is too large to broadcast
+    gone = stored(seen.join(often, ["host", "subtree"]).groupBy("row_id").agg(F.collect_set("subtree").alias("gone")))
     none = F.array().cast("array<bigint>")
     made = parsed.join(gone, "row_id", "left").withColumn("gone", F.coalesce("gone", none))
     kept = F.expr("filter(blocks, b -> not arrays_overlap(b.path, gone))")
