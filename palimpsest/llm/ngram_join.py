@@ -15,7 +15,8 @@ Words are maximal runs of ASCII digits, ASCII letters (lower-cased) and
 non-ASCII characters.  A text with fewer words than n, but not none, has one
 n-gram of all its words.  A text without words, or null, links with nothing.
 Repeated rows count as copies.  Rows with a null id count as copies of others
-and get the class of their text, but never name a class.
+and get the class of their text, but never name a class.  Rows of one id with
+different texts are told apart.
 """
 
 from __future__ import annotations
@@ -58,6 +59,18 @@ def _sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(words.docs + 1))
 
 
+def _keys(grams: np.ndarray, first: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """A key of each document's set: a sum over its distinct members."""
+    doc = np.repeat(np.arange(len(some)), np.diff(first)[some])
+    order = np.lexsort((grams, doc))
+    grams, doc = grams[order], doc[order]
+    repeated = np.zeros(len(grams), bool)
+    repeated[1:] = (grams[1:] == grams[:-1]) & (doc[1:] == doc[:-1])
+    grams = mix(grams)
+    grams[repeated] = 0
+    return mix(np.add.reduceat(grams, first[some]))
+
+
 def _signer(n: int, bands: int, rows: int):
     multipliers = np.random.default_rng(7).integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -74,23 +87,15 @@ def _signer(n: int, bands: int, rows: int):
                     for k, m in enumerate(multipliers):
                         np.multiply(grams, m, out=work)
                         band[:, k // rows] = mix(band[:, k // rows] * np.uint64(31) + np.minimum.reduceat(work, at) + np.uint64(k + 1))
-                    # the set's key: a sum over its distinct members
-                    doc = np.repeat(np.arange(len(some)), np.diff(first)[some])
-                    order = np.lexsort((grams, doc))
-                    grams, doc = grams[order], doc[order]
-                    repeated = np.zeros(len(grams), bool)
-                    repeated[1:] = (grams[1:] == grams[:-1]) & (doc[1:] == doc[:-1])
-                    grams = mix(grams)
-                    grams[repeated] = 0
-                    key = mix(np.add.reduceat(grams, at))
+                    key = _keys(grams, first, some)
                 keys = np.zeros(end - row, np.int64)
                 keys[some] = key.view(np.int64)
                 absent = np.ones(end - row, bool)
                 absent[some] = False
                 where = np.concatenate([[0], np.cumsum(np.where(absent, 0, bands))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), pa.array(keys, mask=absent), pa.ListArray.from_arrays(where, band.reshape(-1).view(np.int64))],
-                    names=["doc_id", "key", "bands"],
+                    [*(batch.column(i).slice(row, end - row) for i in (0, 2)), pa.array(keys, mask=absent), pa.ListArray.from_arrays(where, band.reshape(-1).view(np.int64))],
+                    names=["doc_id", "text_key", "key", "bands"],
                 )
         give_back()
 
@@ -98,12 +103,22 @@ def _signer(n: int, bands: int, rows: int):
 
 
 def _grams(n: int):
+    """Sets of the rows whose text has the key that is asked for."""
+
     def run(batches):
         for batch in batches:
             for row, end, data, offsets in chunked(batch.column(3)):
-                grams, first = _sets(Words(data, offsets, ALNUM), n)
+                words = Words(data, offsets, ALNUM)
+                grams, first = windows(words.hashes(), words.first, n)
+                some = np.flatnonzero(np.diff(first))
+                if not len(some):
+                    continue
+                own = batch.slice(row, end - row)
+                right = np.zeros(end - row, bool)
+                right[some] = _keys(grams, first, some).view(np.int64) == own.column(0).to_numpy()[some]
+                grams, first = _sets(words, n)
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - row, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(grams))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, end - row) for i in range(3)), raw], names=["rep", "comp", "size", "grams"])
+                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(3)), raw], names=["node", "comp", "size", "grams"]).filter(pa.array(right))
 
     return run
 
@@ -111,7 +126,7 @@ def _grams(n: int):
 def _compare(threshold: float):
     def run(key, group):
         group = group.combine_chunks()
-        rep, comp, size, block = (group[c].to_numpy() for c in ("rep", "comp", "size", "block"))
+        node, comp, size, block = (group[c].to_numpy() for c in ("node", "comp", "size", "block"))
         sets = [np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()]
         n, count = len(sets), np.array([len(x) for x in sets])
         grams, owner = np.concatenate(sets), np.repeat(np.arange(n), count)
@@ -137,7 +152,7 @@ def _compare(threshold: float):
             link &= block[:, None] != block[None, :]  # pairs within a block belong to its own tile
         np.fill_diagonal(link, False)
         root = np.arange(n)
-        rank = np.argsort(np.argsort(rep))
+        rank = np.argsort(np.argsort(node))
         low = rank.copy()
         while True:  # smallest reachable rank
             reach = np.where(link, low[None, :], n).min(1, initial=n)
@@ -146,68 +161,79 @@ def _compare(threshold: float):
                 break
             low = new_low
         root = np.argsort(rank)[low]
-        return pa.table({"rep": rep, "links": (link * size[None, :]).sum(1).astype(np.int64), "root": rep[root]})
+        return pa.table({"node": node, "links": (link * size[None, :]).sum(1).astype(np.int64), "root": node[root]})
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row of ``docs`` (doc_id, text).
-
-    n_links counts the other rows whose n-gram sets have a Jaccard similarity of
-    at least ``threshold`` with this row's, copies included; class_id is the
-    smallest doc_id reachable by such links.  A pair at the threshold is a
-    candidate with probability ``recall`` or more; every link is verified.
-    """
+def _classes(docs: DataFrame, threshold: float, n: int, recall: float) -> DataFrame:
+    """(doc_id, text_key, root, class_id, n_links) of every row; root names the group, also where ids repeat."""
     bands, rows = banding(threshold, recall)
-    docs = only(docs, doc_id="bigint", text="string")
-    signed = stored(docs.mapInArrow(_signer(n, bands, rows), "doc_id bigint, key bigint, bands array<bigint>"))
-    classes = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"))
+    docs = only(docs, doc_id="bigint", text="string").withColumn("text_key", F.xxhash64("text"))
+    signed = stored(docs.mapInArrow(_signer(n, bands, rows), "doc_id bigint, text_key bigint, key bigint, bands array<bigint>"))
+    classes = signed.filter("key is not null").groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"))
     classes = stored(classes)
-    banded = classes.filter("rep is not null").select("rep", F.posexplode("bands").alias("band", "hash"))
-    bucket = banded.groupBy("band", "hash").agg(F.min("rep").alias("low"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    ties = banded.join(bucket, ["band", "hash"]).filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    groups = components(ties).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-    groups = stored(groups.join(classes.select("rep", "size"), "rep"))
+    banded = classes.filter("rep is not null").select("node", F.posexplode("bands").alias("band", "hash"))
+    bucket = banded.groupBy("band", "hash").agg(F.min("node").alias("low"), F.count("*").alias("many")).filter("many > 1").drop("many")
+    ties = banded.join(bucket, ["band", "hash"]).filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    groups = components(ties).withColumnRenamed("root", "comp")
+    groups = stored(groups.join(classes.select("node", "rep", "size"), "node"))
 
     wide = groups.groupBy("comp").agg(F.count("*").alias("width"))
     small = groups.join(wide, "comp").filter(F.col("width") <= BLOCK).count()
     blocks = F.ceil(F.col("width") / BLOCK).cast("int")
-    tiled = groups.join(wide, "comp").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    tiled = groups.join(wide, "comp").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     pack = F.array(F.struct(F.expr(f"pmod(xxhash64(comp), {max(1, math.ceil(small / BLOCK))})").alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
     tiles = F.expr("transform(sequence(0, blocks - 1), x -> struct(comp as g, least(x, block) as i, greatest(x, block) as j))")
-    tiled = tiled.select("rep", "comp", "block", F.when(F.col("width") <= BLOCK, pack).otherwise(tiles).alias("tiles"))
+    tiled = tiled.select("node", "block", F.when(F.col("width") <= BLOCK, pack).otherwise(tiles).alias("tiles"))
 
     # one text for each class in a component; repeated rows of an id are one
-    texts = docs.join(groups.select(F.col("rep").alias("doc_id"), "comp", "size"), "doc_id").select(F.col("doc_id").alias("rep"), "comp", "size", "text")
-    sets = texts.mapInArrow(_grams(n), "rep bigint, comp bigint, size bigint, grams binary")
-    dealt = whole.groupBy("rep", "comp", "size").agg(F.first("grams").alias("grams")) if _repeats(signed) else sets
-    dealt = dealt.join(tiled.drop("comp"), "rep").select("rep", "comp", "size", "grams", "block", F.explode("tiles").alias("t")).select("rep", "comp", "size", "grams", "block", "t.*")
-    verified = stored(dealt.groupBy("g", "i", "j").applyInArrow(_compare(threshold), "rep bigint, links bigint, root bigint"))
+    texts = docs.join(groups.select(F.col("rep").alias("doc_id"), "node", "comp", "size"), "doc_id").select("node", "comp", "size", "text")
+    sets = texts.mapInArrow(_grams(n), "node bigint, comp bigint, size bigint, grams binary")
+    if _repeats(signed):
+        sets = sets.groupBy("node", "comp", "size").agg(F.first("grams").alias("grams"))
+    dealt = sets.join(tiled, "node").select("node", "comp", "size", "grams", "block", F.explode("tiles").alias("t")).select("node", "comp", "size", "grams", "block", "t.*")
+    verified = stored(dealt.groupBy("g", "i", "j").applyInArrow(_compare(threshold), "node bigint, links bigint, root bigint"))
+
+    linked = verified.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(verified.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    named = classes.select("node", "rep", "size").join(linked, "node", "left").join(roots, "node", "left")
+    named = stored(named.select("node", "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")))
+    firsts = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    named = named.drop("rep").join(firsts, "root").withColumnRenamed("node", "key")
+    out = signed.select("doc_id", "text_key", "key").join(named, "key", "left")
+    return out.select("doc_id", "text_key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def _repeats(rows: DataFrame) -> bool:
+    """Whether an id has several rows."""
+    return bool(rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
 
-    linked = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(verified.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = classes.select("key", "rep", "size").join(linked, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("class_id"))
-    out = signed.select("doc_id", "key").join(named, "key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row of ``docs`` (doc_id, text).
 
-def _repeats(signed: DataFrame) -> bool:
-    """Whether an id has several rows."""
-    return bool(signed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    n_links counts the other rows whose n-gram sets have a Jaccard similarity of
+    at least ``threshold`` with this row's, copies included; class_id is the
+    smallest doc_id reachable by such links.  A pair at the threshold is a
+    candidate with probability ``recall`` or more; every link is verified.
+    """
+    return _classes(docs, threshold, n, recall).select("doc_id", "class_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """The rows of ``docs`` that name their class: one document of each group of near duplicates stays.
+def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that of the smallest id.
 
-    Rows with a null id stay.  Of repeated rows of one id, one stays.
+    Rows with a null id stay.  Of repeated rows of one id in a group, one stays.
     """
-    classes = jaccard_classes(docs, threshold, n)
-    gone = classes.filter("doc_id is not null and doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    classes = stored(_classes(docs, threshold, n, recall))
+    own = F.xxhash64(docs["text"].cast("string"))
+    gone = classes.filter("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    left = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (own == gone["gone_key"]), "left_anti")
     if _repeats(classes):
-        left = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+        groups = classes.filter("doc_id is not null").groupBy(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")).agg(F.coalesce(F.first("root"), F.first("text_key")).alias("own_root"))
+        kept = left.join(groups, (left["doc_id"] == groups["own_id"]) & (F.xxhash64(left["text"].cast("string")) == groups["own_key"]))
+        left = kept.dropDuplicates(["own_id", "own_root"]).select(*[left[c] for c in docs.columns]).unionByName(left.filter("doc_id is null"))
     return left
 
 
