@@ -98,7 +98,7 @@ select word, pos, id from state where id >= 0
 """
 
 DECODE = """
-select e.word, list(e.id order by e.pos) as ids, string_agg(v.chars, '' order by e.pos) as chars
+select e.word, string_agg(v.chars, '' order by e.pos) as chars
 from encoded e join vocabulary v on v.id = e.id group by e.word
 """
 
@@ -151,11 +151,15 @@ class Coder:
         pos = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
         self.db.register("tokens", pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), length), "pos": pos.astype(np.int32), "id": self.byte[data]}))
         self.db.execute(f"create or replace temp table encoded as {query}")
-        got = self.db.execute(DECODE).fetchall()
-        self.db.unregister("tokens")
+        got = self.db.execute("select word, pos, id from encoded").fetchnumpy()
+        order = np.lexsort((got["pos"], got["word"]))
         name = self.name
-        for word, ids, chars in got:
-            self.known[pieces[word]] = (len(ids), " ".join([name[i] for i in ids]), chars.encode("latin-1"))
+        ids = [name[i] for i in got["id"][order].tolist()]
+        first = np.searchsorted(got["word"][order], np.arange(len(pieces) + 1)).tolist()
+        for word, chars in self.db.execute(DECODE).fetchall():
+            a, b = first[word], first[word + 1]
+            self.known[pieces[word]] = (b - a, " ".join(ids[a:b]), chars.encode("latin-1"))
+        self.db.unregister("tokens")
 
     def learn(self, pieces: set[str]) -> None:
         new = self.known.missing(pieces)
