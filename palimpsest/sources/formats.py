@@ -54,7 +54,7 @@ def parse_csv(content: bytes, delimiter: str = ",") -> list[dict]:
     rows = [_row("csv_table", "table", 0, {"delimiter": delimiter, "terminator": end, "bom": bom})]
     at, n = 0, 0
     while at < len(text):
-        cells, quoted, closed = [], [], ""
+        cells, quoted, closed, begin = [], [], "", at
         while True:
             if at < len(text) and text[at] == '"':
                 stop = at + 1
@@ -81,21 +81,28 @@ def parse_csv(content: bytes, delimiter: str = ",") -> list[dict]:
             break
         needed = [i for i, c in enumerate(cells) if re.search(rf'["{re.escape(delimiter)}\r\n]', c)]
         layout = ({} if quoted == needed else {"quoted": quoted}) | ({} if closed == end else {"end": closed})
+        if _record({"cells": cells, "layout": layout}, delimiter, end) != text[begin:at]:
+            layout = {"raw": text[begin:at]}  # spelled in a way that cells and quotes don't tell
         rows.append(_row("csv_row", f"r{n}", n + 1, {"cells": cells} | ({"layout": layout} if layout else {})))
         n += 1
     return rows
 
 
+def _record(record: dict, d: str, end: str) -> str:
+    layout = record.get("layout", {})
+    if "raw" in layout:
+        own = json.loads(parse_csv(layout["raw"].encode(), d)[1]["payload"])["cells"]
+        if own == record["cells"]:
+            return layout["raw"]
+    quoted = layout.get("quoted")
+    cells = [f'"{c.replace(chr(34), chr(34) * 2)}"' if (i in quoted if quoted is not None else re.search(rf'["{re.escape(d)}\r\n]', c)) else c for i, c in enumerate(record["cells"])]
+    return d.join(cells) + layout.get("end", end)
+
+
 def serialize_csv(rows: Iterable[dict]) -> bytes:
     rows = list(rows)
     dialect = json.loads(_ordered(rows, "csv_table")[0]["payload"])
-    d, out = dialect["delimiter"], []
-    for r in _ordered(rows, "csv_row"):
-        record = json.loads(r["payload"])
-        layout = record.get("layout", {})
-        quoted = layout.get("quoted")
-        cells = [f'"{c.replace(chr(34), chr(34) * 2)}"' if (i in quoted if quoted is not None else re.search(rf'["{re.escape(d)}\r\n]', c)) else c for i, c in enumerate(record["cells"])]
-        out.append(d.join(cells) + layout.get("end", dialect["terminator"]))
+    out = [_record(json.loads(r["payload"]), dialect["delimiter"], dialect["terminator"]) for r in _ordered(rows, "csv_row")]
     return (b"\xef\xbb\xbf" if dialect["bom"] else b"") + "".join(out).encode()
 
 
