@@ -178,6 +178,7 @@ class Session:
         self.account = account
         self.staged: list[DataFrame] | None = None
         self.closed = False
+        self._known: tuple | None = None
 
     # --- facts
     @property
@@ -202,11 +203,15 @@ class Session:
     # --- schemas
     def schemas(self) -> dict[str, Schema]:
         """Built-in schemas and those registered on this branch."""
+        state = (self.repo.meta.branches[GLOBAL]["commit_id"], self.head, len(self.staged or []), self.staged is not None)
+        if self._known and self._known[0] == state:
+            return self._known[1]
         rows = self.rows("registered_schema").select("snapshot").collect()
         found = dict(BUILTIN)
         for r in rows:
             value = json.loads(json.loads(r[0])["value"])
             found[value["key"]] = Schema.of(value)
+        self._known = state, found
         return found
 
     def schema(self, key: str) -> Schema:
@@ -234,16 +239,18 @@ class Session:
     # --- reads
     def rows(self, key: str | None = None) -> DataFrame:
         """Visible members of the branch: its state over the global branch's, under what is staged."""
-        repo = self.repo
+        repo, graph = self.repo, self.repo.graph()
         heads = [repo.meta.branches[GLOBAL]["commit_id"], self.head]
         tiers = []
         for i, head in enumerate(dict.fromkeys(heads)):
-            log = repo.log(sorted(repo.graph().lineage(head)))
+            log = repo.log(sorted(graph.lineage(head)))
             if key is not None:
                 log = Log(log.changes, log.members.filter(F.col("schema_key") == key), log.commits, log.branches)
-            state = S.winners(log, {"w": head})
-            # a branch's own winner carries its commit, change and metadata along
-            full = log.members.join(state.select(F.col("w.change_id").alias("change_id"), *[F.col(c).alias(f"_{c}") for c in IDENTITY]), "change_id").filter(F.col("row_pk") == F.col("_row_pk")).filter(F.col("schema_key") == F.col("_schema_key")).dropDuplicates(["change_id", *IDENTITY]).drop(*[f"_{c}" for c in IDENTITY])
+            depth = graph.lineage(head)
+            near = self.spark.createDataFrame(list(depth.items()), "commit_id string, depth bigint")
+            rest = [c for c in log.members.columns if c not in IDENTITY]
+            # the nearest version of each row, with all its columns, in one grouped minimum
+            full = log.members.join(near, "commit_id").groupBy(*IDENTITY).agg(F.min_by(F.struct(*rest), "depth").alias("v")).select(*IDENTITY, "v.*")
             tiers.append(full.withColumn("seq", F.lit(i)))
         for i, staged in enumerate(self.staged or []):
             own = staged if key is None else staged.filter(F.col("schema_key") == key)
@@ -262,17 +269,23 @@ class Session:
         more = [F.col("row_pk").alias("sys_row_pk"), F.col("schema_key").alias("sys_schema_key"), F.col("file_id").alias("sys_file_id"), F.col("metadata").alias("sys_metadata"), F.col("updated_at").alias("sys_updated_at"), F.col("change_id").alias("sys_change_id"), F.col("commit_id").alias("sys_commit_id")] if system else []
         return rows.select(*[F.col(f"v.{c.name}").alias(c.name) for c in schema.columns], *more)
 
-    def register_views(self) -> None:
-        """Temporary views of every table, and of branches, changes, commits and checkpoints."""
+    def register_views(self, names: set[str] | None = None) -> None:
+        """Temporary views of the named (or all) tables, and of branches, changes, commits and checkpoints."""
+        wanted = lambda name: names is None or name in names
         for key in self.schemas():
-            if key not in PRIVATE:
+            if key not in PRIVATE and wanted(key):
                 self.table(key, system=True).createOrReplaceTempView(key)
-        log = self.repo.log()
-        log.branches.filter("not hidden").select("id", "name", "hidden", "commit_id").createOrReplaceTempView("branch")
-        log.commits.select(F.col("commit_id").alias("id")).createOrReplaceTempView("commit")
-        log.edges().createOrReplaceTempView("commit_edge")
-        self.repo.changes().createOrReplaceTempView("change")
-        self.repo.checkpoints().createOrReplaceTempView("checkpoint")
+        log = self.repo.log([])
+        if wanted("branch"):
+            log.branches.filter("not hidden").select("id", "name", "hidden", "commit_id").createOrReplaceTempView("branch")
+        if wanted("commit"):
+            log.commits.select(F.col("commit_id").alias("id")).createOrReplaceTempView("commit")
+        if wanted("commit_edge"):
+            log.edges().createOrReplaceTempView("commit_edge")
+        if wanted("change"):
+            self.repo.changes().createOrReplaceTempView("change")
+        if wanted("checkpoint"):
+            self.repo.checkpoints().createOrReplaceTempView("checkpoint")
 
     def information_schema(self) -> dict[str, DataFrame]:
         """columns, tables and table_functions, made from the registered schemas."""
@@ -422,9 +435,9 @@ class Session:
         count = rows.count()
         members = self._pinned(self._member(key, rows, deleted, **more))
         batch = [*(extra or []), members]
-        return self._stage(batch, count, rows)
+        return self._stage(batch, count, rows, {key})
 
-    def _stage(self, batch: list[DataFrame], count: int, rows: DataFrame | None) -> Receipt:
+    def _stage(self, batch: list[DataFrame], count: int, rows: DataFrame | None, touched: set[str] | None = None) -> Receipt:
         if self.closed:
             raise E.TransactionClosed("the session is closed")
         if not count and len(batch) == 1:
@@ -433,7 +446,7 @@ class Session:
         before = list(self.staged or [])
         self.staged = before + batch
         try:
-            self.validate(batch)
+            self.validate(batch, touched)
             commit = self._commit_staged() if own else None
         except Exception:
             self.staged = before
@@ -444,23 +457,21 @@ class Session:
         return Receipt(commit, count, rows)
 
     # --- constraints
-    def validate(self, batch: list[DataFrame]) -> None:
+    def validate(self, batch: list[DataFrame], touched: set[str] | None = None) -> None:
         """Not-null, unique and foreign keys of the tables that the batch touches, on the state it leads to."""
-        touched = {r[0] for b in batch for r in b.select("schema_key").distinct().collect()}
+        touched = touched or {r[0] for b in batch for r in b.select("schema_key").distinct().collect()}
         schemas = self.schemas()
         for key in sorted(touched & set(schemas)):
             schema = schemas[key]
             rows = self._typed(key)
-            required = [c.name for c in schema.columns if not c.nullable]
-            bad = None
-            for name in required:
-                bad = F.col(name).isNull() if bad is None else bad | F.col(name).isNull()
-            if bad is not None and rows.filter(bad).limit(1).count():
+            # all row checks in one job
+            empty = [F.max(F.col(c.name).isNull().cast("int")) for c in schema.columns if not c.nullable]
+            odd = [F.max((F.isnan(c.name) | (F.abs(c.name) == float("inf"))).cast("int")) for c in schema.columns if c.type == "float8"]
+            seen = rows.agg(F.greatest(F.lit(0), F.lit(0), *empty), F.greatest(F.lit(0), F.lit(0), *odd)).first()
+            if seen[0]:
                 raise E.NotNullViolation(key)
-            finite = [c.name for c in schema.columns if c.type == "float8"]
-            for name in finite:
-                if rows.filter(F.isnan(name) | (F.abs(name) == float("inf"))).limit(1).count():
-                    raise E.TypeMismatch(f"{key}.{name} must be finite")
+            if seen[1]:
+                raise E.TypeMismatch(f"{key}: floats must be finite")
             for group in schema.unique:
                 filled = rows.dropna(subset=list(group))
                 if filled.groupBy(*group).count().filter("count > 1").limit(1).count():
