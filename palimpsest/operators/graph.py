@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.errors import AmbiguousMergeBase, CommitNotFound, NoCommonHistory
 from palimpsest.operators.log import Log
-from palimpsest.sources.store import stored
+from palimpsest.sources.store import local, stored
 
 SMALL = 1_000_000
 DEPTHS = "commit_id string, depth bigint"
@@ -87,7 +87,7 @@ class Graph:
 
 
 def _frame(spark: SparkSession, depth: dict[str, int]) -> DataFrame:
-    return spark.createDataFrame(list(depth.items()), DEPTHS)
+    return local(spark, list(depth.items()), DEPTHS)
 
 
 def _is_small(log: Log) -> bool:
@@ -123,7 +123,7 @@ def lineage(log: Log, commit: str) -> DataFrame:
 def best_common_ancestors(log: Log, left: str, right: str) -> DataFrame:
     """(commit_id) of the best common ancestors."""
     if _is_small(log):
-        return log.spark.createDataFrame([(c,) for c in Graph.of(log).best_common(left, right)], "commit_id string")
+        return local(log.spark, [(c,) for c in Graph.of(log).best_common(left, right)], "commit_id string")
     common = stored(ancestry(log, left).select("commit_id").join(ancestry(log, right).select("commit_id"), "commit_id"))
     parents = common.join(log.edges(), F.col("commit_id") == F.col("child_id")).select(F.col("parent_id").alias("commit_id")).distinct()
     below = walk(log.edges(), parents).select("commit_id").distinct()

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.store import local, stored
+
 #: What names a row.
 IDENTITY = ("schema_key", "file_id", "row_pk")
 
@@ -64,11 +66,24 @@ def fixture_commits(spark: SparkSession) -> DataFrame:
     rows += [("D11", 10, ["M10"])] + [(f"D{d}", d - 1, [f"D{d - 1}"]) for d in (12, 13)]
     rows += [("X13", 13, [TARGET, SOURCE]), ("M14", 14, ["X13"])]
     rows += [(f"M{d}", d, [f"M{d - 1}"]) for d in range(15, LAST_DAY + 1)]
-    return spark.createDataFrame(rows, COMMITS)
+    return local(spark, rows, COMMITS)
+
+
+_logs: dict[tuple[str, str], Log] = {}
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Log:
-    """The log derived from the events table; X13's members are what the merge takes from the source."""
+    """The log derived from the events table, whose members are written once for a session.
+
+    X13's members are what the merge takes from the source, as a merge writes them.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _logs:
+        _logs[key] = _derive(spark, sf_dir)
+    return _logs[key]
+
+
+def _derive(spark: SparkSession, sf_dir: str) -> Log:
     from palimpsest.operators.merge import merge_plan
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -86,10 +101,11 @@ def fixture(spark: SparkSession, sf_dir: str) -> Log:
     )
     members = latest_per_row(changes, "updated_at", "change_id")
     commits = fixture_commits(spark)
-    branches = spark.createDataFrame([("main", "main", False, "M30", "M10"), ("draft", "draft", False, "D13", "M10")], BRANCHES)
+    branches = local(spark, [("main", "main", False, "M30", "M10"), ("draft", "draft", False, "D13", "M10")], BRANCHES)
+    members = stored(members)
     base = Log(changes, members, commits, branches)
     plan = merge_plan(base, MERGE_BASE, TARGET, SOURCE)
     # a conflict goes to the later change as a whole
     taken = plan.filter((F.col("action") == "pick") | ((F.col("action") == "conflict") & (F.struct("source_updated_at", "source_change_id") > F.struct("target_updated_at", "target_change_id"))))
     merged = taken.select(F.lit("X13").alias("commit_id"), *IDENTITY, F.col("source_updated_at").alias("updated_at"), F.col("source_change_id").alias("change_id"), F.col("source_deleted").alias("deleted"), F.col("source_snapshot").alias("snapshot"))
-    return Log(changes, members.unionByName(merged.select(*members.columns)), commits, branches)
+    return Log(changes, members.unionByName(stored(merged.select(*members.columns))), commits, branches)

@@ -13,10 +13,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palimpsest.operators.graph import Graph, _is_small, lineage
 from palimpsest.operators.log import IDENTITY, Log
+from palimpsest.sources.store import local
 
 VERSION = ("change_id", "deleted", "snapshot", "updated_at")
 
@@ -36,8 +36,7 @@ def _depths(log: Log, commits: dict[str, str]) -> DataFrame:
         graph = Graph.of(log)
         lines = {name: graph.lineage(commit) for name, commit in commits.items()}
         every = sorted(set().union(*lines.values()))
-        schema = T.StructType([T.StructField("commit_id", T.StringType()), *[T.StructField(f"{name}_depth", T.LongType()) for name in commits]])
-        return log.spark.createDataFrame([(c, *[lines[name].get(c) for name in commits]) for c in every], schema)
+        return local(log.spark, [(c, *[lines[name].get(c) for name in commits]) for c in every], ", ".join(["commit_id string", *[f"{name}_depth bigint" for name in commits]]))
     frames = [lineage(log, commit).withColumnRenamed("depth", f"{name}_depth") for name, commit in commits.items()]
     return reduce(lambda a, b: a.join(b, "commit_id", "full"), frames)
 

@@ -35,6 +35,7 @@ from palimpsest.operators.graph import Graph
 from palimpsest.operators.log import BRANCHES, COMMITS, IDENTITY, Log
 from palimpsest.schema import BUILTIN, PRIVATE, Schema, amend
 from palimpsest.sources.files import FileSystem
+from palimpsest.sources.store import local, stored
 
 MEMBER = "commit_id string, schema_key string, file_id string, row_pk string, change_id string, account_id string, deleted boolean, snapshot string, metadata string, updated_at timestamp, origin_key string"
 GLOBAL = "global"
@@ -127,14 +128,14 @@ class Repository:
     def members(self, commits: Iterable[str] | None = None) -> DataFrame:
         wanted = [c for c in (self.meta.commits if commits is None else commits) if self.meta.commits[c]["members"]]
         if not wanted:
-            return self.spark.createDataFrame([], MEMBER)
+            return local(self.spark, [], MEMBER)
         return self.spark.read.schema(MEMBER).parquet(*[f"{self.path}/commits/{c}" for c in wanted])
 
     def log(self, commits: Iterable[str] | None = None) -> Log:
         """The log, read from the members of the given commits only."""
         members = self.members(commits)
-        graph = self.spark.createDataFrame([(c["id"], c["generation"], c["parents"]) for c in self.meta.commits.values()], COMMITS)
-        heads = self.spark.createDataFrame([(b["id"], b["name"], b["hidden"], b["commit_id"], b["checkpoint_commit_id"]) for b in self.meta.branches.values()], BRANCHES)
+        graph = local(self.spark, [(c["id"], c["generation"], c["parents"]) for c in self.meta.commits.values()], COMMITS)
+        heads = local(self.spark, [(b["id"], b["name"], b["hidden"], b["commit_id"], b["checkpoint_commit_id"]) for b in self.meta.branches.values()], BRANCHES)
         return Log(members, members, graph, heads)
 
     def lineage_log(self, *commits: str) -> Log:
@@ -247,7 +248,7 @@ class Session:
             if key is not None:
                 log = Log(log.changes, log.members.filter(F.col("schema_key") == key), log.commits, log.branches)
             depth = graph.lineage(head)
-            near = self.spark.createDataFrame(list(depth.items()), "commit_id string, depth bigint")
+            near = local(self.spark, list(depth.items()), "commit_id string, depth bigint")
             rest = [c for c in log.members.columns if c not in IDENTITY]
             # the nearest version of each row, with all its columns, in one grouped minimum
             full = log.members.join(near, "commit_id").groupBy(*IDENTITY).agg(F.min_by(F.struct(*rest), "depth").alias("v")).select(*IDENTITY, "v.*")
@@ -425,8 +426,6 @@ class Session:
 
     def _pinned(self, rows: DataFrame) -> DataFrame:
         """Rows that stay as they are when read again: volatile defaults are drawn once."""
-        from palimpsest.sources.store import stored
-
         return stored(rows)
 
     def _write(self, key: str, rows: DataFrame, deleted: bool, extra: list[DataFrame] | None = None, **more) -> Receipt:

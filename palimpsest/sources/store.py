@@ -6,7 +6,10 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _fallback: dict[str, str] = {}
 
@@ -30,6 +33,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as part of the plan: no tasks run to read them, and Spark knows their size."""
+    kind = T._parse_datatype_string(schema)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kind)
+    table = pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, kind, strict=True)], names=kind.names)
+    return spark.createDataFrame(table, kind)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as written to, and read from, a Parquet table in the shared folder; this cuts the lineage."""
     spark = df.sparkSession
