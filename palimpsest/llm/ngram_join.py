@@ -187,8 +187,9 @@ def _classes(docs: DataFrame, threshold: float, n: int, recall: float) -> DataFr
     tiles = F.expr("transform(sequence(0, blocks - 1), x -> struct(comp as g, least(x, block) as i, greatest(x, block) as j))")
     tiled = tiled.select("node", "block", F.when(F.col("width") <= BLOCK, pack).otherwise(tiles).alias("tiles"))
 
-    # one text for each class in a component; repeated rows of an id are one
-    texts = docs.join(groups.select(F.col("rep").alias("doc_id"), "node", "comp", "size"), "doc_id").select("node", "comp", "size", "text")
+    # one text for each class in a component; repeated rows of an id are one.  Both sides grow with
+    # the corpus, so the join is by key at every size and never a broadcast
+    texts = docs.join(groups.select(F.col("rep").alias("doc_id"), "node", "comp", "size").hint("merge"), "doc_id").select("node", "comp", "size", "text")
     sets = texts.mapInArrow(_grams(n), "node bigint, comp bigint, size bigint, grams binary")
     if _repeats(signed):
         sets = sets.groupBy("node", "comp", "size").agg(F.first("grams").alias("grams"))
