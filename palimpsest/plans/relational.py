@@ -125,7 +125,7 @@ select segment, count(*) as numcust, round(sum(c_acctbal), 2) as totacctbal from
 # --- projection, filter, predicates
 SQL["project_case_arithmetic"] = """
 select o_orderkey, case when o_totalprice >= 400000 then 'large' when o_totalprice >= 100000 then 'medium' else 'small' end as size_class,
-       round(o_totalprice * 1.1 - 5, 2) as adjusted, o_orderkey % 7 as key_mod from orders"""
+       o_totalprice * 2 - 5 as adjusted, o_orderkey % 7 as key_mod from orders"""
 SQL["filter_null_in_between"] = """
 select c_custkey, c_acctbal from customer
 where (c_acctbal between 100 and 5000 or c_nationkey in (1, 2, 3)) and c_nationkey not in (4, 5) and c_mktsegment is not null and not (c_acctbal < 0)"""
