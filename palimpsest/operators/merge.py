@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.diff import kind_of, live, unchanged
@@ -37,20 +39,25 @@ def statistics(plan: DataFrame) -> DataFrame:
     return plan.filter(F.col("action").isin("pick", "conflict")).groupBy(F.col("source_diff").alias("diff_type")).agg(F.count("*").alias("n"))
 
 
-def resolve(conflicts: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+Merger = Callable[[Column, Column, Column], Column]
+
+
+def resolve(conflicts: DataFrame, columns: list[str], keys: list[str] | None = None, mergers: dict[str, Merger] | None = None) -> DataFrame:
     """Conflicts of a plan with ``resolved``, the merged snapshot, and ``resolved_deleted``.
 
     Sides are ranked by (updated_at, change_id).  Where one side deletes or both
     create, the later side wins as a whole.  Else each column is taken from the only
     side that changed it, and from the later one if both did.  Key columns may not
-    change.  The expressions are made per schema, so they stay compiled.
+    change.  ``mergers`` has functions of (base, target, source) for columns whose
+    values are to be merged where both sides changed them.  The expressions are made
+    per schema, so they stay compiled.
     """
     later = F.struct("source_updated_at", "source_change_id") > F.struct("target_updated_at", "target_change_id")
     whole = F.col("base_change_id").isNull() | F.coalesce("base_deleted", F.lit(True)) | F.col("target_deleted") | F.col("source_deleted")
 
     def column(name: str):
         o, t, s = (F.col(f"{side}_snapshot.{name}") for side in ("base", "target", "source"))
-        value = F.when(t.eqNullSafe(s), t).when(t.eqNullSafe(o), s).when(s.eqNullSafe(o), t).otherwise(F.when(later, s).otherwise(t))
+        value = F.when(t.eqNullSafe(s), t).when(t.eqNullSafe(o), s).when(s.eqNullSafe(o), t).otherwise(mergers[name](o, t, s) if name in (mergers or {}) else F.when(later, s).otherwise(t))
         return F.when(whole, F.when(later, s).otherwise(t)).otherwise(value).alias(name)
 
     deleted = F.when(later, F.col("source_deleted")).otherwise(F.col("target_deleted"))

@@ -146,6 +146,12 @@ class Repository:
         kind = T._parse_datatype_string(MEMBER)
         members.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kind]).write.parquet(f"{self.path}/commits/{commit_id}")
 
+    def untracked(self, branch: str) -> DataFrame | None:
+        """Members that are in no commit: they show on their branch only, and no diff, merge or restore sees them."""
+        where = f"{self.path}/untracked/{branch}"
+        fs, path = self.fs._at(where)
+        return self.spark.read.schema(MEMBER).option("recursiveFileLookup", "true").parquet(where) if fs.exists(path) else None
+
     # --- surfaces
     def changes(self) -> DataFrame:
         return self.members().select(F.col("change_id").alias("id"), "account_id", "row_pk", "schema_key", "file_id", "metadata", F.col("updated_at").alias("created_at"), "origin_key", F.col("snapshot").alias("snapshot_content"))
@@ -180,6 +186,7 @@ class Session:
         self.staged: list[DataFrame] | None = None
         self.closed = False
         self._known: tuple | None = None
+        self.mergers: dict[str, dict[str, M.Merger]] = {}
 
     # --- facts
     @property
@@ -253,6 +260,12 @@ class Session:
             # the nearest version of each row, with all its columns, in one grouped minimum
             full = log.members.join(near, "commit_id").groupBy(*IDENTITY).agg(F.min_by(F.struct(*rest), "depth").alias("v")).select(*IDENTITY, "v.*")
             tiers.append(full.withColumn("seq", F.lit(i)))
+        loose = repo.untracked(self.branch_id)
+        if loose is not None:
+            rest = [c for c in loose.columns if c not in IDENTITY]
+            loose = loose if key is None else loose.filter(F.col("schema_key") == key)
+            loose = loose.groupBy(*IDENTITY).agg(F.max_by(F.struct(*rest), F.struct("updated_at", "change_id")).alias("v")).select(*IDENTITY, "v.*")
+            tiers.append(loose.withColumn("seq", F.lit(len(tiers))))
         for i, staged in enumerate(self.staged or []):
             own = staged if key is None else staged.filter(F.col("schema_key") == key)
             tiers.append(own.withColumn("seq", F.lit(len(tiers) + i)))
@@ -424,6 +437,13 @@ class Session:
         rows = self._typed(key)
         return self._write(key, self._pinned(rows if where is None else rows.filter(where)), True, **more)
 
+    def write_untracked(self, key: str, rows: DataFrame, deleted: bool = False) -> Receipt:
+        """Writes rows (or, with ``deleted``, removes their keys) outside of the log; needs no commit."""
+        schema = self.schema(key)
+        new = self._pinned(rows if deleted else self._proposed(schema, rows))
+        self._member(key, new, deleted).write.mode("append").parquet(f"{self.repo.path}/untracked/{self.branch_id}/{self.repo.ids()}")
+        return Receipt(None, new.count(), new)
+
     def _pinned(self, rows: DataFrame) -> DataFrame:
         """Rows that stay as they are when read again: volatile defaults are drawn once."""
         return stored(rows)
@@ -567,6 +587,12 @@ class Session:
         self.repo.publish({"dropped": [found["id"]]})
 
     # --- merges
+    def register_merger(self, key: str, column: str, merger: M.Merger) -> None:
+        """Merges a column's values with ``merger(base, target, source)`` where both branches changed them."""
+        if self.schema(key).column(column) is None:
+            raise E.ColumnNotFound(column)
+        self.mergers.setdefault(key, {})[column] = merger
+
     def merge_preview(self, source: str) -> dict:
         """outcome, base, and statistics of what a merge would bring."""
         other = self.repo.branch(source)
@@ -601,7 +627,7 @@ class Session:
             schema = schemas[key]
             own = conflicts.filter(F.col("schema_key") == key)
             typed = own.withColumns({f"{side}_snapshot": F.from_json(f"{side}_snapshot", schema.struct()) for side in ("base", "target", "source")})
-            settled = M.resolve(typed, [c.name for c in schema.columns], list(schema.primary_key))
+            settled = M.resolve(typed, [c.name for c in schema.columns], list(schema.primary_key), self.mergers.get(key))
             taken = taken.unionByName(settled.select(*IDENTITY, uuidv7().alias("change_id"), F.col("resolved_deleted").alias("deleted"), F.to_json("resolved").alias("snapshot"), F.current_timestamp().alias("updated_at")))
         members = self._pinned(taken.select(F.lit(None).cast("string").alias("commit_id"), *IDENTITY, "change_id", F.lit(self.account).alias("account_id"), "deleted", "snapshot", F.lit(None).cast("string").alias("metadata"), "updated_at", F.lit(None).cast("string").alias("origin_key")))
         self.staged = [members]

@@ -198,6 +198,23 @@ def test_files(session):
     assert [r["path"] for r in files.files().collect()] == ["/readme.txt"]
 
 
+def test_untracked_rows_and_mergers(session, repo):
+    from pyspark.sql import functions as F
+
+    session.sql("insert into task (id, title, n) values ('1', 'a', 10)")
+    session.create_branch("dev")
+    dev = repo.session("dev")
+    dev.sql("update task set n = 15 where id = '1'")
+    session.sql("update task set n = 12 where id = '1'")
+    session.write_untracked("task", session.spark.createDataFrame([("u", "loose")], "id string, title string"))
+    assert set(table(session)) == {"1", "u"} and set(table(dev)) == {"1"}
+    session.register_merger("task", "n", lambda base, target, source: target + source - base)
+    session.merge_branch("dev")
+    assert table(session)["1"]["n"] == 17 and session.history("task").filter("id = 'u'").count() == 0
+    session.write_untracked("task", session.table("task").filter(F.col("id") == "u"), deleted=True)
+    assert set(table(session)) == {"1"}
+
+
 def test_catalog(session):
     info = session.information_schema()
     assert {r["insert_policy"] for r in info["columns"].filter("table_name = 'task'").collect()} == {"REQUIRED", "DEFAULT", "OPTIONAL"}
