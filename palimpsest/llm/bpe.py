@@ -28,7 +28,7 @@ from palimpsest.llm.common import give_back, only
 from palimpsest.llm.pretokens import Recent, splitter
 
 #: Distinct pieces whose ids a worker keeps between batches, and pieces in one recursive query.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 240_000
 QUERY_WORDS = 20_000
 LONG = 64
 #: Characters of long pieces in one recursive query, or one piece.
