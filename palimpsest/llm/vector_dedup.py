@@ -5,11 +5,15 @@ as one node.  A label of more than ``SHARD`` classes is cut into clusters by
 centroids fitted on a bounded sample; each vector goes to its nearest centroid,
 its home, and to all others that are at most ``MARGIN`` degrees farther.  In each
 cluster shard every node gets its nearest neighbours, robustly pruned: a
-neighbour is left out if a kept one is closer to it by the factor ``ALPHA``.  The
-adjacency lists of a node from all its shards are united.  In each home shard all
-its vectors then search the united graph at once, greedily from the shard's
-medoid, and go on expanding nodes as long as some lie near the range.  Whatever
-is found is verified with cosines in double precision.
+neighbour is left out if a kept one is closer to it by the factor ``ALPHA``.  Where
+a group has more close members than a node has candidates, these alone leave its
+parts apart, or together only by way of unrelated vectors; so the edges of a shard's
+tree of greatest cosines are added, along which rows that a chain of links joins
+reach each other over links.  The adjacency lists of a node from all its shards are united.  In
+each home shard all its vectors then search the united graph at once, greedily from
+the shard's medoid and from their own nodes, and go on expanding nodes as long as
+some lie near the range.  Whatever is found is verified with cosines in double
+precision.
 
 Within a shard only counts and one tree edge per node leave the task; pairs leave
 it only where the two homes differ.  ``audit`` compares the links found for a
@@ -144,14 +148,50 @@ def pruned(vectors: np.ndarray, degree: int = DEGREE, wide: int = CANDIDATES, al
     return out
 
 
+def _lowest(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The smallest row that each of n rows can reach over the undirected edges."""
+    low = np.arange(n)
+    while len(one):
+        new = low.copy()
+        np.minimum.at(new, one, low[two])
+        np.minimum.at(new, two, low[one])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    return low
+
+
+def joining(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the spanning tree of greatest cosines: from each part to its closest row outside, until one part is left."""
+    n, v = len(vectors), vectors.astype(np.float32)
+    more_a, more_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    low = np.arange(n)
+    while (low != low[:1]).any():
+        best, other = np.empty(n, np.float32), np.empty(n, np.int64)
+        for k in range(0, n, 512):
+            cosine = v[k : k + 512] @ v.T
+            cosine[low[k : k + 512, None] == low[None, :]] = -2
+            other[k : k + 512] = np.argmax(cosine, 1)
+            best[k : k + 512] = cosine[np.arange(len(cosine)), other[k : k + 512]]
+        order = np.lexsort((-best, low))
+        one = order[np.unique(low[order], return_index=True)[1]]
+        more_a.append(one), more_b.append(other[one])
+        low = _lowest(len(v), low[one], low[other[one]])[low]
+    return np.concatenate(more_a), np.concatenate(more_b)
+
+
 def _builder(key, group):
     order = np.argsort(group["rep"].to_numpy())
     group = group.take(pa.array(order))
     rep = group["rep"].to_numpy()
-    near = pruned(_matrix(group["unit"]))
+    vectors = _matrix(group["unit"])
+    near = pruned(vectors)
     # edges both ways, so that a search can leave and reach every node
     a = np.repeat(np.arange(len(rep)), [len(x) for x in near])
     b = np.concatenate(near) if near else a
+    more_a, more_b = joining(vectors)
+    a, b = np.concatenate([a, more_a]), np.concatenate([b, more_b])
     pair = np.unique(np.concatenate([a * len(rep) + b, b * len(rep) + a]))
     a, b = pair // max(1, len(rep)), pair % max(1, len(rep))
     first = np.searchsorted(a, np.arange(len(rep) + 1)).astype(np.int32)
@@ -159,7 +199,7 @@ def _builder(key, group):
 
 
 def search(vectors: np.ndarray, near: list[np.ndarray], queries: np.ndarray, reach: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs met with cosine >= ``reach``, by greedy search from the medoid.
+    """(query, node) pairs met with cosine >= ``reach``, by greedy search from the medoid and the query's own node.
 
     A query expands its closest unexpanded node as long as that is among the
     ``beam`` closest met so far or within ``reach``.
@@ -177,6 +217,7 @@ def search(vectors: np.ndarray, near: list[np.ndarray], queries: np.ndarray, rea
         met = np.full((len(own), n), -2, np.float32)  # cosine of met nodes
         todo = np.full((len(own), n), -2, np.float32)  # of those not expanded
         met[:, medoid] = todo[:, medoid] = v[own] @ v[medoid]
+        met[np.arange(len(own)), own] = todo[np.arange(len(own)), own] = 1
         active = np.arange(len(own))
         # all queries of the block take a step at a time; a query ends by itself after n steps at most
         while len(active):
@@ -229,16 +270,7 @@ def _searcher(threshold: float):
         pair = np.unique(np.concatenate([q[inner] * len(rep) + n[inner], n[inner] * len(rep) + q[inner]]))
         a, b = pair // len(rep), pair % len(rep)
         links = np.bincount(a, size[b], len(rep)).astype(np.int64)
-        low = np.arange(len(rep))
-        one, two = np.concatenate([a, q[~inner]]), np.concatenate([b, n[~inner]])
-        while len(one):
-            new = low.copy()
-            np.minimum.at(new, one, low[two])
-            np.minimum.at(new, two, low[one])
-            new = new[new]
-            if (new == low).all():
-                break
-            low = new
+        low = _lowest(len(rep), np.concatenate([a, q[~inner]]), np.concatenate([b, n[~inner]]))
         touched = np.flatnonzero(home | (low != np.arange(len(rep))))
         within = pa.table({"rep": rep[touched], "other": pa.nulls(len(touched), pa.int64()), "size": np.zeros(len(touched), np.int64), "links": links[touched], "root": rep[low[touched]]})
         a, b = q[~inner], n[~inner]

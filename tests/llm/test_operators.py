@@ -286,6 +286,29 @@ def test_vectors(spark, monkeypatch):
 
 
 # --- 6 n-gram join
+def test_vectors_of_large_groups(spark):
+    """More different near copies in a group than a node has candidates, some of them in tight parts."""
+    rng = np.random.default_rng(1)
+    around = lambda c, m, s: c + rng.normal(size=(m, 64)) * s * np.linalg.norm(c) / 8
+    every, labels = [], []
+    for label in range(2):
+        wide = [around(rng.normal(size=64), 200, 0.1) for _ in range(3)]
+        parts = [around(x, 100, 0.01) for _ in range(2) for x in around(rng.normal(size=64), 3, 0.13)]
+        rows = np.concatenate([rng.normal(size=(150, 64)), *wide, *parts]).astype(np.float32)
+        every += rows.tolist()
+        labels += [label] * len(rows)
+    v = np.array(every, np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    links = ((v @ v.T >= 0.98) & (np.array(labels)[:, None] == np.array(labels))).sum(1) - 1
+    embeddings = spark.createDataFrame(list(zip(range(len(every)), every, labels)), "vec_id bigint, embedding array<float>, label int")
+    result = vector_dedup.near_duplicates(embeddings)
+    got = {r["vec_id"]: r["n_links"] for r in result.collect()}
+    assert links.max() > 3 * vector_dedup.CANDIDATES
+    assert sum(got.values()) >= 0.999 * links.sum()
+    assert all(got[i] <= n for i, n in enumerate(links))
+    assert vector_dedup.audit(embeddings, result) >= 0.999
+
+
 def brute_classes(texts, ids, threshold=0.8, n=5):
     sets = []
     for t in texts:
