@@ -8,8 +8,9 @@ every character of its output to a stretch of its input: (1) homoglyphs, full
 width forms and other digits to ASCII, invisible characters to nothing; (2) runs
 of spelled digits to digits; (3) "at" and "dot" between names, bare or in
 brackets, to "@" and ".".  The same patterns run on the last output, and their
-spans are mapped back through the chain.  A disguised span is added where it
-overlaps no base span of its kind; base spans stay as they are.
+spans are mapped back through the chain.  A disguised span is added unless it lies
+within a base span of its kind, so one that extends a base span stands beside it;
+base spans stay as they are.
 
 Spans count code points of the source, end exclusive.  A null text is empty and
 has no spans.  Rows are handled one by one, whatever their ids.
@@ -60,7 +61,7 @@ _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
 _ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*(?:{_AT}|@)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 _AT_ONE, _DOT_ONE = re.compile(_AT, re.I), re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+", re.I)
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
-_BARE = re.compile(r"\sat\s+[A-Za-z0-9-]+\s+dot\s|@[A-Za-z0-9-]+\s+dot\s|\sat\s+[A-Za-z0-9-]+\.[A-Za-z]", re.I)
+_BARE = re.compile(r"\sat\s+[A-Za-z0-9-]+\s+dot\s|\sat\s+[A-Za-z0-9-]+\.[A-Za-z]|\sdot\s+[A-Za-z0-9._%+-]+@|@[A-Za-z0-9.-]+\s+dot\s", re.I)
 #: The first byte of characters from U+0250 on, and of the soft hyphen and the dotless i.
 _ODD_LEAD = 0xC9
 
@@ -180,14 +181,14 @@ def suspicious(text: str, odd: bool) -> bool:
 
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Further spans, from the normalised text, that overlap no base span of their kind."""
+    """Further spans, from the normalised text, that lie within no base span of their kind."""
     tape = Tape.of(text).characters().digits().marks()
     if tape.text == text:
         return []
     found = []
     for a, kind, b in identifiers(tape.text):
         start, end = tape.start[a], tape.end[b - 1]
-        if not any(k == kind and s < end and start < e for s, k, e in base):
+        if not any(k == kind and s <= start and end <= e for s, k, e in base):
             found.append((start, kind, end))
     return sorted(set(found))
 

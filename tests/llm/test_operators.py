@@ -135,6 +135,23 @@ def test_disguised_identifiers(text, kind, span):
     assert [(pii.KINDS[k], text[a:b]) for a, k, b in spans] == [(kind, span)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("to jоhn@example.com now", "email", "jоhn@example.com"),
+        ("to john dot smith@gmail.com now", "email", "john dot smith@gmail.com"),
+        ("to john@mail.example dot com now", "email", "john@mail.example dot com"),
+        ("host 10.0.0.1９ down", "ip", "10.0.0.1９"),
+    ],
+)
+def test_disguised_spans_extend_plain_ones(text, kind, span):
+    plain = pii.identifiers(text)
+    odd = any(ord(c) > 0x24F for c in text)
+    assert plain and pii.suspicious(text, odd)
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.disguised(text, plain)] == [(kind, span)]
+    assert pii.masked(text, odd) == text.replace(span, f"<{kind.upper()}>")
+
+
 def test_clean_texts_have_no_spans():
     for text in ("we met at the shop. dot your is", "one two three", "at noon [at] (dot)", "version 1.2.3", "seven of nine"):
         assert not pii.disguised(text, pii.identifiers(text))
