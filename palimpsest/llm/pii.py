@@ -7,8 +7,11 @@ Disguised spans come from a chain of transducers.  Each rewrites a text and maps
 every character of its output to a stretch of its input: (1) homoglyphs, full
 width forms and other digits to ASCII, invisible characters to nothing; (2) runs
 of spelled digits to digits; (3) "at" and "dot" between names, bare or in
-brackets, to "@" and ".".  The same patterns run on the last output, and their
-spans are mapped back through the chain.  A disguised span is added unless it lies
+brackets, to "@" and ".".  In a second chain, step (2) makes dotted addresses of
+four groups of digits or spelled digits with disguised or plain dots between
+them, so that a run's dots are separators in one chain and part of an address in
+the other.  The same patterns run on the last outputs, and their spans are mapped
+back through the chains.  A disguised span is added unless it lies
 within a base span of its kind, so one that extends a base span stands beside it;
 base spans stay as they are.
 
@@ -54,14 +57,20 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _NAME = "(?:" + "|".join(DIGITS) + ")"
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_NAME}|[0-9])(?:[ ,.-]{{1,3}}(?:{_NAME}|[0-9]+)(?![A-Za-z])){{6,}}", re.I)
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_NAME}|[0-9]+)(?:[ ,.()-]{{1,4}}(?:{_NAME}|[0-9]+)(?![A-Za-z]))+", re.I)
+#: Digits of a run that are worth rewriting; the patterns ask for their kinds' totals, which may go on beside the run.
+_LEAST_DIGITS = 7
 _WORD = re.compile(_NAME, re.I)
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
+_ONE = rf"(?:{_NAME}(?![A-Za-z])|[0-9](?![0-9A-Za-z]))"
+_GROUP = rf"(?:[0-9]+(?![A-Za-z])|{_ONE}(?:[ ,-]{{1,3}}{_ONE}){{0,2}})"
+_OCTETS = re.compile(rf"(?<![A-Za-z0-9]){_GROUP}(?:{_DOT}{_GROUP}){{3}}", re.I)
+_OCTET_PART = re.compile(rf"(?P<dot>{_DOT})|(?P<name>{_NAME})|(?P<gap>[ ,-]+)|[0-9]+", re.I)
 _ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*(?:{_AT}|@)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 _AT_ONE, _DOT_ONE = re.compile(_AT, re.I), re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+", re.I)
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
-_BARE = re.compile(r"\sat\s+[A-Za-z0-9-]+\s+dot\s|\sat\s+[A-Za-z0-9-]+\.[A-Za-z]|\sdot\s+[A-Za-z0-9._%+-]+@|@[A-Za-z0-9.-]+\s+dot\s", re.I)
+_BARE = re.compile(r"\sat\s+[A-Za-z0-9-]+\s+dot\s|\sat\s+[A-Za-z0-9-]+\.[A-Za-z]|\sdot\s+[A-Za-z0-9._%+-]+@|@[A-Za-z0-9.-]+\s+dot\s|[0-9]\s+dot\s+[0-9]", re.I)
 #: The first byte of characters from U+0250 on, and of the soft hyphen and the dotless i.
 _ODD_LEAD = 0xC9
 
@@ -146,17 +155,24 @@ class Tape:
         return self.rewrite(edits)
 
     def digits(self) -> Tape:
-        """The second transducer: runs of seven or more spelled digits, one name at least, to digits."""
+        """The second transducer: runs of spelled digits, one name at least, to digits."""
         edits = []
-        for m in _SPELLED.finditer(self.text):
-            names = list(_WORD.finditer(self.text, m.start(), m.end()))
-            if not names:
-                continue
+        for m, names in _spelled(self.text):
             edits += [(n.start(), n.end(), DIGITS[n[0].lower()]) for n in names]
-            gaps = re.compile(r"(?<=[a-z0-9])[ ,.-]+(?=[a-z0-9])", re.I)
+            gaps = re.compile(r"(?<=[a-z0-9])[ ,.()-]+(?=[a-z0-9])", re.I)
             edits += [(g.start(), g.end(), "") for g in gaps.finditer(self.text, m.start(), m.end())]
         return self.rewrite(sorted(edits))
 
+    def octets(self) -> Tape:
+        """The second transducer of the second chain: four groups of digits or spelled digits to a dotted address."""
+        edits = []
+        for m in _OCTETS.finditer(self.text):
+            for part in _OCTET_PART.finditer(self.text, m.start(), m.end()):
+                new = "." if part["dot"] else DIGITS[part["name"].lower()] if part["name"] else "" if part["gap"] else part[0]
+                if new != part[0]:
+                    edits.append((part.start(), part.end(), new))
+        return self.rewrite(edits)
+
     def marks(self) -> Tape:
         """The third transducer: "at" and "dot" within an address."""
         edits = []
@@ -167,6 +183,14 @@ class Tape:
         return self.rewrite(sorted(edits))
 
 
+def _spelled(text: str) -> Iterator[tuple[re.Match, list[re.Match]]]:
+    """Runs of digits and names of digits with at least one name, and the names."""
+    for m in _SPELLED.finditer(text):
+        names = list(_WORD.finditer(text, m.start(), m.end()))
+        if names and len(names) + sum(c.isdigit() for c in m[0]) >= _LEAST_DIGITS:
+            yield m, names
+
+
 def suspicious(text: str, odd: bool) -> bool:
     """Whether a transducer might change the text so that an identifier appears."""
     if odd:
@@ -174,22 +198,23 @@ def suspicious(text: str, odd: bool) -> bool:
     low = text.lower()
     if ("dot" in low or " at " in low) and _BARE.search(text):
         return True
-    if ("at" in low or "dot" in low or "@" in low) and any(b in text for b in "[({<") and _BRACKET.search(text):
+    if any(b in text for b in "[({<") and _BRACKET.search(text):
         return True
-    names = sum(n in low for n in DIGITS)
-    return bool(names) and (names > 1 or "one one" in low or "one-one" in low or any(c.isdigit() for c in text)) and _SPELLED.search(text) is not None
+    return any(n in low for n in DIGITS) and (next(_spelled(text), None) is not None or _OCTETS.search(text) is not None)
 
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Further spans, from the normalised text, that lie within no base span of their kind."""
-    tape = Tape.of(text).characters().digits().marks()
-    if tape.text == text:
-        return []
+    plain = Tape.of(text).characters()
+    first, second = plain.digits().marks(), plain.octets().marks()
     found = []
-    for a, kind, b in identifiers(tape.text):
-        start, end = tape.start[a], tape.end[b - 1]
-        if not any(k == kind and s <= start and end <= e for s, k, e in base):
-            found.append((start, kind, end))
+    for tape in [first] if first.text == second.text else [first, second]:
+        if tape.text == text:
+            continue
+        for a, kind, b in identifiers(tape.text):
+            start, end = tape.start[a], tape.end[b - 1]
+            if not any(k == kind and s <= start and end <= e for s, k, e in base):
+                found.append((start, kind, end))
     return sorted(set(found))
 
 

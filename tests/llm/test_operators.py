@@ -152,6 +152,33 @@ def test_disguised_spans_extend_plain_ones(text, kind, span):
     assert pii.masked(text, odd) == text.replace(span, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize(
+    ("span", "kind"),
+    [
+        ("192[.]168[.]0[.]1", "ip"),
+        ("10 (dot) 0 (dot) 0 (dot) 1", "ip"),
+        ("10 dot 0 dot 0 dot 1", "ip"),
+        ("one nine two dot one six eight dot zero dot one", "ip"),
+        ("192.one six eight.0.1", "ip"),
+        ("+1-800-five-five-five-1234", "phone"),
+        ("+1 555 one two three 4567", "phone"),
+        ("+1 (five five five) one two three 4567", "phone"),
+        ("four.one.one.one.one.one.one.one.one.one.one.one.one.one.one.one", "card"),
+    ],
+)
+def test_disguised_numbers(span, kind):
+    text = f"so {span} it is"
+    plain = pii.identifiers(text)
+    assert not plain and pii.suspicious(text, False)
+    assert (kind, span) in [(pii.KINDS[k], text[a:b]) for a, k, b in pii.disguised(text, plain)]
+    assert pii.masked(text, False) == f"so <{kind.upper()}> it is"
+
+
+def test_spelled_numbers_that_are_no_identifiers():
+    for text in ("10 dot 0 dot 0", "300 dot 1 dot 1 dot 1", "one two three four five six seven", "one. two. three. four.", "phone one or two (2) of 3", "in [.] and (.)"):
+        assert not pii.disguised(text, pii.identifiers(text))
+
+
 def test_clean_texts_have_no_spans():
     for text in ("we met at the shop. dot your is", "one two three", "at noon [at] (dot)", "version 1.2.3", "seven of nine"):
         assert not pii.disguised(text, pii.identifiers(text))
