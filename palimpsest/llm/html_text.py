@@ -8,8 +8,8 @@ hashed over tags and text; Spark counts on how many pages of a host each hash
 occurs, and subtrees on many of them are deleted.
 
 Copies of an article are no template: a hash counts once for all pages of equal
-text, a subtree with half of its page's text or more is never deleted, nor is a
-plain text block (paragraph, heading, list item, cell ...) of an article.
+text, a subtree with half of its page's text or more counts but isn't deleted there,
+nor is a plain text block (paragraph, heading, list item, cell ...) of an article.
 Where a page has articles (or a main element), only these are read.
 
 Blocks end at block-level tags and line breaks.  White space is what str.split
@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bounded_batches, stored
 
-#: A template is on this many differing pages of a host, and on this share of them.
+#: A template is on this many differing pages of a host, however many it has.
 LEAST_PAGES = 4
-LEAST_SHARE = 0.01
 
 # Element names and attribute words of HTML pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -180,7 +179,9 @@ class Page:
         self.blocks = [b for b in self.blocks if b[2] == best]
         total = sum(len(b[0]) for b in self.blocks)
         used = {k for b in self.blocks for k in b[1]}
-        self.hashes = {k: _hash("".join(self.parts[k][1])) for k in used if self.parts[k][3] * 2 < total}
+        every = {k: _hash("".join(self.parts[k][1])) for k in used}
+        self.counted = set(every.values())
+        self.hashes = {k: h for k, h in every.items() if self.parts[k][3] * 2 < total}
 
     def text(self, gone: frozenset[int] = frozenset()) -> str:
         return " ".join(line for line, path, _ in self.blocks if not any(self.hashes.get(k) in gone for k in path))
@@ -206,7 +207,7 @@ def _parser(batches):
             for source in part.column(2).to_pylist():
                 page = Page(source or "")
                 blocks.append([{"text": line, "path": [page.hashes[k] for k in path if k in page.hashes]} for line, path, _ in page.blocks])
-                subtrees.append(sorted(set(page.hashes.values())))
+                subtrees.append(sorted(page.counted))
                 keys.append(_hash(page.text()))
             kind = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))]))
             n = part.num_rows
@@ -215,16 +216,14 @@ def _parser(batches):
             yield pa.RecordBatch.from_arrays(columns, names=["row_id", "page_id", "url", "host", "page_key", "blocks", "subtrees"])
 
 
-def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars, n_removed) of every row of ``pages`` (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     bounded_batches(pages.sparkSession)
     parsed = stored(pages.mapInArrow(_parser, PAGE))
     seen = parsed.select("row_id", "host", "page_key", F.explode("subtrees").alias("subtree"))
-    hosts = parsed.groupBy("host", "page_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
     counted = seen.groupBy("host", "subtree", "page_key").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("found"))
-    often = counted.filter(F.col("found") >= least_pages).join(hosts, "host").filter(F.col("found") >= F.col("pages") * least_share)
-    often = stored(often.select("host", "subtree"))
+    often = stored(counted.filter(F.col("found") >= least_pages).select("host", "subtree"))
     # at most the subtrees of one page meet in a group; written, so that Spark knows its size and
     # moves the pages' texts only where it is too large to broadcast
     gone = stored(seen.join(often, ["host", "subtree"]).groupBy("row_id").agg(F.collect_set("subtree").alias("gone")))

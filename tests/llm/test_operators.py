@@ -511,6 +511,15 @@ def test_site_templates_go_and_copies_stay(spark):
     assert "Follow" in got[200] and got[201] == "no host"
 
 
+def test_templates_of_a_section_go_on_a_large_host_and_thin_pages_count(spark):
+    box = "<div class=box><p>Follow our team on all channels</p></div>"
+    rows = [(k, "http://a.org/x", f"<body>{box if k < 5 else ''}<p>Story {k} {'word ' * (30 + k)}</p></body>") for k in range(600)]
+    rows += [(1000 + k, "http://b.org/x", f"<body>{box}<p>Story {k} {'word ' * (30 if k < 3 else 0)}</p></body>") for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[k].startswith(f"Story {k} ") and "Follow" not in got[k] for k in range(600))
+    assert all(got[1000 + k].startswith(f"Story {k} ") for k in range(3))
+
+
 # --- 9 toxicity
 def test_toxicity(spark):
     rng = random.Random(6)
