@@ -4,7 +4,8 @@ log posterior = log prior of the host + log likelihood of the declared language
 + log likelihood of the address suffix + log likelihood of the text, by language.
 
 * Text: naive Bayes over hashed byte trigrams.  The languages are the declared
-  values that hold at least ``SHARE`` of the declared rows; the trigrams are
+  values that hold at least ``LEAST_ROWS`` declared rows or, in small tables, at
+  least ``SHARE`` of them; the trigrams are
   counted on about ``FIT_ROWS`` whole texts of each, picked by a hash.
 * What texts alone are held to be is then counted by grouped sums over all rows:
   by (declared, language), (suffix, language) and (host, language).
@@ -29,6 +30,7 @@ from palimpsest.llm.bytewords import LOWER, chunked, sums
 from palimpsest.llm.common import bounded_batches, give_back, stored
 
 BUCKETS = 1 << 14
+LEAST_ROWS = 30
 SHARE = 0.002
 FIT_ROWS = 3_000
 WEIGHT = 20.0
@@ -90,9 +92,9 @@ class Model:
 def train(evidence: DataFrame) -> Model:
     """A model of the declared languages of ``evidence`` (text, declared)."""
     declared = evidence.filter("declared is not null")
-    counts = {r[0]: r[1] for r in declared.groupBy("declared").count().filter("count > 0").orderBy(F.desc("count"), "declared").limit(int(1 / SHARE)).collect()}
-    total = declared.count() if len(counts) >= int(1 / SHARE) else sum(counts.values())
-    languages = sorted(k for k, n in counts.items() if n >= SHARE * total)
+    total = declared.count()
+    counts = {r[0]: r[1] for r in declared.groupBy("declared").count().filter(F.col("count") >= min(LEAST_ROWS, SHARE * total)).collect()}
+    languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(max(1, counts[k] // FIT_ROWS)))])[F.col("declared")]

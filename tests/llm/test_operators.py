@@ -87,6 +87,13 @@ def test_host_prior_decides_where_the_text_does_not(spark):
     assert (found[500], found[501]) == ("de", "en")
 
 
+def test_rare_languages_are_languages(spark):
+    rare = "'on talo ja kissa sekä vihreä metsä'"
+    docs = spark.sql(f"select id as doc_id, if(id < 40, {rare}, 'the house and the thing with the cat') as text, if(id < 40, 'fi', 'en') as lang, 's' as source from range(30000)")
+    found = langid.identify(langid.evidence(docs, "text", "lang", "source", "doc_id")).filter("doc_id < 40")
+    assert {r["lang_found"] for r in found.collect()} == {"fi"}
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://u@Www.A.example.org:80/x", '<HTML class=x LANG="fr-CA"><script>var a="</p>"</script><p>bonjour</p>')], "page_id int, url string, html string")
     row = langid.page_evidence(pages, "page_id").first()
