@@ -1,28 +1,40 @@
 """Near-duplicate vectors through a robust-pruned flat graph.
 
 Vectors are compared only within a label.  Equal vectors form a class and count
-as one node.  A label of more than ``SHARD`` classes is cut into clusters by
-centroids fitted on a bounded sample; each vector goes to its nearest centroid,
-its home, and to all others that are at most ``MARGIN`` degrees farther.  In each
-cluster shard every node gets its nearest neighbours, robustly pruned: a
+as one node.  A label of more than ``SHARD`` classes is cut into cells by
+centroids fitted on a bounded sample; each vector goes to its nearest centroid's
+cell, its home, and to every other whose border with the home is at most the
+threshold's angle away.  Whatever links with a vector is therefore in that
+vector's home shard: no link is cut by a border, and none has to be sent between
+tasks as a pair.
+
+In each shard every node gets its nearest neighbours, robustly pruned: a
 neighbour is left out if a kept one is closer to it by the factor ``ALPHA``.  Where
 a group has more close members than a node has candidates, these alone leave its
-parts apart, or together only by way of unrelated vectors; so the edges of a shard's
-tree of greatest cosines are added, along which rows that a chain of links joins
-reach each other over links.  The adjacency lists of a node from all its shards are united.  In
-each home shard all its vectors then search the united graph at once, greedily from
-the shard's medoid and from their own nodes, and go on expanding nodes as long as
-some lie near the range.  Whatever is found is verified with cosines in double
-precision.
-
-Within a shard only counts and one tree edge per node leave the task; pairs leave
-it only where the two homes differ.  ``audit`` compares the links found for a
-fixed sample of classes with brute force.
+parts apart, so the edges of the shard's tree of greatest cosines are added, along
+which rows that a chain of links joins reach each other over links.  The adjacency
+lists of a node from all its shards are united.  All vectors then search their
+home shard's united graph: greedily from the shard's medoid and from their own
+nodes with a frontier of ``beam`` nodes, then on from every node met that lies near
+the range until no more are met.  Whatever is found is verified with cosines in
+double precision.
+
+A shard of more than ``PART`` nodes is dealt out: its graph is the union of graphs
+of overlapping parts (each node is in two, by hash), and its vectors search in as
+many tasks.  Only counts and at most one tree edge per node and task leave a task.
+
+Every run is audited: the links of a fixed sample of classes are counted by brute
+force over all rows of their label.  Below ``RECALL`` the graph is built and
+searched again with more candidates and a wider range; if the widest search
+stays below ``LEAST_RECALL``, an error is raised.
 
 A vector that is null, zero, or holds null or non-finite components, or whose
 label is null, links with nothing.  Vectors of different lengths link with
 nothing.  Repeated rows count as copies.  A row with a null vec_id counts as a
-copy or a link of others, has no component of its own and names none.
+copy or a link of others, has no component of its own and names none.  Float
+columns stay floats, all others become doubles; cosines are in double precision
+either way.  Long vectors need memory in proportion, nothing else.  An empty table
+gives an empty result.  Extra columns are left out at the scan, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,39 +51,42 @@ from palimpsest.llm.common import components, stored
 
 THRESHOLD = 0.98
 SHARD = 1_500
-MARGIN = 6.0
+#: Nodes whose graph one task builds, and whose searches one task runs.
+PART = 6_000
 ALPHA = 1.2
 DEGREE = 24
-CANDIDATES = 64
-BEAM = 32
-#: Cosine below the threshold down to which a search goes on expanding.
-SLACK = 0.08
+#: (candidates of a node, nodes in a search's frontier, cosine below the threshold down to which it goes on), widening.
+EFFORTS = ((64, 32, 0.08), (160, 96, 0.2), (400, 256, 0.5))
 #: Vectors in the sample that centroids are fitted on, over all labels, and classes in an audit.
 FIT_ROWS = 60_000
-AUDIT_ROWS = 256
+AUDIT_ROWS = 512
+RECALL, LEAST_RECALL = 0.99, 0.9
 
-CLASS = "vec_id bigint, label int, key bigint, dims int, unit array<float>"
 
-
-def _units(batches):
+def _units(kind: np.dtype):
     """A key of (label, vector) and the vector for each row; both null for what links with nothing."""
-    for batch in batches:
-        label, column = batch.column(1), batch.column(2)
-        key, units, dims = [], [], []
-        for name, vector in zip(label.to_pylist(), column.to_pylist(), strict=True):
-            array = None
-            if name is not None and vector and None not in vector:
-                array = np.array(vector, np.float32) + np.float32(0)  # -0 is 0
-                if not np.isfinite(array).all() or not array.any():
-                    array = None
-            if array is None:
-                key.append(None), units.append(None), dims.append(None)
-                continue
-            raw = np.frombuffer(array.tobytes(), np.uint32).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                mixed = mix(raw + np.arange(1, len(raw) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(name % (1 << 32)) * np.uint64(0xD6E8FEB86659FD93)
-            key.append(int(mix(np.array([mixed], np.uint64)).view(np.int64)[0])), units.append(array), dims.append(len(array))
-        yield pa.RecordBatch.from_arrays([batch.column(0), label, pa.array(key, pa.int64()), pa.array(dims, pa.int32()), pa.array(units, pa.list_(pa.float32()))], names=["vec_id", "label", "key", "dims", "unit"])
+    bits = np.uint32 if kind == np.float32 else np.uint64
+
+    def run(batches):
+        for batch in batches:
+            label, column = batch.column(1), batch.column(2)
+            key, units, dims = [], [], []
+            for name, vector in zip(label.to_pylist(), column.to_pylist(), strict=True):
+                array = None
+                if name is not None and vector and None not in vector:
+                    array = np.array(vector, kind) + kind.type(0)  # -0 is 0
+                    if not np.isfinite(array).all() or not array.any():
+                        array = None
+                if array is None:
+                    key.append(None), units.append(None), dims.append(None)
+                    continue
+                raw = np.frombuffer(array.tobytes(), bits).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    mixed = mix(raw + np.arange(1, len(raw) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(name % (1 << 32)) * np.uint64(0xD6E8FEB86659FD93)
+                key.append(int(mix(np.array([mixed], np.uint64)).view(np.int64)[0])), units.append(array), dims.append(len(array))
+            yield pa.RecordBatch.from_arrays([batch.column(0), label, pa.array(key, pa.int64()), pa.array(dims, pa.int32()), pa.array(units, pa.list_(pa.from_numpy_dtype(kind)))], names=["vec_id", "label", "key", "dims", "unit"])
+
+    return run
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -95,9 +110,10 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return found
 
 
-def _assigner(shared, margin: float):
+def _assigner(shared, threshold: float):
     def run(batches):
         table = shared.value
+        reach = math.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9  # sine of the threshold's angle
         for batch in batches:
             for low in range(0, batch.num_rows, 2_000):
                 part = batch.slice(low, min(2_000, batch.num_rows - low))
@@ -108,17 +124,19 @@ def _assigner(shared, margin: float):
                     if name not in table:
                         rows.append(own), shard.append(np.zeros(len(own), np.int64)), home.append(np.ones(len(own), bool))
                         continue
-                    angle = np.degrees(np.arccos(np.clip(_matrix(part.column(4).take(pa.array(own))) @ table[name].T, -1, 1)))
-                    near = angle <= angle.min(1, keepdims=True) + margin
-                    i, j = np.nonzero(near)
-                    rows.append(own[i]), shard.append(j), home.append(np.argmin(angle, 1)[i] == j)
+                    near = _matrix(part.column(4).take(pa.array(own))) @ table[name].T
+                    best = np.argmax(near, 1)
+                    # distance of two centroids: their border is the plane across the middle of it
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * table[name][best] @ table[name].T))
+                    i, j = np.nonzero(near[np.arange(len(own)), best][:, None] - near <= reach * apart)
+                    rows.append(own[i]), shard.append(j), home.append(best[i] == j)
                 take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(5)), pa.array(np.concatenate(shard).astype(np.int32)), pa.array(np.concatenate(home))], names=["rep", "label", "dims", "size", "unit", "shard", "home"])
 
     return run
 
 
-def pruned(vectors: np.ndarray, degree: int = DEGREE, wide: int = CANDIDATES, alpha: float = ALPHA) -> list[np.ndarray]:
+def pruned(vectors: np.ndarray, wide: int, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
     """Neighbours of each row after robust pruning of its nearest ``wide`` rows."""
     n, v = len(vectors), vectors.astype(np.float32)
     wide = min(wide, n - 1)
@@ -181,111 +199,192 @@ def joining(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(more_a), np.concatenate(more_b)
 
 
-def _builder(key, group):
-    order = np.argsort(group["rep"].to_numpy())
-    group = group.take(pa.array(order))
-    rep = group["rep"].to_numpy()
-    vectors = _matrix(group["unit"])
-    near = pruned(vectors)
-    # edges both ways, so that a search can leave and reach every node
-    a = np.repeat(np.arange(len(rep)), [len(x) for x in near])
-    b = np.concatenate(near) if near else a
-    more_a, more_b = joining(vectors)
-    a, b = np.concatenate([a, more_a]), np.concatenate([b, more_b])
-    pair = np.unique(np.concatenate([a * len(rep) + b, b * len(rep) + a]))
-    a, b = pair // max(1, len(rep)), pair % max(1, len(rep))
-    first = np.searchsorted(a, np.arange(len(rep) + 1)).astype(np.int32)
-    return pa.table({"rep": rep, "near": pa.ListArray.from_arrays(pa.array(first), pa.array(rep[b]))})
-
-
-def search(vectors: np.ndarray, near: list[np.ndarray], queries: np.ndarray, reach: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs met with cosine >= ``reach``, by greedy search from the medoid and the query's own node.
-
-    A query expands its closest unexpanded node as long as that is among the
-    ``beam`` closest met so far or within ``reach``.
-    """
-    n, v = len(vectors), vectors.astype(np.float32)
-    degree = max((len(x) for x in near), default=0)
-    table = np.full((n, max(1, degree)), -1)
-    for i, x in enumerate(near):
-        table[i, : len(x)] = x
-    medoid = int(np.argmax(v @ v.mean(0)))
-    found_q, found_n = [], []
-    step = max(16, min(512, 20_000_000 // max(1, n)))
-    for low in range(0, len(queries), step):
-        own = queries[low : low + step]
-        met = np.full((len(own), n), -2, np.float32)  # cosine of met nodes
-        todo = np.full((len(own), n), -2, np.float32)  # of those not expanded
-        met[:, medoid] = todo[:, medoid] = v[own] @ v[medoid]
-        met[np.arange(len(own)), own] = todo[np.arange(len(own)), own] = 1
-        active = np.arange(len(own))
-        # all queries of the block take a step at a time; a query ends by itself after n steps at most
-        while len(active):
-            best = np.argmax(todo[active], 1)
-            value = todo[active, best]
-            if beam < n:
-                bar = -np.partition(-met[active], beam - 1, axis=1)[:, beam - 1]
-            else:
-                bar = np.full(len(active), -2, np.float32)
-            go = (value > -2) & ((value >= bar) | (value >= reach))
-            active, best = active[go], best[go]
-            if not len(active):
-                break
-            todo[active, best] = -2
-            nodes = table[best]
-            i, j = np.nonzero(nodes >= 0)
-            q, node = active[i], nodes[i, j]
-            fresh = met[q, node] <= -2
-            q, node = q[fresh], node[fresh]
-            value = np.einsum("ij,ij->i", v[own[q]], v[node])
-            met[q, node] = todo[q, node] = value
-        i, j = np.nonzero(met >= reach)
-        found_q.append(own[i])
-        found_n.append(j)
-    return (np.concatenate(found_q), np.concatenate(found_n)) if found_q else (np.zeros(0, np.int64),) * 2
-
-
-LINKS = "rep bigint, other bigint, size bigint, links bigint, root bigint"
-
-
-def _searcher(threshold: float):
+def _builder(wide: int):
+    def run(key, group):
+        group = group.take(pa.array(np.argsort(group["rep"].to_numpy())))
+        rep = group["rep"].to_numpy()
+        vectors = _matrix(group["unit"])
+        near = pruned(vectors, wide)
+        # edges both ways, so that a search can leave and reach every node
+        a, b = np.repeat(np.arange(len(rep)), [len(x) for x in near]), np.concatenate(near)
+        more_a, more_b = joining(vectors)
+        a, b = np.concatenate([a, more_a]), np.concatenate([b, more_b])
+        pair = np.unique(np.concatenate([a * len(rep) + b, b * len(rep) + a]))
+        a, b = pair // len(rep), pair % len(rep)
+        first = np.searchsorted(a, np.arange(len(rep) + 1)).astype(np.int32)
+        return pa.table({"rep": rep, "near": pa.ListArray.from_arrays(pa.array(first), pa.array(rep[b]))})
+
+    return run
+
+
+class Graph:
+    """Unit vectors and the places of their neighbours, those of node i from first[i] to first[i + 1]."""
+
+    def __init__(self, vectors: np.ndarray, first: np.ndarray, near: np.ndarray):
+        self.vectors, self.first, self.near = vectors.astype(np.float32), first, near
+        self.medoid = int(np.argmax(self.vectors @ self.vectors.mean(0))) if len(vectors) else 0
+
+    def _met(self, q: np.ndarray, node: np.ndarray, seen: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """Neighbours of the (query, node) pairs that are new to their query, as query * nodes + node, each once."""
+        count = self.first[node + 1] - self.first[node]
+        at = np.arange(count.sum()) + np.repeat(self.first[node] - (np.cumsum(count) - count), count)
+        flat = np.repeat(q, count) * len(self.vectors) + self.near[at]
+        flat = flat[~seen[flat]]
+        turn = np.arange(len(flat), dtype=np.int32)
+        tag[flat] = turn
+        flat = flat[tag[flat] == turn]
+        seen[flat] = True
+        return flat
+
+    def search(self, queries: np.ndarray, reach: float, beam: int):
+        """(query, node, cosine) of all nodes met with cosine >= ``reach``, a block of queries at a time.
+
+        A query first expands the closest node of its frontier, the ``beam`` closest
+        met so far, until all of these are expanded; then all met within reach, and
+        those met from them.
+        """
+        n, v = len(self.vectors), self.vectors
+        step = max(8, min(1024, 3_000_000 // max(1, n)))
+        for low in range(0, len(queries), step):
+            own = queries[low : low + step]
+            rows = np.arange(len(own))
+            seen, tag = np.zeros(len(own) * n, bool), np.zeros(len(own) * n, np.int32)
+            node, value = np.full((len(own), beam), -1), np.full((len(own), beam), -2, np.float32)
+            node[:, 0], value[:, 0] = own, 1
+            node[:, 1], value[:, 1] = self.medoid, np.where(own == self.medoid, -2, v[own] @ v[self.medoid])
+            seen[rows * n + own] = seen[rows * n + self.medoid] = True
+            todo = value > -2
+            kept, cosines = [rows * n + own, rows * n + self.medoid], [value[:, 0].copy(), value[:, 1].copy()]
+            active = rows
+            while len(active):
+                score = np.where(todo[active], value[active], -2)
+                best = np.argmax(score, 1)
+                go = score[np.arange(len(active)), best] > -2
+                active, best = active[go], best[go]
+                if not len(active):
+                    break
+                todo[active, best] = False
+                flat = self._met(active, node[active, best], seen, tag)
+                q, new = flat // n, flat % n
+                cosine = np.einsum("ij,ij->i", v[own[q]], v[new])
+                kept.append(flat), cosines.append(cosine)
+                # the new nodes beside the old frontier, and the closest of them all
+                count = np.bincount(q, minlength=len(own))[active]
+                wide = int(count.max(initial=0))
+                if not wide:
+                    continue
+                place = np.searchsorted(active, q), beam + np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count)
+                all_value, all_node, all_todo = (np.full((len(active), beam + wide), fill, kind) for fill, kind in ((-2, np.float32), (-1, np.int64), (False, bool)))
+                all_value[:, :beam], all_node[:, :beam], all_todo[:, :beam] = value[active], node[active], todo[active]
+                all_value[place], all_node[place], all_todo[place] = cosine, new, True
+                top = np.argpartition(-all_value, beam - 1, axis=1)[:, :beam]
+                value[active], node[active], todo[active] = (np.take_along_axis(x, top, 1) for x in (all_value, all_node, all_todo))
+            kept, cosines = np.concatenate(kept), np.concatenate(cosines)
+            near = cosines >= reach
+            front = kept[near]
+            kept, cosines = [front], [cosines[near]]
+            while len(front):
+                after = []
+                for k in range(0, len(front), 50_000):
+                    part = front[k : k + 50_000]
+                    flat = self._met(part // n, part % n, seen, tag)
+                    cosine = np.concatenate([np.einsum("ij,ij->i", v[own[flat[j : j + 200_000] // n]], v[flat[j : j + 200_000] % n]) for j in range(0, max(1, len(flat)), 200_000)])
+                    near = cosine >= reach
+                    after.append(flat[near]), kept.append(flat[near]), cosines.append(cosine[near])
+                front = np.concatenate(after)
+            kept = np.concatenate(kept)
+            yield own[kept // n], kept % n, np.concatenate(cosines)
+
+
+LINKS = "rep bigint, links bigint, root bigint"
+
+
+def _searcher(threshold: float, beam: int, slack: float):
     def run(key, members, lists):
-        order = np.argsort(members["rep"].to_numpy())
-        members = members.take(pa.array(order))
+        members = members.take(pa.array(np.argsort(members["rep"].to_numpy())))
         rep, size = members["rep"].to_numpy(), members["size"].to_numpy()
-        home = members["home"].to_numpy()
-        vectors = _matrix(members["unit"])
-        near: list[np.ndarray] = [np.zeros(0, np.int64)] * len(rep)
-        for own, others in zip(lists["rep"].to_numpy(), lists["near"].to_pylist(), strict=True):
-            others = np.unique(np.array(others, np.int64))
-            at = np.minimum(np.searchsorted(rep, others), len(rep) - 1)
-            near[int(np.searchsorted(rep, own))] = at[rep[at] == others]
-        q, n = search(vectors, near, np.flatnonzero(home), threshold - SLACK)
-        keep = q != n
-        q, n = q[keep], n[keep]
-        good = np.concatenate([(vectors[q[k : k + 100_000]] * vectors[n[k : k + 100_000]]).sum(1) >= threshold for k in range(0, len(q), 100_000)]) if len(q) else np.zeros(0, bool)
-        q, n = q[good], n[good]
-        inner = home[n]
-        # a link is a link from both sides
-        pair = np.unique(np.concatenate([q[inner] * len(rep) + n[inner], n[inner] * len(rep) + q[inner]]))
-        a, b = pair // len(rep), pair % len(rep)
-        links = np.bincount(a, size[b], len(rep)).astype(np.int64)
-        low = _lowest(len(rep), np.concatenate([a, q[~inner]]), np.concatenate([b, n[~inner]]))
-        touched = np.flatnonzero(home | (low != np.arange(len(rep))))
-        within = pa.table({"rep": rep[touched], "other": pa.nulls(len(touched), pa.int64()), "size": np.zeros(len(touched), np.int64), "links": links[touched], "root": rep[low[touched]]})
-        a, b = q[~inner], n[~inner]
-        none = pa.nulls(2 * len(a), pa.int64())
-        across = pa.table({"rep": np.concatenate([rep[a], rep[b]]), "other": np.concatenate([rep[b], rep[a]]), "size": np.concatenate([size[b], size[a]]), "links": np.zeros(2 * len(a), np.int64), "root": none})
-        return pa.concat_tables([within, across])
+        n, vectors = len(rep), _matrix(members["unit"])
+        # each node's united list, without nodes that are not in this shard
+        column = lists["near"].combine_chunks()
+        flat = column.flatten().to_numpy()
+        owner = np.repeat(np.searchsorted(rep, lists["node"].to_numpy()), np.diff(column.offsets.to_numpy()))
+        at = np.minimum(np.searchsorted(rep, flat), n - 1)
+        inside = rep[at] == flat
+        pair = np.unique(owner[inside] * n + at[inside])
+        graph = Graph(vectors, np.searchsorted(pair, np.arange(n + 1) * n), pair % n)
+        queries = np.flatnonzero(members["asks"].to_numpy())
+        links, low = np.zeros(n, np.int64), np.arange(n)
+        for q, other, cosine in graph.search(queries, threshold - slack, beam):
+            keep = (q != other) & (cosine > threshold - 1e-4)
+            q, other, cosine = q[keep], other[keep], cosine[keep]
+            # single precision decides what is clear, double precision the rest
+            close = np.flatnonzero(cosine < threshold + 1e-4)
+            good = np.ones(len(q), bool)
+            for k in range(0, len(close), 100_000):
+                some = close[k : k + 100_000]
+                good[some] = (vectors[q[some]] * vectors[other[some]]).sum(1) >= threshold
+            q, other = q[good], other[good]
+            links += np.bincount(q, size[other], n).astype(np.int64)
+            low = _lowest(n, np.concatenate([low[q], np.arange(n)]), np.concatenate([low[other], low]))
+        touched = np.flatnonzero(members["asks"].to_numpy() | (low != np.arange(n)))
+        return pa.table({"rep": rep[touched], "links": links[touched], "root": rep[low[touched]]})
 
     return run
 
 
+def _audited(classes: DataFrame, links: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float | None:
+    """Share of the links of about ``rows`` sampled classes, by brute force over all classes, that ``links`` (rep, links) counts."""
+    spark = classes.sparkSession
+    total = classes.count()
+    sample = classes.filter("rep is not null").filter(F.expr(f"pmod(xxhash64(rep, 3), {max(1, total // rows)}) = 0")).select("rep", "label", "dims", "unit").toArrow()
+    groups: dict = {}
+    for i, name in enumerate(zip(sample["label"].to_pylist(), sample["dims"].to_pylist(), strict=True)):
+        groups.setdefault(name, []).append(i)
+    reps = sample["rep"].to_numpy()
+    shared = spark.sparkContext.broadcast({name: (reps[own], _matrix(sample["unit"].take(pa.array(own)))) for name, own in groups.items()})
+
+    def count(batches):
+        queries = shared.value
+        for batch in batches:
+            label, dims = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            size = batch.column(3).to_numpy()
+            group = list(zip(label, dims, strict=True))
+            for name in sorted(set(group) & set(queries)):
+                own = np.array([i for i, g in enumerate(group) if g == name])
+                near = _matrix(batch.column(4).take(pa.array(own))) @ queries[name][1].T >= threshold
+                yield pa.RecordBatch.from_arrays([pa.array(queries[name][0]), pa.array(size[own] @ near.astype(np.int64))], names=["rep", "n"])
+
+    own = classes.select(F.col("rep").alias("own"), F.col("size").alias("own_size"))
+    true = classes.filter("rep is not null").select("rep", "label", "dims", "size", "unit").mapInArrow(count, "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("n"))
+    true = true.join(own, true["rep"] == own["own"]).select("rep", (F.col("n") - F.col("own_size")).alias("n"))
+    seen = true.join(links, "rep", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
+    return seen[1] / seen[0] if seen[0] else None
+
+
+def _linked(members: DataFrame, threshold: float, wide: int, beam: int, slack: float) -> DataFrame:
+    """(rep, links, root) by a graph of the given effort; several rows of a class where several tasks met it."""
+    by = ["label", "dims", "shard"]
+    sizes = members.groupBy(*by).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = members.join(sizes, by)
+    one = F.expr("pmod(xxhash64(rep, 11), parts)").cast("int")
+    two = F.expr("pmod(pmod(xxhash64(rep, 11), parts) + 1 + pmod(xxhash64(rep, 13), parts - 1), parts)").cast("int")
+    built = members.select("rep", "unit", *by, F.explode(F.when(F.col("parts") > 1, F.array(one, two)).otherwise(F.array(F.lit(0)))).alias("part"))
+    lists = built.groupBy(*by, "part").applyInArrow(_builder(wide), "rep bigint, near array<bigint>")
+    # at most the lists of the few parts that a node is in meet in a group
+    lists = stored(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    slots = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    asking = members.select("rep", "size", "unit", "home", one.alias("own_part"), *by, slots).withColumn("asks", F.expr("home and part = own_part"))
+    spread = members.select(*[F.col(c).alias(c) for c in ("rep", *by)], slots).join(lists, "rep").select(*[F.col(c).alias(f"own_{c}") for c in [*by, "part"]], F.col("rep").alias("node"), "near")
+    return asking.select("rep", "size", "unit", "asks", *by, "part").groupBy(*by, "part").cogroup(spread.groupBy(*[f"own_{c}" for c in [*by, "part"]])).applyInArrow(_searcher(threshold, beam, slack), LINKS)
+
+
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``embeddings`` (vec_id, embedding, label)."""
     spark = embeddings.sparkSession
-    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
-    keyed = stored(rows.mapInArrow(_units, CLASS))
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    real, kind = ("float", np.dtype(np.float32)) if single else ("double", np.dtype(np.float64))
+    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast(f"array<{real}>").alias("embedding"))
+    keyed = stored(rows.mapInArrow(_units(kind), f"vec_id bigint, label int, key bigint, dims int, unit array<{real}>"))
     classes = keyed.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("dims").alias("dims"), F.first("unit").alias("unit"))
     classes = stored(classes)
     nodes = classes.filter("rep is not null").select("rep", "label", "dims", "size", "unit")
@@ -299,21 +398,19 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
         label, dims = sample["label"].to_numpy(), sample["dims"].to_numpy()
         for name, n in large.items():
             own = np.flatnonzero((label == name[0]) & (dims == name[1]))
-            table[name] = centroids(_matrix(sample["unit"].take(pa.array(own))), math.ceil(n / SHARD)) if len(own) else np.zeros((1, name[1]))
+            if len(own):
+                table[name] = centroids(_matrix(sample["unit"].take(pa.array(own))), math.ceil(n / SHARD))
     shared = spark.sparkContext.broadcast(table)
-    kind = "rep bigint, label int, dims int, size bigint, unit array<float>, shard int, home boolean"
-    members = stored(nodes.mapInArrow(_assigner(shared, MARGIN), kind))
-    by = ["label", "dims", "shard"]
-    lists = members.groupBy(*by).applyInArrow(_builder, "rep bigint, near array<bigint>")
-    # at most the lists of the few shards that a node is in meet in a group
-    lists = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    spread = members.select(F.col("rep").alias("rep"), *[F.col(c).alias(f"own_{c}") for c in by]).join(lists, "rep").select(*[f"own_{c}" for c in by], "rep", "near")
-    found = stored(members.groupBy(*by).cogroup(spread.groupBy(*[f"own_{c}" for c in by])).applyInArrow(_searcher(threshold), LINKS))
-
-    across = found.filter("other is not null").select("rep", "other", "size").distinct()
-    links = found.filter("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    links = links.join(across.groupBy("rep").agg(F.sum("size").alias("more")), "rep", "full").select("rep", (F.coalesce("links", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("links"))
-    edges = found.filter("root is not null and root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")).union(across.select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    members = stored(nodes.mapInArrow(_assigner(shared, threshold), f"rep bigint, label int, dims int, size bigint, unit array<{real}>, shard int, home boolean"))
+    for effort in EFFORTS:
+        found = stored(_linked(members, threshold, *effort))
+        links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+        recall = _audited(classes, links, threshold)
+        if recall is None or recall >= RECALL:
+            break
+    if recall is not None and recall < LEAST_RECALL:
+        raise RuntimeError(f"only {recall:.3f} of the links of the audited vectors were found")
+    edges = found.filter("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))
     roots = components(edges).withColumnRenamed("node", "rep")
     named = classes.select("key", "rep", "size").join(links, "rep", "left").join(roots, "rep", "left")
     named = named.select("key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
@@ -322,29 +419,5 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def audit(embeddings: DataFrame, result: DataFrame, threshold: float = THRESHOLD, rows: int = AUDIT_ROWS) -> float | None:
-    """Share of the links of about ``rows`` sampled vectors, by brute force over all rows, that ``result`` counts."""
-    ready = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(_units, CLASS).filter("key is not null")
-    total = ready.count()
-    sample = ready.filter("vec_id is not null").filter(F.expr(f"pmod(xxhash64(vec_id, 3), {max(1, total // rows)}) = 0")).toArrow()
-    queries: dict = {}
-    for i, name in enumerate(zip(sample["label"].to_pylist(), sample["dims"].to_pylist(), strict=True)):
-        queries.setdefault(name, []).append(i)
-    ids = sample["vec_id"].to_numpy()
-    queries = {name: (ids[own], _matrix(sample["unit"].take(pa.array(own)))) for name, own in queries.items()}
-
-    def count(batches):
-        for batch in batches:
-            group = list(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True))
-            for name in sorted(set(group) & set(queries)):
-                own = pa.array([i for i, g in enumerate(group) if g == name])
-                near = (_matrix(batch.column(4).take(own)) @ queries[name][1].T >= threshold).sum(0)
-                yield pa.RecordBatch.from_arrays([pa.array(queries[name][0]), pa.array(near.astype(np.int64))], names=["vec_id", "n"])
-
-    true = ready.mapInArrow(count, "vec_id bigint, n bigint").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
-    seen = true.join(result.select("vec_id", "n_links"), "vec_id").agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
-    return seen[1] / seen[0] if seen[0] else None
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
