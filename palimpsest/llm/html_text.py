@@ -1,26 +1,35 @@
 """Main text of web pages, with site templates removed.
 
-One pass parses each page into blocks of text and the container elements around
-them.  Elements that are never article text by their kind (menus, footers,
-sidebars, forms, scripts, comment sections, adverts and notices, by tag, role,
-class or id) are left out at once.  For the rest, every container subtree is
-hashed over tags and text; Spark counts on how many pages of a host each hash
-occurs, and subtrees on many of them are deleted.
-
+One linear pass parses each page into blocks of text and the container elements
+around them.  Every container subtree, menus and footers included, is hashed over
+its tags and text, from the leaves up; Spark counts on how many pages of a host
+each hash occurs, and subtrees on ``LEAST_PAGES`` of them or more are deleted.
 Copies of an article are no template: a hash counts once for all pages of equal
-text, a subtree with half of its page's text or more counts but isn't deleted there,
-nor is a plain text block (paragraph, heading, list item, cell ...) of an article.
-Where a page has articles (or a main element), only these are read.
+text, a subtree with half of its page's text or more counts but isn't deleted
+there, nor is a plain text block (paragraph, heading, list item, cell ...) of an
+article.
+
+What occurs once can't be told by counting, so elements that are no article text
+by their kind go as well: by tag or role, and containers (not paragraphs, headings
+and the like) by a class or id that is exactly a name for a menu, header, footer,
+sidebar, notice, advert or comment section; within an article only adverts and
+comment sections go by name.  Where a page has articles (or else a main element),
+only the one with the most text is read; an article within an article is a
+reader's comment.  Nothing else is left out: not what a style hides, nor further
+elements whose names only sound like one of these kinds.
 
 Blocks end at block-level tags and line breaks.  White space is what str.split
 takes as such.  Null or empty html gives empty text; a null url is a host of its
-own name, "".  Rows are handled one by one: repeated rows come out repeatedly.
+own name, "".  Rows are handled one by one: repeated rows come out repeatedly, and
+null ids stay null.  A page's cost grows with its length, however deeply it nests.
+An empty table gives an empty result; extra columns are left out at the scan.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -36,55 +45,67 @@ LEAST_PAGES = 4
 
 # Element names and attribute words of HTML pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCK - frozenset("br body html head option optgroup caption tbody td tfoot th thead tr legend title".split())
-OUT = frozenset("script style textarea title noscript iframe noembed noframes xmp head template nav footer aside form button select datalist dialog menu search svg canvas object audio video map math".split())
+OUT = frozenset("head template nav footer aside form dialog menu search".split())
+MUTE = frozenset("button select datalist svg canvas object audio video".split())
+HEAD = frozenset("html head base link meta title style script noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
-WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion cookie cookies consent gdpr ccpa notice notices popup modal overlay newsletter subscribe subscription paywall share sharing social sidebar sidebars sidenav nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist disqus respond replies reply related recommended recommendations skip skiplink signup login".split())
-SITE_WORDS = frozenset("header banner".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising".split())
+COMMENTS = frozenset("comments comment-list commentlist comment-section comments-section disqus-thread".split())
+NAMES = ADVERTS | COMMENTS | frozenset("menu nav navbar navigation header site-header page-header footer site-footer page-footer sidebar side-bar notice notices cookie-notice cookie-banner".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
-CONTAINERS = frozenset("div section ul ol dl table header figure details center p h1 h2 h3 h4 h5 h6 li blockquote pre td tr tbody article main address".split())
-SIBLINGS = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
-CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+CONTAINERS = TEXTUAL | frozenset("div section ul ol dl table header footer nav aside form menu search dialog details figure center tr tbody address".split()) - frozenset(["figcaption", "caption"])
+SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body article main section div td th table ul ol dl aside nav footer header form".split())
+BARRIERS = ("article", "main", "td", "th")
+CROSSES = frozenset("article main td th tr table body html div section".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*+)>?)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_END_OF = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
-PAGE = "row_id bigint, page_id bigint, url string, host string, page_key bigint, blocks array<struct<text:string,path:array<bigint>>>, subtrees array<bigint>"
+PAGE = "row_id bigint, page_id bigint, url string, host string, page_key bigint, blocks array<string>, subtrees array<bigint>, first array<int>, last array<int>, until array<int>"
+TEXT = "page_id bigint, url string, text string, n_chars bigint, n_removed bigint"
 
 
 def _left_out(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no article text by its kind."""
+    """Whether an element is no article text by its kind; ``inside`` an article or main element a header is."""
     if name in OUT or (name == "header" and not inside):
         return True
-    if not attributes or attributes.isspace() or name in ("html", "body", "main"):
+    if name not in CONTAINERS and name != "article" or not attributes or attributes.isspace():
         return False
     low = attributes.lower()
-    if not any(k in low for k in ("class", "id", "role", "style", "hidden")):
+    if not any(k in low for k in ("class", "id", "role")):
         return False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", low) or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-        return True
     if found.get("role", "").lower() in ROLES:
         return True
-    words = {w.lower() for w in _PART.findall(found.get("class", "") + " " + found.get("id", ""))}
-    if name == "article":
-        return bool(words & {"comment", "comments", "reply", "replies", "related", "recommended", "sponsored", "ad", "advert"})
-    return bool(words & WORDS) or (not inside and bool(words & SITE_WORDS))
+    if name in TEXTUAL:
+        return False
+    words = {w.replace("_", "-") for w in f"{found.get('class', '')} {found.get('id', '')}".lower().split()}
+    return bool(words & (ADVERTS | COMMENTS if inside else NAMES))
 
 
 class Page:
-    """Blocks of a page: text, the numbers of container elements around it, and whether it is in an article or main element."""
+    """Text blocks of a page's article, and its container subtrees in document order.
+
+    ``hashes[k]`` names subtree k; it holds the blocks from ``first[k]`` to
+    ``last[k]`` and the subtrees up to ``until[k]``, which is 0 where it must stay.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[int, ...], int]] = []
-        self.parts: list[list] = []  # of each container: name, its content so far, whether it is in an article
-        self.words = [0]
-        stack: list[tuple[str, bool, int, int]] = []  # name, left out, container's number or -1, 0 / 1 main / 2 article
+        blocks: list[tuple[str, bool, int, bool]] = []  # text, left out by kind, article or -1, in a main element
+        self.hashes: list[int] = []
+        begin, stop, self.until = [], [], []
+        content: list[bytearray] = []  # of each container: its tag, then hashes of its lines and subtrees
+        # open elements: name, muted, left out, innermost container, article, in main, own container
+        stack: list[tuple[str, bool, bool, int, int, bool, int]] = [("", False, False, -1, -1, False, -1)]
+        open_at: dict[str, list[int]] = defaultdict(list)
+        scopes = [0]
+        articles = 0
         text: list[str] = []
 
         def flush():
@@ -92,99 +113,114 @@ class Page:
                 line = " ".join(html.unescape("".join(text)).split())
                 text.clear()
                 if line:
-                    path = tuple(s[2] for s in stack if s[2] >= 0)
-                    self.blocks.append((line, path, max((s[3] for s in stack), default=0)))
-                    for k in path:
-                        self.parts[k][1].append(line)
-                        self.parts[k][3] += len(line)
+                    _, _, out, inner, article, main, _ = stack[-1]
+                    blocks.append((line, out, article, main))
+                    if inner >= 0:
+                        content[inner] += _digest(line.encode("utf-8", "surrogatepass"))
 
         def close(to: int):
             while len(stack) > to:
-                name, _, number, _ = stack[-1]
+                name, _, _, _, _, _, own = stack[-1]
                 if name in BLOCK:
                     flush()
                 stack.pop()
-                if number >= 0:
-                    for s in stack:
-                        if s[2] >= 0:
-                            self.parts[s[2]][1].append(f"</{name}>")
+                open_at[name].pop()
+                if name in SCOPE:
+                    scopes.pop()
+                if own >= 0:
+                    digest = _digest(content[own])
+                    self.hashes[own] = int.from_bytes(digest, "little", signed=True)
+                    content[own] = bytearray()
+                    stop[own], self.until[own] = len(blocks), len(begin)
+                    if stack[-1][3] >= 0:
+                        content[stack[-1][3]] += digest
+
+        def nearest(names) -> int:
+            return max((open_at[n][-1] for n in names if open_at[n]), default=0)
 
-        at, end, skip = 0, len(source), False
+        at, end = 0, len(source)
         while at < end:
             m = _TAG.search(source, at)
             if not m:
-                if not skip:
+                if not stack[-1][1]:
                     text.append(source[at:])
                 break
-            if m.start() > at and not skip:
+            if m.start() > at and not stack[-1][1]:
                 text.append(source[at : m.start()])
             at = m.end()
-            name = m[2]
-            if name is None:
+            if m[2] is None:
                 continue
-            name = name.lower()
+            name = m[2].lower()
             if m[1]:
-                if name == "p" and not any(s[0] == "p" for s in stack):
-                    if not skip:
-                        flush()
-                    continue
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        close(i)
-                        break
-                    if stack[i][0] in ("article", "main", "td", "th") and name not in ("article", "main", "td", "th", "tr", "table", "body", "html", "div", "section"):
-                        break
-                skip = any(s[1] for s in stack)
+                place = nearest([name])
+                if place and (name in CROSSES or place > nearest(BARRIERS)):
+                    close(place)
+                elif name == "p" and not place:
+                    flush()
                 continue
-            if name in BLOCK and not skip:
+            if open_at["head"] and name not in HEAD:
+                close(open_at["head"][-1])
+            if name in BLOCK and not stack[-1][1]:
                 flush()
-            if name in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in SCOPE:
-                        break
+            if name in CLOSES_P and nearest(["p"]) > scopes[-1]:
+                close(nearest(["p"]))
             if name in CLOSED_BY:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSED_BY[name]:
-                        close(i)
-                        break
-                    if stack[i][0] in SIBLINGS[name]:
-                        break
-            skip = any(s[1] for s in stack)
+                above = nearest(SIBLINGS[name])
+                place = min((open_at[n][-1] for n in CLOSED_BY[name] if open_at[n] and open_at[n][-1] > above), default=0)
+                if place:  # a row closes with its cells
+                    close(place)
             if name in VOID:
                 continue
             if name in RAW:
-                done = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
+                done = _END_OF[name].search(source, at)
                 at = done.end() if done else end
                 continue
-            level = 2 if name == "article" else 1 if name == "main" else 0
-            inside = any(s[3] for s in stack)
-            out = _left_out(name, m[3], inside)
-            number = -1
-            if name in CONTAINERS and not skip and not out and not (inside and name in TEXTUAL) and name not in ("article", "main"):
-                number = len(self.parts)
-                self.parts.append([name, [f"<{name}>"], inside, 0])
-                for s in stack:
-                    if s[2] >= 0:
-                        self.parts[s[2]][1].append(f"<{name}>")
-            stack.append((name, out, number, 0 if out else level))
-            skip = skip or out
-        if not skip:
-            flush()
+            _, mute, out, inner, article, main, _ = stack[-1]
+            out = out or (name == "article" and article >= 0) or _left_out(name, m[3], article >= 0 or main)
+            if name == "article" and not out:
+                article, articles = articles, articles + 1
+            own = -1
+            if name in CONTAINERS and not mute and not (name in TEXTUAL and (article >= 0 or main)):
+                own = inner = len(begin)
+                begin.append(len(blocks)), stop.append(0), self.until.append(0), self.hashes.append(0)
+                content.append(bytearray(name.encode() + b">"))
+            open_at[name].append(len(stack))
+            if name in SCOPE:
+                scopes.append(len(stack))
+            stack.append((name, mute or name in MUTE, out, inner, article, main or name == "main", own))
+        flush()
+        close(1)
+
+        plain = [b for b in blocks if not b[1]]
+        size = defaultdict(int)
+        for line, _, article, _ in plain:
+            size[article] += len(line)
+        best = max((a for a in size if a >= 0), key=lambda a: (size[a], -a), default=-1)
+        if best >= 0:
+            keep = [not out and article == best for _, out, article, _ in blocks]
         else:
-            text.clear()
-        best = max((b[2] for b in self.blocks), default=0)
-        self.blocks = [b for b in self.blocks if b[2] == best]
-        total = sum(len(b[0]) for b in self.blocks)
-        used = {k for b in self.blocks for k in b[1]}
-        every = {k: _hash("".join(self.parts[k][1])) for k in used}
-        self.counted = set(every.values())
-        self.hashes = {k: h for k, h in every.items() if self.parts[k][3] * 2 < total}
+            some = any(main for *_, main in plain)
+            keep = [not out and (main or not some) for _, out, _, main in blocks]
+        self.blocks = [b[0] for b, k in zip(blocks, keep, strict=True) if k]
+        # places and lengths in terms of the blocks that are read
+        place = np.concatenate([[0], np.cumsum(np.array(keep, np.int64))]).astype(np.int64)
+        length = np.concatenate([[0], np.cumsum([len(b) for b in self.blocks])]).astype(np.int64)
+        begin, stop, until = np.array(begin, np.int64), np.array(stop, np.int64), np.array(self.until, np.int64)
+        self.first, self.last = place[begin], place[stop]
+        until[(length[self.last] - length[self.first]) * 2 >= max(1, int(length[-1]))] = 0
+        # subtrees without text are none
+        full = stop > begin
+        rank = np.concatenate([[0], np.cumsum(full)])
+        self.until = np.where(until > 0, rank[until], 0)[full]
+        self.hashes = np.array(self.hashes, np.int64)[full]
+        self.first, self.last = self.first[full], self.last[full]
 
-    def text(self, gone: frozenset[int] = frozenset()) -> str:
-        return " ".join(line for line, path, _ in self.blocks if not any(self.hashes.get(k) in gone for k in path))
+    def text(self) -> str:
+        return " ".join(self.blocks)
+
+
+def _digest(content: bytes | bytearray) -> bytes:
+    return xxhash.xxh3_64_digest(bytes(content))
 
 
 def _hash(content: str) -> int:
@@ -202,36 +238,53 @@ def _parser(batches):
     for batch in batches:
         for low in range(0, batch.num_rows, 500):
             part = batch.slice(low, min(500, batch.num_rows - low))
-            urls = part.column(1).to_pylist()
-            blocks, subtrees, keys = [], [], []
-            for source in part.column(2).to_pylist():
-                page = Page(source or "")
-                blocks.append([{"text": line, "path": [page.hashes[k] for k in path if k in page.hashes]} for line, path, _ in page.blocks])
-                subtrees.append(sorted(page.counted))
-                keys.append(_hash(page.text()))
-            kind = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))]))
             n = part.num_rows
-            columns = [pa.array(np.arange(row_id, row_id + n)), part.column(0), part.column(1), pa.array([_host(u) for u in urls], pa.string()), pa.array(keys, pa.int64()), pa.array(blocks, kind), pa.array(subtrees, pa.list_(pa.int64()))]
+            pages = [Page(source or "") for source in part.column(2).to_pylist()]
+            lists = [pa.array([p.blocks for p in pages], pa.list_(pa.string()))]
+            lists += [pa.array([getattr(p, name) for p in pages], pa.list_(kind)) for name, kind in (("hashes", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("until", pa.int32()))]
+            columns = [pa.array(np.arange(row_id, row_id + n)), part.column(0), part.column(1), pa.array([_host(u) for u in part.column(1).to_pylist()], pa.string()), pa.array([_hash(p.text()) for p in pages], pa.int64())]
             row_id += n
-            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "page_id", "url", "host", "page_key", "blocks", "subtrees"])
+            yield pa.RecordBatch.from_arrays([*columns, *lists], names=["row_id", "page_id", "url", "host", "page_key", "blocks", "subtrees", "first", "last", "until"])
+
+
+def without(blocks: list[str], subtrees: list[int], first: list[int], last: list[int], until: list[int], gone: set[int]) -> tuple[str, int]:
+    """The text without the subtrees in ``gone``, and how many were deleted, one within another counted with it."""
+    edge, found, k = np.zeros(len(blocks) + 1, np.int64), 0, 0
+    while k < len(subtrees):
+        if until[k] and subtrees[k] in gone:
+            edge[first[k]] += 1
+            edge[last[k]] -= 1
+            found, k = found + 1, until[k]
+        else:
+            k += 1
+    inside = np.cumsum(edge[:-1]) > 0
+    return " ".join(b for b, out in zip(blocks, inside.tolist(), strict=True) if not out), found
+
+
+def _cutter(batches):
+    for batch in batches:
+        made = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True):
+            *page, gone = row
+            made.append(without(*page, set(gone)) if gone else (" ".join(page[0]), 0))
+        texts = [t for t, _ in made]
+        columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in made], pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["page_id", "url", "text", "n_chars", "n_removed"])
 
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(page_id, url, text, n_chars, n_removed) of every row of ``pages`` (page_id, url, html)."""
+    """(page_id, url, text, n_chars, n_removed) of every row of ``pages`` (page_id, url, html); n_removed counts deleted templates."""
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     bounded_batches(pages.sparkSession)
     parsed = stored(pages.mapInArrow(_parser, PAGE))
-    seen = parsed.select("row_id", "host", "page_key", F.explode("subtrees").alias("subtree"))
+    seen = parsed.select("row_id", "host", "page_key", F.explode(F.array_distinct("subtrees")).alias("subtree"))
     counted = seen.groupBy("host", "subtree", "page_key").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("found"))
     often = stored(counted.filter(F.col("found") >= least_pages).select("host", "subtree"))
     # at most the subtrees of one page meet in a group; written, so that Spark knows its size and
     # moves the pages' texts only where it is too large to broadcast
-    gone = stored(seen.join(often, ["host", "subtree"]).groupBy("row_id").agg(F.collect_set("subtree").alias("gone")))
-    none = F.array().cast("array<bigint>")
-    made = parsed.join(gone, "row_id", "left").withColumn("gone", F.coalesce("gone", none))
-    kept = F.expr("filter(blocks, b -> not arrays_overlap(b.path, gone))")
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    return made.select("page_id", "url", text.alias("text"), (F.size("blocks") - F.size(kept)).cast("bigint").alias("n_removed")).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_removed")
+    gone = stored(seen.join(often, ["host", "subtree"]).groupBy("row_id").agg(F.collect_list("subtree").alias("gone")))
+    made = parsed.join(gone, "row_id", "left").select("page_id", "url", "blocks", "subtrees", "first", "last", "until", "gone")
+    return made.mapInArrow(_cutter, TEXT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

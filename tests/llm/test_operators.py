@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -533,7 +534,12 @@ def test_pages(spark):
         (page("<article><p>x</p><aside>side</aside><form>f</form><script>var t='</p>';</script><!-- no -->y"), "x y"),
         (page("<main><p>m&nbsp;n &#233;</p></main>"), "m n é"),
         ("<p>loose<div>text</div>more < 3", "loose text more < 3"),
-        ("<div hidden>no</div><div style='display:none'>no</div><p>yes", "yes"),
+        ("<div hidden>a</div><div style='display:none'>b</div><p>yes", "a b yes"),
+        ('<article><p>a</p><p class="comment">b</p><div class="social">study of ants</div><p id="notice">c</p></article>', "a b study of ants c"),
+        ('<article><p>a</p><article class=x><p>reader</p></article><div id="comments">x</div></article><article><p>b</p></article>', "a"),
+        ('<div class="site_header">h</div><p class="menu">a</p><div class="menuetto">b</div><div role="navigation">n</div><search>s</search>c', "a b c"),
+        ("<head><title>t</title><body><table><tr><td>1<td>2<tr><td>3</table><button>no</button><ul><li>x<li>y", "1 2 3 x y"),
+        ("</p></div></table><td>a</article>b<p><p>c</b></p>", "ab c"),
         ('<div title="a>b" class=x>in</div>', "in"),
         ("", ""),
         (None, ""),
@@ -565,6 +571,72 @@ def test_templates_of_a_section_go_on_a_large_host_and_thin_pages_count(spark):
     assert all(got[1000 + k].startswith(f"Story {k} ") for k in range(3))
 
 
+def brute_pages(pages, least):
+    """Texts and deleted subtrees of pages given as (host, tree); a tree is (tag, children), a child a tree or a line."""
+    lines = lambda t: [t] if isinstance(t, str) else sum(map(lines, t[1]), [])
+    below = lambda t: [] if isinstance(t, str) else [t, *sum(map(below, t[1]), [])]
+    where = defaultdict(set)
+    for host, tree in pages:
+        for t in below(tree):
+            if lines(t):
+                where[host, repr(t)].add(tuple(lines(tree)))
+    out = []
+    for host, tree in pages:
+        total, count = sum(map(len, lines(tree))), 0
+
+        def cut(t):
+            nonlocal count
+            if isinstance(t, str):
+                return [t]
+            if lines(t) and len(where[host, repr(t)]) >= least and sum(map(len, lines(t))) * 2 < total:
+                count += 1
+                return []
+            return sum(map(cut, t[1]), [])
+
+        out.append((" ".join(cut(tree)), count))
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"word{k}" for k in range(9)]
+
+    def tree(depth):
+        tag = rng.choice(["div", "section", "ul", "table"] if depth else ["p", "li", "td"])
+        children = [tree(rng.randint(0, depth - 1)) if depth and rng.random() < 0.8 else " ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(rng.randint(0, 4) if depth else 1)]
+        return (tag, tuple(children)) if tag not in ("ul", "table", "li", "td") else ("div" if depth else "p", tuple(children))
+
+    shared = [tree(2) for _ in range(12)]
+    pages = [(f"h{rng.randint(0, 2)}", ("div", tuple(rng.sample(shared, 4) + [tree(3) for _ in range(3)]))) for _ in range(120)]
+    pages += [pages[0], pages[0], pages[0]]
+    # a line after a line would be one block
+    render = lambda t: t + "<br>" if isinstance(t, str) else f"<{t[0]}>{''.join(map(render, t[1]))}</{t[0]}>"
+    rows = [(i, f"http://{host}/x", f"<body>{render(t)}</body>") for i, (host, t) in enumerate(pages)]
+    got = {r["page_id"]: (r["text"], r["n_removed"]) for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = brute_pages(pages, html_text.LEAST_PAGES)
+    assert sum(n for _, n in want) > 100
+    assert [got[i] for i in range(len(pages))] == want
+
+
+def test_deep_pages_take_linear_time():
+    began = time.perf_counter()
+    deep = html_text.Page("<div>x</b>" * 50_000)
+    assert len(deep.blocks) == 50_000 and deep.blocks[0] == "x" and time.perf_counter() - began < 20
+    assert html_text.without(deep.blocks, deep.hashes.tolist(), deep.first.tolist(), deep.last.tolist(), deep.until.tolist(), set(deep.hashes.tolist()))[1] == 1
+
+
+def test_templates_of_a_hot_host_and_odd_rows(spark):
+    nav = "<nav><ul><li><a href=/>home</a><li>news</ul></nav>"
+    rows = [(k % 50, "http://hot.org/x", f"{nav}<article><h1>Same title</h1><p>Story {k} {'word ' * 9}</p></article>") for k in range(400)]
+    rows += [(None, None, None), (None, "http://hot.org", nav)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "page_id bigint, url string, html string, gone string, blocks int, row_id int")
+    got = html_text.main_text(docs).collect()
+    assert len(got) == 402
+    stories = [r for r in got if r["page_id"] is not None]
+    assert all(r["text"].startswith("Same title Story") and r["n_removed"] == 1 for r in stories)
+    assert sorted(r["text"] for r in got if r["page_id"] is None) == ["", ""]
+
+
 # --- 9 toxicity
 def test_toxicity(spark):
     rng = random.Random(6)
