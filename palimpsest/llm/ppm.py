@@ -10,16 +10,20 @@ are excluded.  As all bytes seen after a context are also seen after its suffix,
 depends on the longer context alone and is a column of its node.  Below order 0
 all 257 - seen symbols are equally likely.
 
-Scale.  Counts are made by one grouped sum over the corpus.  The trie that goes
-to the executors has at most ``nodes`` nodes: those whose count reaches a cut-off
-taken from the counts' histogram.  Word counts of the baseline are not bounded
-by anything, so they are never broadcast: texts are cut into blocks, a block's
-distinct words are joined with the counts and come back to the block.  Words are
-told apart by 64-bit hashes.
+Scale.  A byte's probability depends on its gram, the byte and the ``ORDER`` before
+it.  Texts are cut into blocks, and a block's distinct grams are what is counted, by
+one grouped sum.  The counts are dealt by the last ``SHARED`` bytes of the context,
+so a bucket holds every node of the longer contexts that end in these bytes and
+gives the probabilities of its grams; the nodes of shorter contexts, 2^24 at most,
+go to all executors.  Probabilities come back to the blocks by a join on the gram,
+as word counts do on the word.  The trie is never cut and never in one place, and
+it grows with the corpus.  Words are told apart by 64-bit hashes.
 
 Null texts are empty: one end token.  A document is in training unless
 crc32(doc_id as text) % folds is ``held``; a null id counts as the empty text.
-Rows of the same id and text get the same result, each its own row.
+Rows are scored one by one, so repeated rows agree; they count as often as they
+occur.  A very long text is a block of its own, worked on in pieces.  An empty table
+gives an empty result.  Extra columns are left out at the scan, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,10 +41,17 @@ from palimpsest.llm.common import give_back, only, stored
 
 ORDER = 5
 DISCOUNT = 0.3
-NODES = 2_000_000
+#: Bytes of the context that all nodes of a bucket share. Shorter contexts have 256^SHARED nodes at most.
+SHARED = 3
 FOLDS, HELD = 7, 2
-#: Text bytes in a block of the baseline.
+#: Text bytes and documents in a block, and symbols worked on at once.
 BLOCK_BYTES = 8 << 20
+BLOCK_DOCS = 50_000
+PIECE = 2 << 20
+#: Grams in a bucket of the trie.
+BUCKET_GRAMS = 500_000
+#: Bits for the place of a gram or word within its block; the block's number stands above them.
+PLACE_BITS = 28
 END = 0xFF  # in no UTF-8 text
 END_HASH = np.int64(-0x1E3779B97F4A7C15)
 
@@ -69,19 +80,25 @@ def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def grams(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ORDER + 1 bytes that end with each symbol, as a number, and the symbol's document; padding is left out."""
-    s = symbols.astype(np.uint64)
-    n = len(s) - ORDER
-    key = np.zeros(max(n, 0), np.uint64)
-    for j in range(ORDER + 1):
-        key <<= np.uint64(8)
-        key |= s[j : j + n]
-    size = np.diff(at) - ORDER
-    keep = np.ones(max(n, 0), bool)
-    for k in range(ORDER):  # windows that end in the next document's padding
-        keep[at[1:-1] - ORDER + k] = False
-    return key[keep], np.repeat(np.arange(len(size)), size)
+def grams(symbols: np.ndarray, at: np.ndarray):
+    """Pieces of the documents' grams: (distinct gram << 16 | document, sorted, and how often each occurs).
+
+    A gram is the ORDER + 1 bytes that end with a symbol, as a number; padding has none.
+    """
+    for low in range(ORDER, len(symbols), PIECE):
+        s = symbols[low - ORDER : low + PIECE].astype(np.uint64)
+        n = len(s) - ORDER
+        key = np.zeros(n, np.uint64)
+        for j in range(ORDER + 1):
+            key <<= np.uint64(8)
+            key |= s[j : j + n]
+        first, last = np.searchsorted(at, [low, low + n - 1], "right") - 1
+        edges = np.clip(at[first : last + 2] - low, 0, n)
+        doc = np.repeat(np.arange(first, last + 1), np.diff(edges))
+        inside = np.arange(low, low + n) - at[doc] >= ORDER
+        packed = (key[inside] << np.uint64(16)) | doc[inside].astype(np.uint64)
+        packed.sort()
+        yield _runs(packed)
 
 
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,52 +107,12 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[start], np.diff(np.append(start, len(ordered)))
 
 
-def _count(batches):
-    """Counts of grams in the training documents of a partition."""
-    kept_u, kept_n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    waiting: list = []
-
-    def merge():
-        nonlocal kept_u, kept_n
-        u = np.concatenate([kept_u, *(w[0] for w in waiting)])
-        n = np.concatenate([kept_n, *(w[1] for w in waiting)])
-        order = np.argsort(u, kind="stable")
-        u, n = u[order], n[order]
-        start = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
-        kept_u, kept_n = u[start], np.add.reduceat(n, start) if len(u) else n
-        waiting.clear()
-
-    for batch in batches:
-        for row, end, data, offsets in chunked(batch.column(1)):
-            train = ~held_out(batch.column(0).slice(row, end - row))
-            if not train.any():
-                continue
-            key, doc = grams(*stream(Words(data, offsets, NONSPACE)))
-            key = key if train.all() else key[train[doc]]
-            key.sort()
-            waiting.append(_runs(key))
-            if sum(len(w[0]) for w in waiting) > 2_000_000:
-                merge()
-            if len(kept_u) > 4_000_000:  # what one task holds; the grouped sum adds up the parts
-                yield from _rows(kept_u, kept_n)
-                kept_u, kept_n = kept_u[:0], kept_n[:0]
-    if waiting:
-        merge()
-    yield from _rows(kept_u, kept_n)
-
-
-def _rows(u: np.ndarray, n: np.ndarray):
-    for k in range(0, len(u), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(u[k : k + 100_000].view(np.int64)), pa.array(n[k : k + 100_000])], names=["gram", "n"])
-
-
 class Trie:
     """Nodes of the trie by order, as sorted arrays."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels[k]: contexts of k bytes with one more byte, as numbers, and their counts."""
-        self.grams, self.n, self.direct, self.contexts = [], [], [], []
-        below = None
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], lower: Trie | None = None):
+        """levels[k]: contexts of k bytes with one more byte, as numbers, and their counts; ``lower`` has the levels before these."""
+        self.grams, self.n, self.direct, self.contexts = (list(getattr(lower, x, ())) for x in ("grams", "n", "direct", "contexts"))
         for key, n in levels:
             order = np.argsort(key)
             key, n = key[order], n[order].astype(np.float64)
@@ -143,15 +120,14 @@ class Trie:
             kinds = np.diff(np.append(first, len(key)))
             total = np.add.reduceat(n, first) if len(n) else n
             shut = np.zeros(len(context))
-            if below is not None and len(key):
+            if self.grams and len(key):
                 mask = np.uint64((1 << (8 * len(self.grams))) - 1)
-                shut = np.add.reduceat(below[1][np.searchsorted(below[0], key & mask)], first)
+                shut = np.add.reduceat(self.n[-1][np.searchsorted(self.grams[-1], key & mask)], first)
             self.grams.append(key)
-            self.n.append(n.astype(np.float32))
+            self.n.append(n)
             self.direct.append(np.log10((n - DISCOUNT) / np.repeat(total, kinds)).astype(np.float32))
             # total, kinds, and the count that the next shorter context has for the bytes seen here
             self.contexts.append((context, total, kinds.astype(np.int32), shut))
-            below = (key, n)
 
     def log10(self, key: np.ndarray) -> np.ndarray:
         """log10 of the probability of the last byte of each of the sorted grams, after the others."""
@@ -191,80 +167,23 @@ class Trie:
         return out
 
 
-def train(docs: DataFrame, nodes: int = NODES) -> Trie:
-    """A trie of the training documents of ``docs`` (doc_id, text)."""
-    counts = stored(docs.mapInArrow(_count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
-    levels = [counts]
-    for k in range(ORDER - 1, -1, -1):
-        shorter = F.expr(f"gram & {(1 << (8 * (k + 1))) - 1}L").alias("gram")
-        levels.append(stored(levels[-1].groupBy(shorter).agg(F.sum("n").alias("n"))))
-    levels.reverse()
-    tall = levels[0].select("n")
-    for level in levels[1:]:
-        tall = tall.unionAll(level.select("n"))
-    histogram = sorted(tall.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect())
-    cut, left = 1, sum(r[1] for r in histogram)
-    for n, many in histogram:
-        if left <= nodes:
-            break
-        left, cut = left - many, n + 1
-    found = []
-    for level in levels:
-        rows = level.filter(F.col("n") >= cut).toArrow()
-        found.append((rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy()))
-    return Trie(found)
-
-
-def _scorer(shared):
-    def run(batches):
-        trie = shared.value
-        for batch in batches:
-            for row, end, data, offsets in chunked(batch.column(1)):
-                key, doc = grams(*stream(Words(data, offsets, NONSPACE)))
-                score = np.zeros(end - row)
-                for low in range(0, end - row, 1 << 16):  # 48 bits of bytes and 16 of document in one number
-                    some = (doc >= low) & (doc < low + (1 << 16)) if end - row > 1 << 16 else slice(None)
-                    packed = (key[some] << np.uint64(16)) | (doc[some] - low).astype(np.uint64)
-                    packed.sort()
-                    packed, times = _runs(packed)
-                    gram = packed >> np.uint64(16)
-                    name, runs = _runs(gram)
-                    value = np.repeat(trie.log10(name), runs) * times
-                    part = np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), value, min(1 << 16, end - row - low))
-                    score[low : low + len(part)] = part
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, end - row) for i in (0, 2)), pa.array(score)], names=["doc_id", "text_key", "score"])
-        give_back()
+def shorter(key: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams' last ``width`` bytes and their counts."""
+    key = key & np.uint64((1 << (8 * width)) - 1)
+    order = np.argsort(key, kind="stable")
+    short, times = _runs(key[order])
+    return short, np.add.reduceat(n[order], np.cumsum(times) - times) if len(n) else n
 
-    return run
-
-
-BLOCKS = "block bigint, doc_ids array<bigint>, text_keys array<bigint>, held array<boolean>, counts array<int>, words array<bigint>, train array<int>, tokens binary"
 
+BLOCKS = "block bigint, doc_ids array<bigint>, held array<boolean>, texts array<string>, words array<bigint>, word_n array<int>, grams array<bigint>, gram_n array<int>"
 
-def _blocks(batches):
-    """Documents as numbers of their block's distinct words."""
-    context = TaskContext.get()
-    block = (context.partitionId() if context else 0) << 32
-    ids, keys, held, counts, hashes, size = [], [], [], [], [], 0
 
-    def flush():
-        nonlocal block, size
-        every = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-        of_doc = np.concatenate(counts)
-        out = np.concatenate(held)
-        words, token = np.unique(every, return_inverse=True)
-        seen = np.bincount(token[~np.repeat(out, of_doc)], minlength=len(words))
-        lists = [ids, keys]
-        row = [pa.array([block]), *(pa.array([[x for part in one for x in part.to_pylist()]], pa.list_(pa.int64())) for one in lists)]
-        row += [pa.array([out], pa.list_(pa.bool_())), pa.array([of_doc.astype(np.int32)]), pa.array([words]), pa.array([seen.astype(np.int32)]), pa.array([token.astype(np.int32).tobytes()], pa.binary())]
-        block += 1
-        size = 0
-        for one in (ids, keys, held, counts, hashes):
-            one.clear()
-        return pa.RecordBatch.from_arrays(row, names=["block", "doc_ids", "text_keys", "held", "counts", "words", "train", "tokens"])
+class Block:
+    """The distinct words and grams of a run of documents."""
 
-    for batch in batches:
-        for row, end, data, offsets in chunked(batch.column(1)):
+    def __init__(self, texts: pa.Array):
+        self.hashes, self.counts, self.parts = [], [], []  # of words by chunk; packed grams of a piece, times, first document
+        for row, _, data, offsets in chunked(texts):
             words = Words(data, offsets, NONSPACE)
             # every document ends with one end token
             at = words.first[1:] + np.arange(words.docs)
@@ -272,54 +191,119 @@ def _blocks(batches):
             rest = np.ones(len(every), bool)
             rest[at] = False
             every[rest] = words.hashes().view(np.int64)
-            own = batch.column(0).slice(row, end - row)
-            ids.append(own)
-            keys.append(batch.column(2).slice(row, end - row))
-            held.append(held_out(own))
-            counts.append(words.count + 1)
-            hashes.append(every)
-            size += len(data)
-            if size >= BLOCK_BYTES:
+            self.hashes.append(every)
+            self.counts.append(words.count + 1)
+            self.parts += [(packed, times.astype(np.int32), row) for packed, times in grams(*stream(words))]
+        self.counts = np.concatenate(self.counts)
+        self.words, self.token = np.unique(np.concatenate(self.hashes), return_inverse=True)
+        self.grams = np.zeros(0, np.uint64)
+        for packed, _, _ in self.parts:
+            self.grams = np.union1d(self.grams, _runs(packed >> np.uint64(16))[0])
+
+    def in_training(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word and each gram occurs in documents that aren't held out."""
+        words = np.bincount(self.token[~np.repeat(held, self.counts)], minlength=len(self.words))
+        found = np.zeros(len(self.grams), np.int64)
+        for packed, times, row in self.parts:
+            name, runs = _runs(packed >> np.uint64(16))
+            doc = (packed & np.uint64(0xFFFF)).astype(np.int64) + row
+            found[np.searchsorted(self.grams, name)] += np.add.reduceat(np.where(held[doc], 0, times), np.cumsum(runs) - runs)
+        return words, found
+
+    def scores(self, word_value: np.ndarray, gram_value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the words' and the grams' values by document."""
+        model = np.zeros(len(self.counts))
+        for packed, times, row in self.parts:
+            name, runs = _runs(packed >> np.uint64(16))
+            value = np.repeat(gram_value[np.searchsorted(self.grams, name)], runs) * times
+            part = np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), value)
+            model[row : row + len(part)] += part
+        return np.add.reduceat(word_value[self.token], np.cumsum(self.counts) - self.counts), model
+
+
+def _blocks(batches):
+    context = TaskContext.get()
+    block = (context.partitionId() if context else 0) << 12
+    ids, texts, docs, size = [], [], 0, 0
+
+    def flush():
+        every, names = pa.concat_arrays(texts), pa.concat_arrays(ids)
+        own, held = Block(every), held_out(names)
+        words, found = own.in_training(held)
+        row = [pa.array([block]), pa.array([names.to_pylist()], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every)]
+        row += [pa.array([own.words]), pa.array([words.astype(np.int32)]), pa.array([own.grams.view(np.int64)]), pa.array([found.astype(np.int32)])]
+        return pa.RecordBatch.from_arrays(row, names=["block", "doc_ids", "held", "texts", "words", "word_n", "grams", "gram_n"])
+
+    for batch in batches:
+        for row, end, data, _ in chunked(batch.column(1)):
+            ids.append(batch.column(0).slice(row, end - row))
+            texts.append(batch.column(1).slice(row, end - row).fill_null(""))
+            docs, size = docs + end - row, size + len(data)
+            if size >= BLOCK_BYTES or docs >= BLOCK_DOCS:
                 yield flush()
+                block, docs, size = block + 1, 0, 0
+                ids.clear(), texts.clear()
     if ids:
         yield flush()
+    give_back()
+
+
+def _valuer(shared):
+    def run(key, group):
+        group = group.combine_chunks()
+        gram, n = group["gram"].to_numpy().view(np.uint64), group["n"].to_numpy()
+        order = np.argsort(gram)
+        gram, n = gram[order], n[order]
+        seen = n > 0
+        levels = [(gram[seen], n[seen])]
+        for width in range(ORDER, SHARED, -1):
+            levels.insert(0, shorter(*levels[0], width))
+        value = Trie(levels, shared.value).log10(gram)
+        return pa.table({"gram": gram.view(np.int64), "value": value.astype(np.float32)})
+
+    return run
 
 
-def _base(total: int, distinct: int):
-    def run(key, blocks, counts):
-        out = []
-        c = np.zeros(counts.num_rows, np.int64)
-        c[counts["at"].to_numpy()] = counts["c"].to_numpy()
-        value = np.log10((c + 1) / (total + distinct + 1))
-        for row in blocks.to_pylist():
-            token = np.frombuffer(row["tokens"], np.int32)
-            first = np.concatenate([[0], np.cumsum(row["counts"])]).astype(np.int64)
-            known = sums((c[token] > 0).astype(np.int64), first, np.int64)
-            score = np.add.reduceat(value[token], first[:-1])
-            n = len(known)
-            out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "text_key": pa.array(row["text_keys"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": np.diff(first), "n_known": known, "train_tokens": np.full(n, total), "base_score": score}))
-        return pa.concat_tables(out)
+def model(counts: DataFrame) -> DataFrame:
+    """(gram, value): log10 of the probability of the last byte of each gram of ``counts`` (gram, n; n may be 0)."""
+    low = counts.filter("n > 0").groupBy(F.expr(f"gram & {(1 << (8 * SHARED)) - 1}L").alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    key, n = low["gram"].to_numpy().view(np.uint64), low["n"].to_numpy()
+    shared = counts.sparkSession.sparkContext.broadcast(Trie([shorter(key, n, k + 1) for k in range(SHARED)]))
+    buckets = max(1, -(-counts.count() // BUCKET_GRAMS))
+    context = f"(gram >> 8) & {(1 << (8 * SHARED)) - 1}L"
+    return counts.groupBy(F.expr(f"pmod(xxhash64({context}), {buckets})")).applyInArrow(_valuer(shared), "gram bigint, value float")
+
+
+def _scorer(total: int, distinct: int):
+    def run(key, blocks, found):
+        row = blocks.select(["doc_ids", "held", "texts"]).combine_chunks()
+        ids, held, texts = (row[c].chunk(0).flatten() for c in ("doc_ids", "held", "texts"))
+        own = Block(texts)
+        at, value = found["place"].to_numpy() & ((1 << PLACE_BITS) - 1), found["value"].to_numpy()
+        gram = found["gram"].to_numpy(zero_copy_only=False).astype(bool)
+        c, model_value = np.zeros(len(own.words)), np.zeros(len(own.grams))
+        c[at[~gram]], model_value[at[gram]] = value[~gram], value[gram]
+        base, score = own.scores(np.log10((c + 1) / (total + distinct + 1)), model_value)
+        known = np.add.reduceat((c[own.token] > 0).astype(np.int64), np.cumsum(own.counts) - own.counts)
+        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": own.counts.astype(np.int64), "n_known": known, "train_tokens": np.full(len(ids), total), "base_score": base, "score": score})
 
     return run
 
 
-def scores(docs: DataFrame, nodes: int = NODES) -> DataFrame:
+def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
-    docs = only(docs, doc_id="bigint", text="string").withColumn("text_key", F.xxhash64("text"))
-    spark = docs.sparkSession
-    blocks = stored(docs.mapInArrow(_blocks, BLOCKS))
-    words = blocks.select(F.col("block").alias("own"), F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select("own", "at", F.col("w.words").alias("word"), F.col("w.train").alias("train"))
-    counts = stored(words.groupBy("word").agg(F.sum("train").alias("c")))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.expr("count_if(c > 0)")).first()
-    back = words.drop("train").join(counts, "word").select("own", "at", "c")
-    kind = "doc_id bigint, text_key bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double"
-    base = blocks.select("block", "doc_ids", "text_keys", "held", "counts", "tokens").groupBy("block").cogroup(back.groupBy("own")).applyInArrow(_base(total, distinct), kind)
-
-    shared = spark.sparkContext.broadcast(train(docs, nodes))
-    model = docs.mapInArrow(_scorer(shared), "doc_id bigint, text_key bigint, score double")
-    model = model.groupBy(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")).agg(F.first("score").alias("score"))
-    both = base.join(model, base["doc_id"].eqNullSafe(model["own_id"]) & base["text_key"].eqNullSafe(model["own_key"]))
-    return both.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    blocks = stored(only(docs, doc_id="bigint", text="string").mapInArrow(_blocks, BLOCKS))
+    place = F.expr(f"shiftleft(block, {PLACE_BITS}) + pos").alias("place")
+    spread = lambda key, n: blocks.select("block", F.posexplode(F.arrays_zip(F.col(key).alias("name"), F.col(n).alias("n"))).alias("pos", "x")).select(place, F.col("x.name").alias("name"), F.col("x.n").alias("n"))
+    words, grams_ = spread("words", "word_n"), spread("grams", "gram_n")
+    counts = stored(words.groupBy("name").agg(F.sum("n").alias("value")))
+    total, distinct = counts.agg(F.coalesce(F.sum("value"), F.lit(0)), F.expr("count_if(value > 0)")).first()
+    values = stored(model(stored(grams_.groupBy(F.col("name").alias("gram")).agg(F.sum("n").alias("n")))))
+    found = words.select("place", "name").join(counts, "name").select("place", F.col("value").cast("double").alias("value"), F.lit(False).alias("gram"))
+    more = grams_.select("place", F.col("name").alias("key")).join(values.select(F.col("gram").alias("key"), "value"), "key").select("place", F.col("value").cast("double").alias("value"), F.lit(True).alias("gram"))
+    back = found.unionAll(more).withColumn("own", F.shiftrightunsigned("place", PLACE_BITS))
+    kind = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return blocks.select("block", "doc_ids", "held", "texts").groupBy("block").cogroup(back.groupBy("own")).applyInArrow(_scorer(total, distinct), kind)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

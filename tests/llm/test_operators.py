@@ -486,7 +486,9 @@ def reference_log10(texts, train, query, order):
     return total
 
 
-def test_ppm(spark):
+@pytest.mark.parametrize("bucket", [ppm.BUCKET_GRAMS, 300])
+def test_ppm(spark, monkeypatch, bucket):
+    monkeypatch.setattr(ppm, "BUCKET_GRAMS", bucket)
     texts = [t for t in TEXTS if len(t or "") < 1000]
     docs = make_docs(spark, texts)
     rows = ppm.scores(docs).collect()
@@ -507,6 +509,23 @@ def test_ppm(spark):
     assert ppm.scores(empty(spark)).count() == 0
 
 
+def test_grams_in_pieces(monkeypatch):
+    texts = ["", "ab c", "x" * 50, " ", "é é\u00a0é", "the end " * 9]
+    raw = [t.encode() for t in texts]
+    words = Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), NONSPACE)
+    want = Counter()
+    for i, t in enumerate(texts):
+        s = b"\xff" * ppm.ORDER + b" ".join(re.findall(rb"[^\x20\x09-\x0d]+", t.encode())) + b"\xff"
+        want.update((s[k : k + ppm.ORDER + 1], i) for k in range(len(s) - ppm.ORDER))
+    for piece in (1, 7, 64, ppm.PIECE):
+        monkeypatch.setattr(ppm, "PIECE", piece)
+        got = Counter()
+        for packed, times in ppm.grams(*ppm.stream(words)):
+            for p, n in zip(packed.tolist(), times.tolist()):
+                got[(p >> 16).to_bytes(ppm.ORDER + 1, "big"), p & 0xFFFF] += n
+        assert got == want
+
+
 def test_ppm_probabilities_sum_to_one():
     rng = np.random.default_rng(5)
     key = np.unique(rng.integers(0, 1 << 24, 300).astype(np.uint64) & np.uint64(0x030303))
