@@ -6,7 +6,8 @@ centroids fitted on a bounded sample; each vector goes to its nearest centroid's
 cell, its home, and to every other whose border with the home is at most the
 threshold's angle away.  Whatever links with a vector is therefore in that
 vector's home shard: no link is cut by a border, and none has to be sent between
-tasks as a pair.
+tasks as a pair.  Graphs are built on the nodes up to half as far from the border,
+as of two linked ones on both sides of it one is that close.
 
 In each shard every node gets its nearest neighbours, robustly pruned: a
 neighbour is left out if a kept one is closer to it by the factor ``ALPHA``.  Where
@@ -113,50 +114,57 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def _assigner(shared, threshold: float):
     def run(batches):
         table = shared.value
-        reach = math.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9  # sine of the threshold's angle
+        reach, half = (math.sin(math.acos(threshold) * x) + 1e-9 for x in (1, 0.5))
         for batch in batches:
             for low in range(0, batch.num_rows, 2_000):
                 part = batch.slice(low, min(2_000, batch.num_rows - low))
                 group = [(a, b) for a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                rows, shard, home = [], [], []
+                rows, shard, home, inner = [], [], [], []
                 for name in sorted(set(group)):
                     own = np.array([i for i, g in enumerate(group) if g == name])
                     if name not in table:
-                        rows.append(own), shard.append(np.zeros(len(own), np.int64)), home.append(np.ones(len(own), bool))
+                        rows.append(own), shard.append(np.zeros(len(own), np.int64)), home.append(np.ones(len(own), bool)), inner.append(np.ones(len(own), bool))
                         continue
                     near = _matrix(part.column(4).take(pa.array(own))) @ table[name].T
                     best = np.argmax(near, 1)
                     # distance of two centroids: their border is the plane across the middle of it
                     apart = np.sqrt(np.maximum(0, 2 - 2 * table[name][best] @ table[name].T))
-                    i, j = np.nonzero(near[np.arange(len(own)), best][:, None] - near <= reach * apart)
-                    rows.append(own[i]), shard.append(j), home.append(best[i] == j)
+                    gap = near[np.arange(len(own)), best][:, None] - near
+                    i, j = np.nonzero(gap <= reach * apart)
+                    rows.append(own[i]), shard.append(j), home.append(best[i] == j), inner.append((gap <= half * apart)[i, j])
                 take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(5)), pa.array(np.concatenate(shard).astype(np.int32)), pa.array(np.concatenate(home))], names=["rep", "label", "dims", "size", "unit", "shard", "home"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(5)), pa.array(np.concatenate(shard).astype(np.int32)), pa.array(np.concatenate(home)), pa.array(np.concatenate(inner))], names=["rep", "label", "dims", "size", "unit", "shard", "home", "inner"])
 
     return run
 
 
-def pruned(vectors: np.ndarray, wide: int, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Neighbours of each row after robust pruning of its nearest ``wide`` rows."""
-    n, v = len(vectors), vectors.astype(np.float32)
-    wide = min(wide, n - 1)
-    if wide <= 0:
-        return [np.zeros(0, np.int64) for _ in range(n)]
-    out: list[np.ndarray] = []
-    for low in range(0, n, 512):
-        block = v[low : low + 512]
-        cosine = block @ v.T
-        cosine[np.arange(len(block)), np.arange(low, low + len(block))] = -2
+def nearest(vectors: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``wide`` nearest rows of each row, closest first, and their cosines."""
+    v = vectors.astype(np.float32)
+    wide = min(wide, len(v) - 1)
+    place, cosines = np.zeros((len(v), wide), np.int64), np.zeros((len(v), wide), np.float32)
+    for low in range(0, len(v) if wide else 0, 512):
+        cosine = v[low : low + 512] @ v.T
+        cosine[np.arange(len(cosine)), np.arange(low, low + len(cosine))] = -2
         near = np.argpartition(-cosine, wide - 1, axis=1)[:, :wide]
-        order = np.argsort(-np.take_along_axis(cosine, near, 1), axis=1, kind="stable")
-        near = np.take_along_axis(near, order, 1)
-        far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(cosine, near, 1)))
-        alive, kept, count = np.ones(near.shape, bool), np.zeros(near.shape, bool), np.zeros(len(block), int)
+        value = np.take_along_axis(cosine, near, 1)
+        order = np.argsort(-value, axis=1, kind="stable")
+        place[low : low + 512], cosines[low : low + 512] = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
+    return place, cosines
+
+
+def pruned(vectors: np.ndarray, place: np.ndarray, cosines: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
+    """Neighbours of each row after robust pruning of its nearest rows."""
+    v, wide = vectors.astype(np.float32), place.shape[1]
+    out: list[np.ndarray] = []
+    for low in range(0, len(v), 512):
+        near, far = place[low : low + 512], np.sqrt(np.maximum(0, 2 - 2 * cosines[low : low + 512]))
+        alive, kept, count = np.ones(near.shape, bool), np.zeros(near.shape, bool), np.zeros(len(near), int)
         for r in range(wide):
             take = alive[:, r] & (count < degree)
             kept[take, r] = True
             count += take
-            some = np.flatnonzero(take)
+            some = np.flatnonzero(take & (count < degree))
             if not len(some) or r + 1 == wide:
                 continue
             between = np.einsum("ij,ikj->ik", v[near[some, r]], v[near[some, r + 1 :]])
@@ -180,34 +188,64 @@ def _lowest(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return low
 
 
-def joining(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of the spanning tree of greatest cosines: from each part to its closest row outside, until one part is left."""
+def joining(vectors: np.ndarray, place: np.ndarray, cosines: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning tree in which rows that a chain of links joins reach each other over links.
+
+    From each part the closest row outside is joined, until one part is left: first
+    along links among the nearest rows; then along any links of rows with more of
+    them than nearest rows are known; then along the nearest rows of all; and at
+    last along any pairs.
+    """
     n, v = len(vectors), vectors.astype(np.float32)
-    more_a, more_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    low = np.arange(n)
-    while (low != low[:1]).any():
-        best, other = np.empty(n, np.float32), np.empty(n, np.int64)
-        for k in range(0, n, 512):
-            cosine = v[k : k + 512] @ v.T
-            cosine[low[k : k + 512, None] == low[None, :]] = -2
-            other[k : k + 512] = np.argmax(cosine, 1)
-            best[k : k + 512] = cosine[np.arange(len(cosine)), other[k : k + 512]]
-        order = np.lexsort((-best, low))
-        one = order[np.unique(low[order], return_index=True)[1]]
-        more_a.append(one), more_b.append(other[one])
-        low = _lowest(len(v), low[one], low[other[one]])[low]
+    more_a, more_b, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(n)
+
+    def join(a, b, cosine):
+        """Joins parts along the best of their edges that lead outside; whether there were any."""
+        nonlocal low
+        out = np.flatnonzero(low[a] != low[b])
+        if not len(out):
+            return False
+        a, b, cosine = a[out], b[out], cosine[out]
+        order = np.lexsort((-cosine, low[a]))
+        best = order[np.unique(low[a][order], return_index=True)[1]]
+        more_a.append(a[best]), more_b.append(b[best])
+        low = _lowest(n, low[a[best]], low[b[best]])[low]
+        return True
+
+    def known(least):
+        i, j = np.nonzero(cosines >= least)
+        while join(i, place[i, j], cosines[i, j]):
+            pass
+
+    def dense(rows, least):
+        while (low[rows] != low[rows][:1]).any():
+            best, other = np.empty(len(rows), np.float32), np.empty(len(rows), np.int64)
+            for k in range(0, len(rows), 512):
+                cosine = v[rows[k : k + 512]] @ v[rows].T
+                cosine[low[rows[k : k + 512], None] == low[rows][None, :]] = -2
+                other[k : k + 512] = np.argmax(cosine, 1)
+                best[k : k + 512] = cosine[np.arange(len(cosine)), other[k : k + 512]]
+            good = best >= least
+            if not good.any() or not join(rows[good], rows[other[good]], best[good]):
+                break
+
+    known(threshold)
+    dense(np.flatnonzero(cosines[:, -1] >= threshold - 1e-5) if cosines.shape[1] else np.arange(0), threshold - 1e-5)
+    known(-1)
+    dense(np.arange(n), -1)
     return np.concatenate(more_a), np.concatenate(more_b)
 
 
-def _builder(wide: int):
+def _builder(threshold: float, wide: int):
     def run(key, group):
         group = group.take(pa.array(np.argsort(group["rep"].to_numpy())))
         rep = group["rep"].to_numpy()
         vectors = _matrix(group["unit"])
-        near = pruned(vectors, wide)
+        place, cosines = nearest(vectors, wide)
+        near = pruned(vectors, place, cosines)
         # edges both ways, so that a search can leave and reach every node
         a, b = np.repeat(np.arange(len(rep)), [len(x) for x in near]), np.concatenate(near)
-        more_a, more_b = joining(vectors)
+        more_a, more_b = joining(vectors, place, cosines, threshold)
         a, b = np.concatenate([a, more_a]), np.concatenate([b, more_b])
         pair = np.unique(np.concatenate([a * len(rep) + b, b * len(rep) + a]))
         a, b = pair // len(rep), pair % len(rep)
@@ -368,8 +406,8 @@ def _linked(members: DataFrame, threshold: float, wide: int, beam: int, slack: f
     members = members.join(sizes, by)
     one = F.expr("pmod(xxhash64(rep, 11), parts)").cast("int")
     two = F.expr("pmod(pmod(xxhash64(rep, 11), parts) + 1 + pmod(xxhash64(rep, 13), parts - 1), parts)").cast("int")
-    built = members.select("rep", "unit", *by, F.explode(F.when(F.col("parts") > 1, F.array(one, two)).otherwise(F.array(F.lit(0)))).alias("part"))
-    lists = built.groupBy(*by, "part").applyInArrow(_builder(wide), "rep bigint, near array<bigint>")
+    built = members.filter("inner").select("rep", "unit", *by, F.explode(F.when(F.col("parts") > 1, F.array(one, two)).otherwise(F.array(F.lit(0)))).alias("part"))
+    lists = built.groupBy(*by, "part").applyInArrow(_builder(threshold, wide), "rep bigint, near array<bigint>")
     # at most the lists of the few parts that a node is in meet in a group
     lists = stored(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     slots = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
@@ -401,7 +439,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
             if len(own):
                 table[name] = centroids(_matrix(sample["unit"].take(pa.array(own))), math.ceil(n / SHARD))
     shared = spark.sparkContext.broadcast(table)
-    members = stored(nodes.mapInArrow(_assigner(shared, threshold), f"rep bigint, label int, dims int, size bigint, unit array<{real}>, shard int, home boolean"))
+    members = stored(nodes.mapInArrow(_assigner(shared, threshold), f"rep bigint, label int, dims int, size bigint, unit array<{real}>, shard int, home boolean, inner boolean"))
     for effort in EFFORTS:
         found = stored(_linked(members, threshold, *effort))
         links = found.groupBy("rep").agg(F.sum("links").alias("links"))
