@@ -6,16 +6,24 @@ the recursion joins neighbours with the merge table and contracts each piece's
 leftmost pair of the smallest rank, until no pair is left.  Decoding aggregates
 the bytes of a piece's tokens in the order of their positions.
 
-Pieces of more than ``LONG`` bytes take another recursion with the same result:
-a step contracts all pairs of the smallest rank from the left.  No merge across
-such pairs can come first, as a pair with the new token always has a higher rank.
-
-Null texts are empty: no ids.  Rows are handled one by one, whatever their ids.
+A piece of more than ``LONG`` bytes is encoded in overlapping windows of that size,
+each a piece of the recursion.  Neighbouring windows are joined behind a token that
+both have at the same place; where they share none, a window twice as large takes
+their place (of more than ``WIDE`` bytes, by a recursion with the same result that
+contracts all pairs of the smallest rank a step).  The result is exact: a sequence of tokens is the encoding of its bytes
+if, and only if, every two neighbours are the encoding of theirs, and in the joined
+sequence any two neighbours come from the same window.  So a long piece costs in
+proportion to its length.
+
+Null texts are empty: no ids.  Rows are handled one by one, whatever their ids, so
+repeated rows and null ids come out as they come in.  An empty table gives an empty
+result.  Extra columns are left out at the scan, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 
 import duckdb
@@ -30,21 +38,20 @@ from palimpsest.llm.pretokens import Recent, splitter
 #: Distinct pieces whose ids a worker keeps between batches, and pieces in one recursive query.
 CACHE_WORDS = 240_000
 QUERY_WORDS = 20_000
+#: Bytes of the longest piece that is encoded at once.
 LONG = 64
-#: Characters of long pieces in one recursive query, or one piece.
-LONG_BATCH = 20_000
+#: Bytes of the windows of longer pieces, and of the largest one whose pairs are contracted one by one.
+WINDOW, WIDE = 128, 512
+#: Bytes of the pieces in one recursive query, or one piece.
+QUERY_BYTES = 150_000
 
-START = """
-  select t.word, t.pos, t.id, n.id as after, n.pos as next_pos, m.merged as rank
+#: One pair of each piece a step. A state row has the token that follows, its place, and the rank of the pair.
+ENCODE = """
+with recursive state(step, word, pos, id, after, next_pos, rank) as (
+  select 0, t.word, t.pos, t.id, n.id, n.pos, m.merged
   from tokens t
   left join tokens n on n.word = t.word and n.pos = t.pos + 1
   left join merges m on m.a = t.id and m.b = n.id
-"""
-
-#: One pair of each piece a step. A state row has the token that follows, its place, and the rank of the pair.
-SHORT_QUERY = f"""
-with recursive state(step, word, pos, id, after, next_pos, rank) as (
-  select 0, * from ({START})
   union all
   select s.step, s.word, s.pos, s.id, s.after, s.next_pos, m.merged
   from (
@@ -65,6 +72,13 @@ with recursive state(step, word, pos, id, after, next_pos, rank) as (
 select s.word, s.pos, s.id from state s join (select word, max(step) as step from state group by word) using (word, step)
 """
 
+_START = """
+  select t.word, t.pos, t.id, n.id as after, n.pos as next_pos, m.merged as rank
+  from tokens t
+  left join tokens n on n.word = t.word and n.pos = t.pos + 1
+  left join merges m on m.a = t.id and m.b = n.id
+"""
+
 _PICKED = """(
   select word, pos, next_pos, rank from (
     select *, row_number() over (partition by word, run order by pos) as nth from (
@@ -75,10 +89,11 @@ _PICKED = """(
   ) where nth % 2 = 1
 )"""
 
-#: All pairs of the smallest rank of each piece a step; of overlapping ones every other from the left.
-LONG_QUERY = f"""
+#: The same with all pairs of the smallest rank a step; of overlapping ones every other from the left. No merge across such
+#: pairs can come first, as a pair with the new token always has a higher rank.
+ENCODE_WIDE = f"""
 with recursive state(word, pos, id, after, next_pos, rank) using key (word, pos) as (
-  {START}
+  {_START}
   union
   select s.word, s.pos, s.id, s.after, s.next_pos, m.merged
   from (
@@ -124,6 +139,21 @@ def merge_table(ranks: dict[bytes, int]) -> np.ndarray:
     return np.array(rows, np.int32).reshape(-1, 3)
 
 
+def _wider(spans: list[tuple[int, int]], apart: list[int], length: int) -> list[tuple[int, int]]:
+    """``spans`` with one of twice the size in place of each window that has no token in common with the next."""
+    wide: list[tuple[int, int]] = []
+    for j in apart:
+        a, b = spans[j]
+        b = min(length, max(spans[j + 1][1], 2 * b - a))
+        if wide and a < wide[-1][1]:
+            wide[-1] = (wide[-1][0], max(b, wide[-1][1]))
+        else:
+            wide.append((a, b))
+    at = [w[0] for w in wide]
+    within = lambda span: (k := bisect.bisect_right(at, span[0]) - 1) >= 0 and span[1] <= wide[k][1]
+    return sorted([span for span in spans if not within(span)] + wide)
+
+
 class Coder:
     """Encodes pieces; ids and decoded bytes of the last ones are kept."""
 
@@ -132,7 +162,7 @@ class Coder:
         self.name = {i: str(i) for i in ranks.values()}
         self.split = splitter(pattern)
         self.known = Recent(CACHE_WORDS)  # tokens, ids as text, decoded bytes
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": "", "preserve_insertion_order": False})
         self.db.execute("create table merges(a int, b int, merged int)")
         self.db.execute("create table vocabulary(id int, chars varchar)")
         self._fill("merges", pa.table({"a": merges[:, 0], "b": merges[:, 1], "merged": merges[:, 2]}))
@@ -144,40 +174,90 @@ class Coder:
         self.db.execute(f"insert into {name} select * from given")
         self.db.unregister("given")
 
-    def _run(self, pieces: list[str], query: str) -> None:
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        length = np.array([len(r) for r in raw])
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        pos = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
-        self.db.register("tokens", pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), length), "pos": pos.astype(np.int32), "id": self.byte[data]}))
-        self.db.execute(f"create or replace temp table encoded as {query}")
-        got = self.db.execute("select word, pos, id from encoded").fetchnumpy()
-        order = np.lexsort((got["pos"], got["word"]))
-        name = self.name
-        ids = [name[i] for i in got["id"][order].tolist()]
-        first = np.searchsorted(got["word"][order], np.arange(len(pieces) + 1)).tolist()
-        for word, chars in self.db.execute(DECODE).fetchall():
-            a, b = first[word], first[word + 1]
-            self.known[pieces[word]] = (b - a, " ".join(ids[a:b]), chars.encode("latin-1"))
-        self.db.unregister("tokens")
+    def _tokens(self, pieces: list[bytes], query: str = ENCODE) -> tuple[np.ndarray, np.ndarray]:
+        """(last byte of each token, tokens) of all pieces, one after another, and each piece's first token."""
+        ends, ids, counts, low = [], [], [], 0
+        size = np.cumsum([len(p) for p in pieces])
+        while low < len(pieces):
+            high = min(low + QUERY_WORDS, max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + QUERY_BYTES, "right"))))
+            some = pieces[low:high]
+            length = np.array([len(r) for r in some])
+            data = np.frombuffer(b"".join(some), np.uint8)
+            pos = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
+            self.db.register("tokens", pa.table({"word": np.repeat(np.arange(len(some), dtype=np.int32), length), "pos": pos.astype(np.int32), "id": self.byte[data]}))
+            got = self.db.execute(query).fetchnumpy()
+            self.db.unregister("tokens")
+            # a merged token stands at its last byte
+            order = np.lexsort((got["pos"], got["word"]))
+            ends.append(got["pos"][order].astype(np.int64)), ids.append(got["id"][order].astype(np.int64))
+            counts.append(np.bincount(got["word"], minlength=len(some)))
+            low = high
+        count = np.concatenate([*counts, np.zeros(0, np.int64)])
+        return np.stack([np.concatenate(ends), np.concatenate(ids)], 1) if ends else np.zeros((0, 2), np.int64), np.concatenate([[0], np.cumsum(count)])
+
+    def _long(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """(last byte of each token, token) of each piece, from overlapping windows."""
+        half = WINDOW // 2
+        spans = [[(a, min(a + WINDOW, len(p))) for a in range(0, max(1, len(p) - half), half)] for p in pieces]
+        out: list = [None] * len(pieces)
+        known: dict = {}
+        todo = list(range(len(pieces)))
+        while todo:
+            new = [(i, a, b) for i in todo for a, b in spans[i] if (i, a, b) not in known]
+            for query, some in ((ENCODE, [x for x in new if x[2] - x[1] <= WIDE]), (ENCODE_WIDE, [x for x in new if x[2] - x[1] > WIDE])):
+                tokens, first = self._tokens([pieces[i][a:b] for i, a, b in some], query)
+                for k, (i, a, b) in enumerate(some):
+                    known[i, a, b] = tokens[first[k] : first[k + 1]] + [a, 0]
+            left = []
+            for i in todo:
+                parts, apart = [known[i, *spans[i][0]]], []
+                for j, span in enumerate(spans[i][1:]):
+                    last, part = parts[-1], known[i, *span]
+                    same = np.intersect1d((last[:, 0] << 32) + last[:, 1], (part[:, 0] << 32) + part[:, 1], assume_unique=True)
+                    if len(same):
+                        end = same[len(same) // 2] >> 32
+                        parts[-1], part = last[last[:, 0] <= end], part[part[:, 0] > end]
+                    else:
+                        apart.append(j)
+                    parts.append(part)
+                if apart:
+                    spans[i] = _wider(spans[i], apart, len(pieces[i]))
+                    left.append(i)
+                else:
+                    out[i] = np.concatenate(parts)
+            todo = left
+        return out
 
     def learn(self, pieces: set[str]) -> None:
         new = self.known.missing(pieces)
-        short = [p for p in new if len(p) <= LONG // 4]
-        for k in range(0, len(short), QUERY_WORDS):
-            self._run(short[k : k + QUERY_WORDS], SHORT_QUERY)
-        rest = [p for p in new if len(p) > LONG // 4]
-        middle = {p for p in rest if len(p.encode("utf-8", "surrogatepass")) <= LONG}
-        ordered = [p for p in rest if p in middle]
-        for k in range(0, len(ordered), QUERY_WORDS // 4):
-            self._run(ordered[k : k + QUERY_WORDS // 4], SHORT_QUERY)
-        held, size = [], 0
-        for p in [p for p in rest if p not in middle] + [""]:
-            if held and (not p or size + len(p) > LONG_BATCH):
-                self._run(held, LONG_QUERY)
-                held, size = [], 0
-            held.append(p)
-            size += len(p)
+        new.sort(key=len)  # pieces of a query take about as many steps
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
+        long_ = [i for i, r in enumerate(raw) if len(r) > LONG]
+        order = short + long_
+        tokens, first = self._tokens([raw[i] for i in short])
+        flat, count = [tokens[:, 1]], [np.diff(first)]
+        for found in self._long([raw[i] for i in long_]):
+            flat.append(found[:, 1]), count.append(np.array([len(found)]))
+        flat, count = np.concatenate(flat).astype(np.int32), np.concatenate(count)
+        last = np.cumsum(count)
+        low = 0
+        while low < len(new):
+            # the tokens of some pieces, those of one at least
+            high = max(low + 1, int(np.searchsorted(last, last[low] + QUERY_BYTES)))
+            begin, end = last[low] - count[low], last[high - 1]
+            own, n = flat[begin:end], count[low:high]
+            start = np.cumsum(n) - n
+            pos = np.arange(len(own)) - np.repeat(start, n)
+            self.db.register("encoded", pa.table({"word": np.repeat(np.arange(low, high, dtype=np.int32), n), "pos": pos.astype(np.int32), "id": own}))
+            name = self.name
+            ids = [name[i] for i in own.tolist()]
+            start, n = start.tolist(), n.tolist()
+            for word, chars in self.db.execute(DECODE).fetchall():
+                i = word - low
+                self.known[new[order[word]]] = (n[i], " ".join(ids[start[i] : start[i] + n[i]]), chars.encode("latin-1"))
+            self.db.unregister("encoded")
+            low = high
 
     def encode(self, texts: list[str], data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str, bytes]]:
         """(tokens, ids joined by spaces, bytes decoded from the ids) of each text."""
@@ -223,7 +303,6 @@ def _runner(shared, digests: bool):
                     columns += [pa.ListArray.from_arrays(first, flat), pa.array([raw for _, _, raw in coded], pa.binary())]
                     names = ["doc_id", "n_tokens", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        coder.db.execute("drop table if exists encoded")
         give_back()
 
     return run
