@@ -34,6 +34,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)(
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _END_OF = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
-PAGE = "row_id bigint, page_id bigint, url string, host string, page_key bigint, blocks array<string>, subtrees array<bigint>, first array<int>, last array<int>, until array<int>"
+PAGE = "row_id bigint, page_id bigint, url string, host string, page_key bigint, subtrees array<bigint>, packed binary"
 TEXT = "page_id bigint, url string, text string, n_chars bigint, n_removed bigint"
 
 
@@ -218,6 +219,11 @@ class Page:
     def text(self) -> str:
         return " ".join(self.blocks)
 
+    def packed(self) -> bytes:
+        """All but the hashes, as ``unpacked`` reads them; blocks hold no line breaks."""
+        numbers = np.concatenate([[len(self.first)], self.first, self.last, self.until]).astype(np.int32)
+        return zstandard.compress(numbers.tobytes() + "\n".join(self.blocks).encode("utf-8", "surrogatepass"))
+
 
 def _digest(content: bytes | bytearray) -> bytes:
     return xxhash.xxh3_64_digest(bytes(content))
@@ -240,33 +246,36 @@ def _parser(batches):
             part = batch.slice(low, min(500, batch.num_rows - low))
             n = part.num_rows
             pages = [Page(source or "") for source in part.column(2).to_pylist()]
-            lists = [pa.array([p.blocks for p in pages], pa.list_(pa.string()))]
-            lists += [pa.array([getattr(p, name) for p in pages], pa.list_(kind)) for name, kind in (("hashes", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("until", pa.int32()))]
+            lists = [pa.array([p.hashes for p in pages], pa.list_(pa.int64())), pa.array([p.packed() for p in pages], pa.binary())]
             columns = [pa.array(np.arange(row_id, row_id + n)), part.column(0), part.column(1), pa.array([_host(u) for u in part.column(1).to_pylist()], pa.string()), pa.array([_hash(p.text()) for p in pages], pa.int64())]
             row_id += n
-            yield pa.RecordBatch.from_arrays([*columns, *lists], names=["row_id", "page_id", "url", "host", "page_key", "blocks", "subtrees", "first", "last", "until"])
+            yield pa.RecordBatch.from_arrays([*columns, *lists], names=["row_id", "page_id", "url", "host", "page_key", "subtrees", "packed"])
+
 
+def unpacked(packed: bytes) -> tuple[list[str], list[int], list[int], list[int]]:
+    """Blocks, and the first and last block and the end of each subtree."""
+    raw = zstandard.decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    first, last, until = np.frombuffer(raw, np.int32, 3 * n, 4).reshape(3, n).tolist()
+    text = raw[4 + 12 * n :].decode("utf-8", "surrogatepass")
+    return text.split("\n") if text else [], first, last, until
 
-def without(blocks: list[str], subtrees: list[int], first: list[int], last: list[int], until: list[int], gone: set[int]) -> tuple[str, int]:
-    """The text without the subtrees in ``gone``, and how many were deleted, one within another counted with it."""
-    edge, found, k = np.zeros(len(blocks) + 1, np.int64), 0, 0
-    while k < len(subtrees):
-        if until[k] and subtrees[k] in gone:
+
+def without(blocks: list[str], first: list[int], last: list[int], until: list[int], gone: set[int]) -> tuple[str, int]:
+    """The text without the subtrees numbered in ``gone``, and how many were deleted, one within another counted with it."""
+    edge, found, low = np.zeros(len(blocks) + 1, np.int64), 0, 0
+    for k in sorted(gone):
+        if k >= low and until[k]:
             edge[first[k]] += 1
             edge[last[k]] -= 1
-            found, k = found + 1, until[k]
-        else:
-            k += 1
+            found, low = found + 1, until[k]
     inside = np.cumsum(edge[:-1]) > 0
     return " ".join(b for b, out in zip(blocks, inside.tolist(), strict=True) if not out), found
 
 
 def _cutter(batches):
     for batch in batches:
-        made = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True):
-            *page, gone = row
-            made.append(without(*page, set(gone)) if gone else (" ".join(page[0]), 0))
+        made = [without(*unpacked(packed), set(gone or ())) for packed, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         texts = [t for t, _ in made]
         columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in made], pa.int64())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["page_id", "url", "text", "n_chars", "n_removed"])
@@ -277,14 +286,13 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     bounded_batches(pages.sparkSession)
     parsed = stored(pages.mapInArrow(_parser, PAGE))
-    seen = parsed.select("row_id", "host", "page_key", F.explode(F.array_distinct("subtrees")).alias("subtree"))
+    seen = parsed.select("row_id", "host", "page_key", F.posexplode("subtrees").alias("place", "subtree"))
     counted = seen.groupBy("host", "subtree", "page_key").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("found"))
     often = stored(counted.filter(F.col("found") >= least_pages).select("host", "subtree"))
     # at most the subtrees of one page meet in a group; written, so that Spark knows its size and
-    # moves the pages' texts only where it is too large to broadcast
-    gone = stored(seen.join(often, ["host", "subtree"]).groupBy("row_id").agg(F.collect_list("subtree").alias("gone")))
-    made = parsed.join(gone, "row_id", "left").select("page_id", "url", "blocks", "subtrees", "first", "last", "until", "gone")
-    return made.mapInArrow(_cutter, TEXT)
+    # moves the pages' texts, packed, only where it is too large to broadcast
+    gone = stored(seen.join(often, ["host", "subtree"]).groupBy("row_id").agg(F.collect_list("place").alias("gone")))
+    return parsed.join(gone, "row_id", "left").select("page_id", "url", "packed", "gone").mapInArrow(_cutter, TEXT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
