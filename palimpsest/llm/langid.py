@@ -11,12 +11,16 @@ log posterior = log prior of the host + log likelihood of the declared language
   by (declared, language), (suffix, language) and (host, language).
 * Host priors are smoothed through a hierarchy: a host's counts are joined by
   ``WEIGHT`` rows that follow its domain, whose counts are joined by as many that
-  follow its suffix, and these by as many that follow all rows.
+  follow all rows.
+* A host's own rows say what its suffix says, so the suffix counts in full where
+  the host has no rows, and for ``WEIGHT`` / (rows + ``WEIGHT``) where it has some.
 
 A row without a letter in its text has no language ("und") and is rejected; so
 is one whose best posterior is below ``LEAST``.  Null text is empty; null declared
 values, suffixes and hosts are no evidence.  Ties go to the first language in
-alphabetical order.  Rows are judged one by one, so repeated rows agree.
+alphabetical order.  Rows are judged one by one, so repeated rows agree.  Very long
+texts are scored whole, in runs of at least one text.  An empty table, or one
+without declared values, gives "und" throughout.  Extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -156,29 +160,27 @@ def fuse(rows: DataFrame, counted: DataFrame, languages: list[str]) -> DataFrame
     prior = F.array(*map(F.lit, base))
     smooth = lambda counts, parent: F.zip_with(counts, parent, lambda n, p: n + WEIGHT * p)
     share = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y))
-    by_suffix = _table(counted, "suffix", languages).select("suffix", share(smooth(F.col("counts"), prior)).alias("suffix_prior"))
-    hosts = counted.filter("host is not null").groupBy("host", "domain", "suffix").agg(F.array(*[F.sum((F.col("text_lang") == name).cast("double")) for name in languages]).alias("counts"))
-    domains = _table(counted, "domain", languages).withColumnRenamed("counts", "domain_counts")
-    hosts = hosts.join(domains, "domain", "left").join(by_suffix, "suffix", "left")
-    parent = share(smooth(F.coalesce("domain_counts", F.transform(every, lambda _: F.lit(0.0))), F.coalesce("suffix_prior", prior)))
-    hosts = hosts.select("host", "counts", parent.alias("parent")).groupBy("host").agg(F.first("parent").alias("parent"), F.array(*[F.sum(F.col("counts")[i]) for i in range(len(languages))]).alias("counts"))
-    hosts = stored(hosts.select(F.col("host").alias("prior_host"), share(smooth(F.col("counts"), F.col("parent"))).alias("host_prior")))
+    nothing = F.transform(every, lambda _: F.lit(0.0))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    hosts = counted.filter("host is not null").groupBy("host", "domain").agg(F.array(*[F.sum((F.col("text_lang") == name).cast("double")) for name in languages]).alias("counts"))
+    domains = _table(counted, "domain", languages).select("domain", share(smooth(F.col("counts"), prior)).alias("domain_prior"))
+    hosts = hosts.join(domains, "domain", "left")
+    rows_of = F.aggregate("counts", F.lit(0.0), lambda s, x: s + x)
+    hosts = stored(hosts.select(F.col("host").alias("prior_host"), share(smooth(F.col("counts"), F.coalesce("domain_prior", prior))).alias("host_prior"), rows_of.alias("host_rows")))
     # written tables, so that Spark knows their sizes: small ones are broadcast, others joined by key
     # likelihoods of a declared value and a suffix under each language, with one more row spread over unseen values
     given = lambda key, out: stored(_table(counted, key, languages).select(F.col(key).alias(f"given_{key}"), F.zip_with("counts", F.array(*map(F.lit, whole)), lambda n, t: F.log((n + 0.01) / (t + 1))).alias(out)))
     rows = rows.join(hosts, F.col("host") == F.col("prior_host"), "left").join(given("declared", "declared_score"), F.col("declared") == F.col("given_declared"), "left").join(given("suffix", "suffix_score"), F.col("suffix") == F.col("given_suffix"), "left")
-    none = F.transform(every, lambda _: F.lit(0.0))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    # a host's prior already holds what its suffix says, so the suffix counts only where there is no host
-    suffix = F.when(F.col("host_prior").isNull(), F.coalesce("suffix_score", none)).otherwise(none)
-    fused = add(add(add("text_score", F.coalesce("declared_score", none)), suffix), F.transform(F.coalesce("host_prior", prior), lambda p: F.log(p)))
+    part = F.lit(WEIGHT) / (F.coalesce("host_rows", F.lit(0.0)) + WEIGHT)
+    suffix = F.transform(F.coalesce("suffix_score", nothing), lambda x: x * part)
+    fused = add(add(add("text_score", F.coalesce("declared_score", nothing)), suffix), F.transform(F.coalesce("host_prior", prior), lambda p: F.log(p)))
     rows = rows.withColumn("fused", fused).withColumn("high", F.array_max("fused"))
     confidence = 1 / F.aggregate(F.transform("fused", lambda x: F.exp(x - F.col("high"))), F.lit(0.0), lambda s, x: s + x)
     found = F.when(F.col("trigrams") > 0, _best(F.col("fused"), languages)).otherwise("und")
     text = F.when(F.col("trigrams") > 0, _best(F.col("text_score"), languages)).otherwise("und")
     rows = rows.withColumns({"lang_found": found, "text_lang": text, "confidence": F.when(F.col("trigrams") > 0, confidence).otherwise(0.0)})
     rows = rows.withColumn("rejected", (F.col("trigrams") == 0) | (F.col("confidence") < LEAST))
-    return rows.drop("prior_host", "host_prior", "given_declared", "declared_score", "given_suffix", "suffix_score", "fused", "high")
+    return rows.drop("prior_host", "host_prior", "host_rows", "given_declared", "declared_score", "given_suffix", "suffix_score", "fused", "high")
 
 
 def evidence(rows: DataFrame, text: str, declared: str | None, host: str | None, *keep) -> DataFrame:
@@ -217,16 +219,14 @@ def identify(rows: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` (text, lang, source ...) without the rejected rows; lang becomes the language found."""
-    taken = set(docs.columns)
-    if taken & {"lang_found", "text_lang", "confidence", "rejected", "text_score", "trigrams", "declared", "host", "domain", "suffix"}:
-        # names that clash are set aside
-        aside = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "lang", "source")}
-        return keep_known(docs.withColumnsRenamed(aside)).withColumnsRenamed({v: k for k, v in aside.items()})
-    rows = evidence(docs, "text", "lang", "source", *[c for c in docs.columns if c != "text"])
+    # other columns are set aside under names that nothing here has
+    aside = {c: f"kept_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "lang")}
+    rows = evidence(docs, "text", "lang", "source", *[F.col(f"`{c}`").alias(k) for c, k in aside.items()])
     model = train(rows)
-    counted = stored(_scored(rows.select("text", "declared", "host", "domain", "suffix"), model, keep_text=False))
-    kept = fuse(_scored(rows, model, keep_text=True), counted, model.languages).filter(~F.col("rejected"))
-    return kept.select(*[F.col("lang_found").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    # texts are scored once: what priors are counted on is read from the written rows
+    scored = stored(_scored(rows, model, keep_text=True))
+    kept = fuse(scored, scored.select("text_score", "trigrams", "declared", "host", "domain", "suffix"), model.languages).filter(~F.col("rejected"))
+    return kept.select(*[F.col("lang_found").alias(c) if c == "lang" else F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
