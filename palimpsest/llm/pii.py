@@ -16,11 +16,16 @@ within a base span of its kind, so one that extends a base span stands beside it
 base spans stay as they are.
 
 Spans count code points of the source, end exclusive.  A null text is empty and
-has no spans.  Rows are handled one by one, whatever their ids.
+has no spans.  Rows are handled one by one, whatever their ids, so repeated rows and
+null ids come out as they come in.  Very long texts are searched whole.  Spans that
+start together are in the order of their kinds.  An empty table gives an empty
+result.  ``find`` leaves extra columns out at the scan, whatever their names, and
+``mask`` keeps them.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -60,6 +65,7 @@ _NAME = "(?:" + "|".join(DIGITS) + ")"
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_NAME}|[0-9]+)(?:[ ,.()-]{{1,4}}(?:{_NAME}|[0-9]+)(?![A-Za-z]))+", re.I)
 #: Digits of a run that are worth rewriting; the patterns ask for their kinds' totals, which may go on beside the run.
 _LEAST_DIGITS = 7
+_WIDE = re.compile("[^\x00-\x7f]")
 _WORD = re.compile(_NAME, re.I)
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
@@ -70,9 +76,25 @@ _OCTET_PART = re.compile(rf"(?P<dot>{_DOT})|(?P<name>{_NAME})|(?P<gap>[ ,-]+)|[0
 _ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*(?:{_AT}|@)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 _AT_ONE, _DOT_ONE = re.compile(_AT, re.I), re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+", re.I)
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
-_BARE = re.compile(r"\sat\s+[A-Za-z0-9-]+\s+dot\s|\sat\s+[A-Za-z0-9-]+\.[A-Za-z]|\sdot\s+[A-Za-z0-9._%+-]+@|@[A-Za-z0-9.-]+\s+dot\s|[0-9]\s+dot\s+[0-9]", re.I)
-#: The first byte of characters from U+0250 on, and of the soft hyphen and the dotless i.
-_ODD_LEAD = 0xC9
+_BARE_DOT = re.compile(r"\sdot\s", re.I)
+
+
+@functools.lru_cache(1 << 16)
+def _ascii(c: str) -> str | None:
+    """What a character becomes, or None if it stays as it is."""
+    if c in INVISIBLE:
+        return ""
+    if c in HOMOGLYPHS:
+        return HOMOGLYPHS[c]
+    plain = unicodedata.normalize("NFKC", c)
+    if len(plain) == 1 and "!" <= plain <= "~":
+        return plain
+    digit = unicodedata.digit(c, None)
+    return None if digit is None else str(digit)
+
+
+#: Characters of two bytes below U+0250 that are rewritten, by their code points; all from there on might be.
+_LOW_ODD = np.array([0x80 <= i and _ascii(chr(i)) is not None for i in range(0x250)])
 
 
 def _luhn(digits: str) -> bool:
@@ -137,22 +159,8 @@ class Tape:
 
     def characters(self) -> Tape:
         """The first transducer: look-alikes to ASCII."""
-        edits = []
-        for i, c in enumerate(self.text):
-            if c < "\x80":
-                continue
-            if c in INVISIBLE:
-                edits.append((i, i + 1, ""))
-            elif c in HOMOGLYPHS:
-                edits.append((i, i + 1, HOMOGLYPHS[c]))
-            else:
-                plain = unicodedata.normalize("NFKC", c)
-                digit = unicodedata.digit(c, None)
-                if len(plain) == 1 and "!" <= plain <= "~":
-                    edits.append((i, i + 1, plain))
-                elif digit is not None:
-                    edits.append((i, i + 1, str(digit)))
-        return self.rewrite(edits)
+        edits = [(m.start(), m.end(), new) for m in _WIDE.finditer(self.text) if (new := _ascii(m[0])) is not None]
+        return self.rewrite(edits) if edits else self
 
     def digits(self) -> Tape:
         """The second transducer: runs of spelled digits, one name at least, to digits."""
@@ -167,19 +175,25 @@ class Tape:
         """The second transducer of the second chain: four groups of digits or spelled digits to a dotted address."""
         edits = []
         for m in _OCTETS.finditer(self.text):
-            for part in _OCTET_PART.finditer(self.text, m.start(), m.end()):
+            parts = list(_OCTET_PART.finditer(self.text, m.start(), m.end()))
+            if not any(part["name"] or (part["dot"] and part["dot"] != ".") for part in parts):
+                continue  # digits and dots alone are no disguise
+            for part in parts:
                 new = "." if part["dot"] else DIGITS[part["name"].lower()] if part["name"] else "" if part["gap"] else part[0]
                 if new != part[0]:
                     edits.append((part.start(), part.end(), new))
         return self.rewrite(edits)
 
     def marks(self) -> Tape:
-        """The third transducer: "at" and "dot" within an address."""
+        """The third transducer: "at" and "dot" within an address; a bare "at" needs a disguised dot beside it."""
         edits = []
         for m in _ADDRESS.finditer(self.text):
             at = next(_AT_ONE.finditer(self.text, m.start(), m.end()), None)
+            dots = [(d.start(), d.end(), ".") for d in _DOT_ONE.finditer(self.text, m.start(), m.end()) if not at or d.end() <= at.start() or d.start() >= at.end()]
+            if at and not dots and at[0].strip().lower() == "at":
+                continue
             edits += [(at.start(), at.end(), "@")] if at else []
-            edits += [(d.start(), d.end(), ".") for d in _DOT_ONE.finditer(self.text, m.start(), m.end()) if not at or d.end() <= at.start() or d.start() >= at.end()]
+            edits += dots
         return self.rewrite(sorted(edits))
 
 
@@ -192,11 +206,11 @@ def _spelled(text: str) -> Iterator[tuple[re.Match, list[re.Match]]]:
 
 
 def suspicious(text: str, odd: bool) -> bool:
-    """Whether a transducer might change the text so that an identifier appears."""
+    """Whether a transducer changes the text, or might: without odd characters, only a disguised dot, a bracket or spelled digits do."""
     if odd:
         return True
     low = text.lower()
-    if ("dot" in low or " at " in low) and _BARE.search(text):
+    if "dot" in low and _BARE_DOT.search(text):
         return True
     if any(b in text for b in "[({<") and _BRACKET.search(text):
         return True
@@ -228,7 +242,9 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[
         odd = np.zeros(end - row, bool)
         filled = np.flatnonzero(np.diff(offsets))
         if len(filled):
-            strange = (data >= _ODD_LEAD) | (data == 0xC4) & np.append(data[1:] == 0xB1, False) | (data == 0xC2) & np.append(data[1:] == 0xAD, False)
+            strange = data >= 0xC9
+            two = np.flatnonzero((data >= 0xC2) & (data < 0xC9))
+            strange[two] = _LOW_ODD[(data[two] & 0x1F).astype(np.int64) << 6 | data[np.minimum(two + 1, len(data) - 1)] & 0x3F]
             odd[filled] = np.logical_or.reduceat(strange, offsets[filled])
         yield row, end, ["" if t is None else t for t in batch.column(column).slice(row, end - row).to_pylist()], odd.tolist()
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,9 +84,59 @@ def test_language(spark):
 
 def test_host_prior_decides_where_the_text_does_not(spark):
     rows = [(i, "und der haus", "de", "a.example.de", None, "h", "k") for i in range(40)] + [(100 + i, "the and house", "en", "b.example.com", None, "h", "k") for i in range(40)]
-    rows += [(500, "abc", None, "a.example.de", None, "h", "k"), (501, "abc", None, "b.example.com", None, "h", "k"), (502, "abc", None, "c.other.de", None, "h", "k")]
+    rows += [(500, "abc", None, "a.example.de", None, "h", "k"), (501, "abc", None, "b.example.com", None, "h", "k"), (502, "abc", None, "c.other.de", None, "h", "k"), (503, "abc", None, "d.another.com", None, "h", "k")]
     found = {r["doc_id"]: r["lang_found"] for r in langid.identify(langid.evidence(spark.createDataFrame(rows, DOCS), "text", "lang", "source", "doc_id")).collect()}
     assert (found[500], found[501]) == ("de", "en")
+    # hosts without other rows: their suffix decides
+    assert (found[502], found[503]) == ("de", "en")
+
+
+def test_fusion_against_brute_force(spark):
+    """Priors, likelihoods and posteriors in plain Python, from the model's scores of texts."""
+    rng = random.Random(21)
+    sets = {"en": ["the", "and", "with"], "de": ["und", "der", "nicht"], "fr": ["le", "avec", "que"]}
+    hosts = ["a.x.com", "b.x.com", "c.y.de", "d.y.de", "e.z.fr", "plain", None, ""]
+    rows = []
+    for i in range(240):
+        k = rng.choice(list(sets))
+        text = " ".join(rng.choices(sets[k] if rng.random() < 0.9 else ["abcd", "12"], k=rng.randint(1, 4)))
+        rows.append((i, text if i % 40 else None, rng.choice([k, k, "EN-us", None, " "]), rng.choice(hosts), None, "h", "k"))
+    facts = langid.evidence(spark.createDataFrame(rows, DOCS), "text", "lang", "source", "doc_id")
+    model = langid.train(facts)
+    facts = facts.collect()
+    raw = [(r["text"] or "").encode() for r in facts]
+    scores, count = model.scores(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    names = model.languages
+    judged = [(r, int(np.argmax(s))) for r, s, n in zip(facts, scores, count, strict=True) if n]
+    table = lambda key: {v: np.array([sum(r[key] == v and j == i for r, j in judged) for i in range(len(names))], float) for v in {r[key] for r, _ in judged} - {None}}
+    whole = np.array([sum(j == i for _, j in judged) for i in range(len(names))], float)
+    share = lambda x: x / x.sum()
+    prior = share(whole + 1)
+    declared, suffixes, domains, by_host = table("declared"), table("suffix"), table("domain"), table("host")
+    zero = np.zeros(len(names))
+    likely = lambda t, v: np.log((t[v] + 0.01) / (whole + 1)) if v in t else zero
+    got = {r["doc_id"]: r for r in langid.identify(langid.evidence(spark.createDataFrame(rows, DOCS), "text", "lang", "source", "doc_id")).collect()}
+    assert len(got) == len(rows)
+    for r, s, n in zip(facts, scores, count, strict=True):
+        if not n:
+            assert got[r["doc_id"]]["rejected"] and got[r["doc_id"]]["lang_found"] == "und"
+            continue
+        own = by_host.get(r["host"], zero)
+        parent = share(domains[r["domain"]] + langid.WEIGHT * prior) if r["domain"] in domains else prior
+        host = share(own + langid.WEIGHT * parent) if r["host"] in by_host else prior
+        total = s + likely(declared, r["declared"]) + likely(suffixes, r["suffix"]) * langid.WEIGHT / (own.sum() + langid.WEIGHT) + np.log(host)
+        posterior = share(np.exp(total - total.max()))
+        assert got[r["doc_id"]]["lang_found"] == names[int(np.argmax(total))]
+        assert got[r["doc_id"]]["confidence"] == pytest.approx(posterior.max(), rel=1e-9)
+
+
+def test_kept_columns_may_have_any_name(spark):
+    names = ["high", "host_prior", "fused", "given_declared", "suffix", "domain", "kept_3", "trigrams", "lang_found", "prior_host", "a b"]
+    rows = [(i, "der und das haus" if i % 2 else "the house and the", "de" if i % 2 else "en", "a.de", *range(len(names))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = langid.keep_known(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(rows)
 
 
 def test_rare_languages_are_languages(spark):
@@ -187,8 +238,30 @@ def test_spelled_numbers_that_are_no_identifiers():
         assert not pii.disguised(text, pii.identifiers(text))
 
 
+DISGUISE = list("ab1.@-+ ()[]") + ["²", "ſ", "ª", "о", "é", "\u00ad", " at ", " dot ", "[at]", "(dot)", "[.]", "me", "site.com", "one ", "two-", "nine", "192.", "1 2 3.4.5.6", "+1 55", "555 010 9999"]
+
+
+@given(st.lists(st.sampled_from(DISGUISE), max_size=14).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_texts_that_are_not_suspicious_hide_nothing(text):
+    row = next(pii._texts(pa.record_batch([pa.array([text])], names=["t"]), 0))
+    plain = pii.identifiers(text)
+    if not pii.suspicious(text, row[3][0]):
+        assert pii.disguised(text, plain) == []
+
+
+def test_characters_that_are_rewritten_are_odd():
+    for c in map(chr, range(0x80, 0x3000)):
+        row = next(pii._texts(pa.record_batch([pa.array(["a" + c + "b"])], names=["t"]), 0))
+        if pii.Tape.of(c).characters().text != c:
+            assert row[3] == [True]
+    phone = "+1 55²³ 010 9999"
+    assert [(k, phone[a:b]) for a, k, b in pii.disguised(phone, [])] == [(3, phone)]
+    assert next(pii._texts(pa.record_batch([pa.array([phone, "café naïve"])], names=["t"]), 0))[3] == [True, False]
+
+
 def test_clean_texts_have_no_spans():
-    for text in ("we met at the shop. dot your is", "one two three", "at noon [at] (dot)", "version 1.2.3", "seven of nine"):
+    for text in ("meet me at site.com today", "look at example.org now", "we met at the shop. dot your is", "one two three", "at noon [at] (dot)", "version 1.2.3", "seven of nine"):
         assert not pii.disguised(text, pii.identifiers(text))
 
 
