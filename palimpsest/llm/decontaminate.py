@@ -4,9 +4,11 @@ Each task cuts its documents into shards of a few megabytes and builds a suffix
 array of every shard over word numbers.  The array holds the suffixes that start
 with a few words of some benchmark item, as no other suffix can match; stretches
 of a document that no such suffix covers become a separator.  Every test suffix
-whose first words occur in the shard is then binary-searched: for all occurrences
-of its window, and for its longest verbatim match and that match's location.
-Results are per document, so nothing is shuffled.
+whose first words occur in the shard is then binary-searched for all occurrences
+of its window; those without a predecessor are followed to the end of the verbatim
+match.  A document's result is its hit words, the items found, and its longest
+match with the places of it; nothing is shuffled.  ``longest_matches`` gives the
+longest match of each test suffix over all shards, by another search.
 
 Words are maximal runs of bytes outside ``\\x00-\\x2F \\x3A-\\x60 \\x7B-\\x7F``
 after lower-casing A-Z.  A window is ``width`` consecutive words of an item; an
@@ -15,6 +17,10 @@ The benchmark goes to all executors in pieces of at most ``limit`` bytes: one
 piece as a rule; a larger benchmark takes one pass over the documents a piece.
 Items with a null id mark words like others and are listed by an empty name.
 Repeated rows and repeated items are handled one by one; items are counted by id.
+Of equally long matches the first in the document is given, then the one of the
+smallest item, then its first place in the item.  Very long texts are shards of
+their own.  Empty tables give empty results, or rows without hits.  Extra columns of
+any names are left out, or kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ WIDTH = 10
 LEAD = 3
 PIECE_BYTES = 16 << 20
 
-OUT = "doc_id bigint, text_key bigint, n_words bigint, hits array<bigint>, items array<string>"
+OUT = "doc_id bigint, text_key bigint, n_words bigint, hits array<struct<start:bigint,stop:bigint>>, items array<string>, longest struct<less:bigint,at:bigint,item:bigint,offset:bigint>"
 FOUND = "item_id bigint, offset bigint, words bigint, doc_id bigint, at_word bigint"
 
 
@@ -49,6 +55,7 @@ class Index:
         self.vocabulary, number = np.unique(hashes, return_inverse=True)
         self.names = ["" if i is None else str(i) for i, _ in items]
         self.ids = [i for i, _ in items]
+        self.rank = np.argsort(sorted(range(len(items)), key=lambda k: (items[k][0] is not None, items[k][0])))  # by id, null first
         # items one after another, each closed by a separator of its own kind, 0
         item = words.doc()
         self.sequence = np.zeros(len(hashes) + len(items) + 1, np.int64)
@@ -179,18 +186,32 @@ class Shard:
             high[some[~before]] = mid[~before]
         return low
 
-    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, words, item, document) of each occurrence of a window."""
-        index = self.index
+    def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
+        """(test suffix, place) of each occurrence of a window."""
         test = self.active()
-        test = test[index.window[test]]
+        test = test[self.index.window[test]]
         if not len(test) or not len(self.order):
-            return (np.zeros(0, np.int64),) * 4
-        low, high = self.bound(test, index.length[test], False), self.bound(test, index.length[test], True)
-        word = self.word[self.order[_ranges(low, high)]]
-        test = np.repeat(test, high - low)
-        doc = np.searchsorted(self.words.first, word, "right") - 1
-        return word, index.length[test], index.item[test], doc
+            return (np.zeros(0, np.int64),) * 2
+        low, high = self.bound(test, self.index.length[test], False), self.bound(test, self.index.length[test], True)
+        return np.repeat(test, high - low), self.order[_ranges(low, high)]
+
+    def hits(self, test: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, words, item, document) of each occurrence."""
+        word = self.word[place] if len(place) else place
+        return word, self.index.length[test], self.index.item[test], np.searchsorted(self.words.first, word, "right") - 1
+
+    def best(self, test: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, words in common, first word in it, item, first word in the item) of each document's longest match."""
+        key = self.index.start[test] * (len(self.sequence) + 1) + place
+        # an occurrence that goes on from another is a part of that one's match
+        alone = ~np.isin(key - (len(self.sequence) + 1) - 1, key) | (self.index.offset[test] == 0)
+        test, place = test[alone], place[alone]
+        _, same = self.compare(test, place, np.full(len(test), len(self.index.sequence) + 1, np.int64))
+        word, _, item, doc = self.hits(test, place)
+        offset = self.index.offset[test]
+        order = np.lexsort((offset, self.index.rank[item] if len(item) else item, word, -same, doc))
+        first = order[np.unique(doc[order], return_index=True)[1]]
+        return doc[first], same[first], word[first] - self.words.first[doc[first]], item[first], offset[first]
 
     def longest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(test suffix, words in common, first word) of the longest match of each active test suffix."""
@@ -221,10 +242,12 @@ def _marker(shared):
         for batch in batches:
             for row, end, data, offsets in chunked(batch.column(1)):
                 words = Words(data, offsets, ALNUM)
-                word, length, item, doc = Shard(index, words).hits()
+                shard = Shard(index, words)
+                found = shard.occurrences()
+                word, length, item, doc = shard.hits(*found)
                 pair = np.unique(doc * len(names) + item)
                 who, which = pair // max(1, len(names)), names[pair % max(1, len(names))]
-                # occurrences as disjoint stretches of words within their document: start, end, start, end ...
+                # occurrences as disjoint stretches of words within their document
                 edge = np.zeros(len(words.start) + 1, np.int64)
                 np.add.at(edge, word, 1)
                 np.add.at(edge, word + length, -1)
@@ -235,17 +258,26 @@ def _marker(shared):
                 ends = np.flatnonzero(~hit[1:] & hit[:-1])
                 ends = np.unique(np.concatenate([ends, cut[hit[cut]]]))
                 owner = np.searchsorted(words.first, starts, "right") - 1
-                flat = np.stack([starts - words.first[owner], ends - words.first[owner]], 1).reshape(-1) if len(starts) else np.zeros(0, np.int64)
+                stretches = pa.StructArray.from_arrays([pa.array(starts - words.first[owner], pa.int64()), pa.array(ends - words.first[owner], pa.int64())], names=["start", "stop"])
                 rows = np.arange(end - row + 1)
+                own, same, at, item, offset = shard.best(*found)
+                spot = np.zeros(end - row, np.int64)
+                spot[own] = np.arange(len(own))
+                none = np.ones(end - row, bool)
+                none[own] = False
+                value = lambda x: pa.array(np.asarray(x, np.int64)).take(pa.array(spot, mask=none)) if len(own) else pa.nulls(end - row, pa.int64())  # noqa: E731, B023
+                ids = pa.array([index.ids[i] for i in item], pa.int64())
+                ids = ids.take(pa.array(spot, mask=none)) if len(own) else pa.nulls(end - row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, end - row),
                         batch.column(2).slice(row, end - row),
                         pa.array(words.count.astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array((np.searchsorted(owner, rows) * 2).astype(np.int32)), pa.array(flat.astype(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, rows).astype(np.int32)), stretches),
                         pa.ListArray.from_arrays(pa.array(np.searchsorted(who, rows).astype(np.int32)), pa.array(list(which), pa.string())),
+                        pa.StructArray.from_arrays([value(-same), value(at), ids, value(offset)], names=["less", "at", "item", "offset"], mask=pa.array(none)),
                     ],
-                    names=["doc_id", "text_key", "n_words", "hits", "items"],
+                    names=["doc_id", "text_key", "n_words", "hits", "items", "longest"],
                 )
         give_back()
 
@@ -258,7 +290,8 @@ def _cleaner(shared, place: int):
         for batch in batches:
             for row, end, data, offsets in chunked(batch.column(place)):
                 keep = np.ones(end - row, bool)
-                keep[Shard(index, Words(data, offsets, ALNUM)).hits()[3]] = False
+                shard = Shard(index, Words(data, offsets, ALNUM))
+                keep[shard.hits(*shard.occurrences())[3]] = False
                 yield batch.slice(row, end - row).filter(pa.array(keep))
 
     return run
@@ -292,35 +325,22 @@ def _indexes(benchmark: DataFrame, width: int, limit: int):
         yield spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in part.collect()], width))
 
 
-def _merged(hits):
-    """Words in the union of stretches (start, end, start, end, ...), and the longest of it."""
-    total, longest, start, last = 0, 0, 0, -1
-    for a, b in sorted(zip(hits[::2], hits[1::2], strict=True)):
-        if a > last:
-            start, last = a, a
-        total += max(0, b - last)
-        last = max(last, b)
-        longest = max(longest, last - start)
-    return total, longest
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, limit: int = PIECE_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_run) of every row of ``docs``."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, match_words, match_at, match_item, match_offset) of every row of ``docs``.
+
+    The match columns are those of the longest verbatim match: its words, the first
+    word's number in the document, the item, and the first word's number in it.
+    """
     texts = only(docs, doc_id="bigint", text="string").withColumn("text_key", F.xxhash64("text"))
     parts = [texts.mapInArrow(_marker(index), OUT) for index in _indexes(benchmark, width, limit)]
     marked = parts[0]
     if len(parts) > 1:
         # rows of equal id and text are equal: count them, merge the pieces, and give them back
-        every = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "text_key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"), (F.count("*") / len(parts)).cast("int").alias("copies"))
-        marked = every.select("doc_id", "text_key", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
-    # one piece gives disjoint stretches: sum them up without Python
-    if len(parts) == 1:
-        stretch = F.expr("transform(sequence(0, cast(size(hits) / 2 as int) - 1, 1), i -> hits[2 * i + 1] - hits[2 * i])")
-        stretch = F.when(F.size("hits") > 0, stretch).otherwise(F.array().cast("array<bigint>"))
-        n_hit, longest = F.aggregate(stretch, F.lit(0).cast("bigint"), lambda a, x: a + x), F.coalesce(F.array_max(stretch), F.lit(0).cast("bigint"))
-    else:
-        merged = F.udf(_merged, "struct<n_hit:bigint,longest:bigint>")("hits")
-        n_hit, longest = merged["n_hit"], merged["longest"]
+        every = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "text_key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"), F.min("longest").alias("longest"), (F.count("*") / len(parts)).cast("int").alias("copies"))
+        marked = every.select("doc_id", "text_key", "n_words", "hits", "items", "longest", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    # words in the union of the stretches, which those of several pieces may share
+    n_hit = F.expr("""aggregate(array_sort(hits), struct(0L as total, -1L as last),
+        (m, h) -> struct(m.total + greatest(0L, h.stop - greatest(h.start, m.last)) as total, greatest(m.last, h.stop) as last)).total""")
     items = F.array_sort(F.array_distinct("items"))
     return marked.select(
         "doc_id",
@@ -329,7 +349,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lim
         F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
-        longest.alias("longest_run"),
+        F.coalesce(-F.col("longest.less"), F.lit(0).cast("bigint")).alias("match_words"),
+        F.col("longest.at").alias("match_at"),
+        F.col("longest.item").alias("match_item"),
+        F.col("longest.offset").alias("match_offset"),
     )
 
 
@@ -356,3 +379,30 @@ def clean(docs: DataFrame, benchmark: DataFrame, column: str = "text", width: in
 
 def query(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: The same in DuckDB, with windows as joined words and matches as runs of windows on a diagonal.
+ORACLE = """
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from documents),
+b as (
+  select row_number() over () as i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from benchmark),
+bw as (
+  select i, item_id, o, least(10, len(w)) as n, array_to_string(w[o:o + least(10, len(w)) - 1], ' ') as k
+  from b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as u(o) where len(w) > 0),
+dw as (
+  select r, p, n, array_to_string(w[p:p + n - 1], ' ') as k
+  from d, (select distinct n from bw), unnest(range(1, len(w) - n + 2)) as u(p)),
+h as (select r, p, n, i, item_id, o from dw join bw using (n, k)),
+hit as (select r, count(distinct q) as n_hit from h, unnest(range(p, p + n)) as u(q) group by r),
+found as (select r, count(*) as n_items, string_agg(x, ',' order by x) as x from (select distinct r, coalesce(cast(item_id as varchar), '') as x from h) group by r),
+runs as (
+  select r, i, item_id, n, min(p) as p, min(o) as o, count(*) + n - 1 as words
+  from (select *, p - row_number() over (partition by r, i, p - o order by p) as island from h) group by r, i, item_id, n, p - o, island),
+best as (select * from runs qualify row_number() over (partition by r order by words desc, p, item_id nulls first, o) = 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(x, '')) as items_sha256,
+       n_hit is not null as contaminated, coalesce(words, 0) as match_words, p - 1 as match_at, item_id as match_item, o - 1 as match_offset
+from d left join hit using (r) left join found using (r) left join best using (r)
+"""
