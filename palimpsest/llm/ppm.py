@@ -11,13 +11,15 @@ depends on the longer context alone and is a column of its node.  Below order 0
 all 257 - seen symbols are equally likely.
 
 Scale.  A byte's probability depends on its gram, the byte and the ``ORDER`` before
-it.  Texts are cut into blocks, and a block's distinct grams are what is counted, by
-one grouped sum.  The counts are dealt by the last ``SHARED`` bytes of the context,
-so a bucket holds every node of the longer contexts that end in these bytes and
-gives the probabilities of its grams; the nodes of shorter contexts, 2^24 at most,
-go to all executors.  Probabilities come back to the blocks by a join on the gram,
-as word counts do on the word.  The trie is never cut and never in one place, and
-it grows with the corpus.  Words are told apart by 64-bit hashes.
+it.  Texts are cut into blocks, and a block's distinct grams and words are what is
+sent, in slices by hash: one row for the names of a block that fall into a slice, so
+that few rows and no places are sent, as values come back in the order of the names.
+Counts of grams are dealt by the last ``SHARED`` bytes of the context, so a bucket
+holds every node of the longer contexts that end in these bytes and gives the
+probabilities of its grams; the nodes of shorter contexts, 2^24 at most, go to all
+executors.  A name is in a slice once a block at most, however frequent it is.  The
+trie is never cut and never in one place, and it grows with the corpus.  Words are
+told apart by 64-bit hashes.
 
 Null texts are empty: one end token.  A document is in training unless
 crc32(doc_id as text) % folds is ``held``; a null id counts as the empty text.
@@ -32,12 +34,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bytewords import NONSPACE, Words, chunked, sums
-from palimpsest.llm.common import give_back, only, stored
+from palimpsest.llm.bytewords import NONSPACE, Words, buffers, chunked, mix, sums
+from palimpsest.llm.common import discard, give_back, only, stored
 
 ORDER = 5
 DISCOUNT = 0.3
@@ -48,12 +51,13 @@ FOLDS, HELD = 7, 2
 BLOCK_BYTES = 8 << 20
 BLOCK_DOCS = 50_000
 PIECE = 2 << 20
-#: Grams in a bucket of the trie.
+#: Grams in a bucket of the trie, and names of all blocks in a slice.
 BUCKET_GRAMS = 500_000
-#: Bits for the place of a gram or word within its block; the block's number stands above them.
-PLACE_BITS = 28
+SLICE_NAMES = 1_000_000
+#: Most partitions that slices, or blocks, are dealt to.
+MOST_PARTITIONS = 20_000
 END = 0xFF  # in no UTF-8 text
-END_HASH = np.int64(-0x1E3779B97F4A7C15)
+END_HASH = np.uint64(0xE1C8864680B583EB)
 
 
 def held_out(ids: pa.Array, folds: int = FOLDS, held: int = HELD) -> np.ndarray:
@@ -175,7 +179,38 @@ def shorter(key: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.
     return short, np.add.reduceat(n[order], np.cumsum(times) - times) if len(n) else n
 
 
-BLOCKS = "block bigint, doc_ids array<bigint>, held array<boolean>, texts array<string>, words array<bigint>, word_n array<int>, grams array<bigint>, gram_n array<int>"
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers of 1, 4 or 8 bytes, compressed with their bytes of the same rank together."""
+    width = numbers.dtype.itemsize
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, width).T).tobytes(), 1)
+
+
+def unpack(packed: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def pack_sorted(names: np.ndarray) -> bytes:
+    return pack(np.diff(names, prepend=names.dtype.type(0)))
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed, np.uint64), dtype=np.uint64)
+
+
+def sliced(names: np.ndarray, slices: int, mixed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts names by their slice, slices that have any, first name of each of these and the end).
+
+    Hashes are spread as they are; other names are ``mixed`` first.
+    """
+    high = (mix(names) if mixed else names) >> np.uint64(32)
+    slot = ((high * np.uint64(slices)) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    present, times = _runs(slot[order])
+    return order, present, np.concatenate([[0], np.cumsum(times)])
+
+
+BLOCKS = "block bigint, doc_ids array<bigint>, held array<boolean>, texts binary, words binary, word_n binary, grams binary, gram_n binary, many_words bigint, many_grams bigint"
 
 
 class Block:
@@ -190,7 +225,7 @@ class Block:
             every = np.full(len(words.start) + words.docs, END_HASH)
             rest = np.ones(len(every), bool)
             rest[at] = False
-            every[rest] = words.hashes().view(np.int64)
+            every[rest] = words.hashes()
             self.hashes.append(every)
             self.counts.append(words.count + 1)
             self.parts += [(packed, times.astype(np.int32), row) for packed, times in grams(*stream(words))]
@@ -223,16 +258,17 @@ class Block:
 
 def _blocks(batches):
     context = TaskContext.get()
-    block = (context.partitionId() if context else 0) << 12
+    block = (context.partitionId() if context else 0) << 20
     ids, texts, docs, size = [], [], 0, 0
 
     def flush():
         every, names = pa.concat_arrays(texts), pa.concat_arrays(ids)
         own, held = Block(every), held_out(names)
         words, found = own.in_training(held)
-        row = [pa.array([block]), pa.array([names.to_pylist()], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every)]
-        row += [pa.array([own.words]), pa.array([words.astype(np.int32)]), pa.array([own.grams.view(np.int64)]), pa.array([found.astype(np.int32)])]
-        return pa.RecordBatch.from_arrays(row, names=["block", "doc_ids", "held", "texts", "words", "word_n", "grams", "gram_n"])
+        data, offsets = buffers(every)
+        packed = [zstandard.compress(offsets.tobytes() + data.tobytes(), 3), pack_sorted(own.words), pack(words.astype(np.int32)), pack_sorted(own.grams), pack(found.astype(np.int32))]
+        row = [pa.array([block]), pa.array([names.to_pylist()], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in packed), pa.array([len(own.words)]), pa.array([len(own.grams)])]
+        return pa.RecordBatch.from_arrays(row, names=["block", "doc_ids", "held", "texts", "words", "word_n", "grams", "gram_n", "many_words", "many_grams"])
 
     for batch in batches:
         for row, end, data, _ in chunked(batch.column(1)):
@@ -248,7 +284,56 @@ def _blocks(batches):
     give_back()
 
 
-def _valuer(shared):
+def _slicer(slices: int, mixed: bool):
+    def run(batches):
+        for batch in batches:
+            for block, names, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                names, n = unpack_sorted(names), unpack(n, np.int32)
+                order, present, first = sliced(names, slices, mixed)
+                names, n = names[order], n[order]
+                cells = [(pack_sorted(names[a:b]), pack(n[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(np.full(len(present), block)), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["slice", "block", "names", "n"])
+
+    return run
+
+
+def _counted(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Names of each cell of a slice; the distinct ones, the number of each name of the cells, and counts of the distinct ones."""
+    cells = [unpack_sorted(x) for x in group["names"].to_pylist()]
+    n = np.concatenate([unpack(x, np.int32) for x in group["n"].to_pylist()])
+    names, number = np.unique(np.concatenate(cells), return_inverse=True)
+    return cells, names, number, np.bincount(number, n, len(names)).astype(np.int64)
+
+
+BACK = "block bigint, slice bigint, gram boolean, packed binary, total bigint, known bigint"
+
+
+def _back(group: pa.Table, cells: list[np.ndarray], value: np.ndarray, gram: bool, total: int, known: int) -> pa.Table:
+    """The values of a slice's names, cell by cell; totals of the slice stand in the first row."""
+    rows = len(cells)
+    parts = np.split(value, np.cumsum([len(c) for c in cells])[:-1])
+    once = lambda x: np.array([x] + [0] * (rows - 1), np.int64)
+    return pa.table({"block": group["block"], "slice": group["slice"], "gram": np.full(rows, gram), "packed": pa.array([pack(x) for x in parts], pa.binary()), "total": once(total), "known": once(known)})
+
+
+def _count_words(key, group):
+    cells, _, number, count = _counted(group)
+    return _back(group, cells, count[number], False, int(count.sum()), int((count > 0).sum()))
+
+
+def _count_grams(key, group):
+    _, names, _, count = _counted(group)
+    return pa.table({"gram": names.view(np.int64), "n": count})
+
+
+def _look_up(key, group, values):
+    cells = [unpack_sorted(x) for x in group["names"].to_pylist()]
+    gram, value = values["gram"].to_numpy().view(np.uint64), values["value"].to_numpy()
+    order = np.argsort(gram)
+    return _back(group, cells, value[order][np.searchsorted(gram[order], np.concatenate(cells))], True, 0, 0)
+
+
+def _valuer(shared, slices: int):
     def run(key, group):
         group = group.combine_chunks()
         gram, n = group["gram"].to_numpy().view(np.uint64), group["n"].to_numpy()
@@ -258,34 +343,37 @@ def _valuer(shared):
         levels = [(gram[seen], n[seen])]
         for width in range(ORDER, SHARED, -1):
             levels.insert(0, shorter(*levels[0], width))
-        value = Trie(levels, shared.value).log10(gram)
-        return pa.table({"gram": gram.view(np.int64), "value": value.astype(np.float32)})
+        value = Trie(levels, shared.value).log10(gram).astype(np.float32)
+        order, present, first = sliced(gram, slices, True)
+        return pa.table({"slice": np.repeat(present, np.diff(first)), "gram": gram[order].view(np.int64), "value": value[order]})
 
     return run
 
 
-def model(counts: DataFrame) -> DataFrame:
-    """(gram, value): log10 of the probability of the last byte of each gram of ``counts`` (gram, n; n may be 0)."""
+def model(counts: DataFrame, slices: int = 1) -> DataFrame:
+    """(slice, gram, value): log10 of the probability of the last byte of each gram of ``counts`` (gram, n; n may be 0)."""
     low = counts.filter("n > 0").groupBy(F.expr(f"gram & {(1 << (8 * SHARED)) - 1}L").alias("gram")).agg(F.sum("n").alias("n")).toArrow()
     key, n = low["gram"].to_numpy().view(np.uint64), low["n"].to_numpy()
     shared = counts.sparkSession.sparkContext.broadcast(Trie([shorter(key, n, k + 1) for k in range(SHARED)]))
     buckets = max(1, -(-counts.count() // BUCKET_GRAMS))
     context = f"(gram >> 8) & {(1 << (8 * SHARED)) - 1}L"
-    return counts.groupBy(F.expr(f"pmod(xxhash64({context}), {buckets})")).applyInArrow(_valuer(shared), "gram bigint, value float")
-
-
-def _scorer(total: int, distinct: int):
-    def run(key, blocks, found):
-        row = blocks.select(["doc_ids", "held", "texts"]).combine_chunks()
-        ids, held, texts = (row[c].chunk(0).flatten() for c in ("doc_ids", "held", "texts"))
-        own = Block(texts)
-        at, value = found["place"].to_numpy() & ((1 << PLACE_BITS) - 1), found["value"].to_numpy()
-        gram = found["gram"].to_numpy(zero_copy_only=False).astype(bool)
-        c, model_value = np.zeros(len(own.words)), np.zeros(len(own.grams))
-        c[at[~gram]], model_value[at[gram]] = value[~gram], value[gram]
-        base, score = own.scores(np.log10((c + 1) / (total + distinct + 1)), model_value)
-        known = np.add.reduceat((c[own.token] > 0).astype(np.int64), np.cumsum(own.counts) - own.counts)
-        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": own.counts.astype(np.int64), "n_known": known, "train_tokens": np.full(len(ids), total), "base_score": base, "score": score})
+    return counts.groupBy(F.expr(f"pmod(xxhash64({context}), {buckets})")).applyInArrow(_valuer(shared, slices), "slice bigint, gram bigint, value float")
+
+
+def _scorer(total: int, distinct: int, slices: int):
+    def run(key, blocks, back):
+        row = blocks.to_pylist()[0]
+        docs = len(row["doc_ids"])
+        raw = zstandard.decompress(row["texts"])
+        offsets = np.frombuffer(raw, np.int64, docs + 1)
+        own = Block(pa.LargeStringArray.from_buffers(docs, pa.py_buffer(offsets), pa.py_buffer(memoryview(raw)[offsets.nbytes :])))
+        cells = sorted(zip(back["gram"].to_pylist(), back["slice"].to_pylist(), back["packed"].to_pylist(), strict=True))
+        c = np.concatenate([unpack(x, np.int64) for gram, _, x in cells if not gram])
+        value = np.zeros(len(own.grams))
+        value[sliced(own.grams, slices, True)[0]] = np.concatenate([unpack(x, np.float32) for gram, _, x in cells if gram])
+        base, score = own.scores(np.log10((c + 1) / (total + distinct + 1)), value)
+        known = np.add.reduceat((c > 0).astype(np.int64)[own.token], np.cumsum(own.counts) - own.counts)
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": own.counts.astype(np.int64), "n_known": known, "train_tokens": np.full(docs, total), "base_score": base, "score": score})
 
     return run
 
@@ -293,18 +381,45 @@ def _scorer(total: int, distinct: int):
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
     blocks = stored(only(docs, doc_id="bigint", text="string").mapInArrow(_blocks, BLOCKS))
-    place = F.expr(f"shiftleft(block, {PLACE_BITS}) + pos").alias("place")
-    spread = lambda key, n: blocks.select("block", F.posexplode(F.arrays_zip(F.col(key).alias("name"), F.col(n).alias("n"))).alias("pos", "x")).select(place, F.col("x.name").alias("name"), F.col("x.n").alias("n"))
-    words, grams_ = spread("words", "word_n"), spread("grams", "gram_n")
-    counts = stored(words.groupBy("name").agg(F.sum("n").alias("value")))
-    total, distinct = counts.agg(F.coalesce(F.sum("value"), F.lit(0)), F.expr("count_if(value > 0)")).first()
-    values = stored(model(stored(grams_.groupBy(F.col("name").alias("gram")).agg(F.sum("n").alias("n")))))
-    found = words.select("place", "name").join(counts, "name").select("place", F.col("value").cast("double").alias("value"), F.lit(False).alias("gram"))
-    more = grams_.select("place", F.col("name").alias("key")).join(values.select(F.col("gram").alias("key"), "value"), "key").select("place", F.col("value").cast("double").alias("value"), F.lit(True).alias("gram"))
-    back = found.unionAll(more).withColumn("own", F.shiftrightunsigned("place", PLACE_BITS))
+    many, words, grams_ = (x or 0 for x in blocks.agg(F.count("*"), F.sum("many_words"), F.sum("many_grams")).first())
+    slices = lambda n: max(1, -(-n // SLICE_NAMES))
+    dealt = lambda df, n, by: df.repartition(max(1, min(n, MOST_PARTITIONS)), by)
+    cell = "slice bigint, block bigint, names binary, n binary"
+    w, g = slices(words), slices(grams_)
+    word_cells = dealt(blocks.select("block", "words", "word_n").mapInArrow(_slicer(w, False), cell), w, "slice")
+    counted = stored(word_cells.groupBy("slice").applyInArrow(_count_words, BACK))
+    total, distinct = (x or 0 for x in counted.agg(F.sum("total"), F.sum("known")).first())
+    gram_cells = dealt(blocks.select("block", "grams", "gram_n").mapInArrow(_slicer(g, True), cell), g, "slice")
+    counts = stored(gram_cells.groupBy("slice").applyInArrow(_count_grams, "gram bigint, n bigint"))
+    values = stored(model(counts, g))
+    discard(counts)
+    found = gram_cells.groupBy("slice").cogroup(dealt(values.withColumnRenamed("slice", "own"), g, "own").groupBy("own")).applyInArrow(_look_up, BACK)
+    back = counted.unionAll(found).select(F.col("block").alias("own"), "slice", "gram", "packed")
     kind = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.select("block", "doc_ids", "held", "texts").groupBy("block").cogroup(back.groupBy("own")).applyInArrow(_scorer(total, distinct), kind)
+    texts = dealt(blocks.select("block", "doc_ids", "held", "texts"), many, "block")
+    return texts.groupBy("block").cogroup(dealt(back, many, "own").groupBy("own")).applyInArrow(_scorer(total, distinct, g), kind)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def tokens_query(spark, sf_dir: str) -> DataFrame:
+    """The baseline's tokens, without the sums of logarithms, whose last digits depend on their order."""
+    return query(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+
+
+#: The baseline's tokens in DuckDB; the checksum is taken bit by bit.
+TOKENS_ORACLE = """
+with d as (
+  select row_number() over () as r, doc_id,
+         list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(coalesce(cast(doc_id as varchar), '')) + 1), lambda i: cast(ascii(substr(cast(doc_id as varchar), i, 1)) as bigint))),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: xor(x >> 1, 3988292384::bigint * (x & 1)))) as c,
+         list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' ') as w
+  from documents),
+h as (select r, doc_id, w, xor(c, 4294967295::bigint) % 7 = 2 as held_out from d),
+t as (select r, held_out, unnest(w) as word from h),
+known as (select word, count(*) as c from t where not held_out group by word),
+n as (select r, count(*) as n_tokens, count(c) as n_known from t left join known using (word) group by r)
+select doc_id, held_out, n_tokens, n_known, (select coalesce(sum(c), 0)::bigint from known) as train_tokens from h join n using (r)
+"""
