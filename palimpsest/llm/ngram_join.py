@@ -9,11 +9,17 @@ Plan, for N documents:
    of these ties hold every candidate pair;
 3. n-gram sets are made again for the classes in components of two or more, and
    each component is compared in tiles of bounded size.  A tile gives, for each
-   class, the number of its links and one tree edge, not the pairs.
+   class, the number of its links and one tree edge, not the pairs;
+4. where ties chain unlike texts to a component of more pairs than its buckets
+   have, each bucket is compared instead, in the same tiles, and a pair counts in
+   the first band that it shares.
 
 Words are maximal runs of ASCII digits, ASCII letters (lower-cased) and
 non-ASCII characters.  A text with fewer words than n, but not none, has one
 n-gram of all its words.  A text without words, or null, links with nothing.
+Very long texts are read whole; their sets travel as one value each.  Equal ids,
+ties and copies make no difference to links.  An empty table gives an empty result;
+extra columns are left out, or kept by ``one_of_each``, whatever their names.
 Repeated rows count as copies.  Rows with a null id count as copies of others
 and get the class of their text, but never name a class.  Rows of one id with
 different texts are told apart.
@@ -33,6 +39,8 @@ from palimpsest.llm.common import components, give_back, only, stored
 
 #: Classes in one block of a tile; a tile compares two blocks.
 BLOCK = 64
+#: A component is compared as a whole as long as it has at most this many times the pairs of its buckets.
+CHAIN = 1.0
 
 
 def banding(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -107,7 +115,7 @@ def _grams(n: int):
 
     def run(batches):
         for batch in batches:
-            for row, end, data, offsets in chunked(batch.column(3)):
+            for row, end, data, offsets in chunked(batch.column(2)):
                 words = Words(data, offsets, ALNUM)
                 grams, first = windows(words.hashes(), words.first, n)
                 some = np.flatnonzero(np.diff(first))
@@ -118,7 +126,7 @@ def _grams(n: int):
                 right[some] = _keys(grams, first, some).view(np.int64) == own.column(0).to_numpy()[some]
                 grams, first = _sets(words, n)
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - row, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(grams))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(3)), raw], names=["node", "comp", "size", "grams"]).filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(2)), raw], names=["node", "size", "grams"]).filter(pa.array(right))
 
     return run
 
@@ -126,7 +134,7 @@ def _grams(n: int):
 def _compare(threshold: float):
     def run(key, group):
         group = group.combine_chunks()
-        node, comp, size, block = (group[c].to_numpy() for c in ("node", "comp", "size", "block"))
+        node, comp, size, block, band = (group[c].to_numpy() for c in ("node", "unit", "size", "block", "band"))
         sets = [np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()]
         n, count = len(sets), np.array([len(x) for x in sets])
         grams, owner = np.concatenate(sets), np.repeat(np.arange(n), count)
@@ -148,8 +156,14 @@ def _compare(threshold: float):
         union = count[:, None] + count[None, :] - both
         # exact: whole numbers below 2^24 on both sides; the margin is far below 1 / union
         link = (both >= threshold * union - 1e-6) & (comp[:, None] == comp[None, :])
-        if len(np.unique(block)) > 1 and len(np.unique(comp)) == 1:
+        if key[1].as_py() != key[2].as_py():
             link &= block[:, None] != block[None, :]  # pairs within a block belong to its own tile
+        if (band > 0).any():  # pairs that an earlier band has
+            bands = group["bands"].fill_null([]).to_pylist()
+            wide = max(map(len, bands))
+            table = np.array([x or [0] * wide for x in bands], np.int64)
+            for k in range(int(band.max())):
+                link &= (table[:, None, k] != table[None, :, k]) | (band[:, None] <= k)
         np.fill_diagonal(link, False)
         root = np.arange(n)
         rank = np.argsort(np.argsort(node))
@@ -174,26 +188,31 @@ def _classes(docs: DataFrame, threshold: float, n: int, recall: float) -> DataFr
     classes = signed.filter("key is not null").groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"))
     classes = stored(classes)
     banded = classes.filter("rep is not null").select("node", F.posexplode("bands").alias("band", "hash"))
-    bucket = banded.groupBy("band", "hash").agg(F.min("node").alias("low"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    ties = banded.join(bucket, ["band", "hash"]).filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    groups = components(ties).withColumnRenamed("root", "comp")
+    bucket = banded.groupBy("band", "hash").agg(F.min("node").alias("low"), F.count("*").alias("many")).filter("many > 1")
+    tied = stored(banded.join(bucket, ["band", "hash"]))
+    groups = components(tied.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()).withColumnRenamed("root", "comp")
     groups = stored(groups.join(classes.select("node", "rep", "size"), "node"))
 
     wide = groups.groupBy("comp").agg(F.count("*").alias("width"))
-    small = groups.join(wide, "comp").filter(F.col("width") <= BLOCK).count()
-    blocks = F.ceil(F.col("width") / BLOCK).cast("int")
-    tiled = groups.join(wide, "comp").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    pack = F.array(F.struct(F.expr(f"pmod(xxhash64(comp), {max(1, math.ceil(small / BLOCK))})").alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    tiles = F.expr("transform(sequence(0, blocks - 1), x -> struct(comp as g, least(x, block) as i, greatest(x, block) as j))")
-    tiled = tiled.select("node", "block", F.when(F.col("width") <= BLOCK, pack).otherwise(tiles).alias("tiles"))
+    # pairs of a component, and of its buckets, twice each
+    buckets = tied.join(groups.select("node", "comp"), "node").groupBy("comp").agg(F.sum("many").alias("shared"))
+    wide = stored(wide.join(buckets, "comp").withColumn("chained", (F.col("width") > BLOCK) & (F.col("width").cast("double") * F.col("width") > CHAIN * F.col("shared"))))
+    whole = groups.join(wide.filter("not chained"), "comp").select("node", F.col("comp").alias("unit"), "width", F.lit(-1).alias("band"), F.lit(None).cast("array<bigint>").alias("bands"))
+    parts = groups.select("node", "comp").join(wide.filter("chained").select("comp"), "comp").join(tied, "node").join(classes.select("node", "bands"), "node")
+    units = stored(whole.unionAll(parts.select("node", F.xxhash64("band", "hash").alias("unit"), F.col("many").alias("width"), "band", "bands")))
+    small = units.filter(F.col("width") <= BLOCK).count()
+    tiled = units.withColumn("blocks", F.ceil(F.col("width") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    pack = F.array(F.struct(F.expr(f"pmod(xxhash64(unit), {max(1, math.ceil(small / BLOCK))})").alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    tiles = F.expr("transform(sequence(0, blocks - 1), x -> struct(unit as g, least(x, block) as i, greatest(x, block) as j))")
+    tiled = tiled.select("node", "unit", "band", "bands", "block", F.when(F.col("width") <= BLOCK, pack).otherwise(tiles).alias("tiles"))
 
     # one text for each class in a component; repeated rows of an id are one.  Both sides grow with
     # the corpus, so the join is by key at every size and never a broadcast
-    texts = docs.join(groups.select(F.col("rep").alias("doc_id"), "node", "comp", "size").hint("merge"), "doc_id").select("node", "comp", "size", "text")
-    sets = texts.mapInArrow(_grams(n), "node bigint, comp bigint, size bigint, grams binary")
+    texts = docs.join(groups.select(F.col("rep").alias("doc_id"), "node", "size").hint("merge"), "doc_id").select("node", "size", "text")
+    sets = texts.mapInArrow(_grams(n), "node bigint, size bigint, grams binary")
     if _repeats(signed):
-        sets = sets.groupBy("node", "comp", "size").agg(F.first("grams").alias("grams"))
-    dealt = sets.join(tiled, "node").select("node", "comp", "size", "grams", "block", F.explode("tiles").alias("t")).select("node", "comp", "size", "grams", "block", "t.*")
+        sets = sets.groupBy("node", "size").agg(F.first("grams").alias("grams"))
+    dealt = sets.join(tiled, "node").select("node", "unit", "band", "bands", "size", "grams", "block", F.explode("tiles").alias("t")).select("node", "unit", "band", "bands", "size", "grams", "block", "t.*")
     verified = stored(dealt.groupBy("g", "i", "j").applyInArrow(_compare(threshold), "node bigint, links bigint, root bigint"))
 
     linked = verified.groupBy("node").agg(F.sum("links").alias("links"))
@@ -240,3 +259,20 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: flo
 
 def query(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same in DuckDB, with sets of joined words, pairs that share an n-gram, and their transitive closure.
+ORACLE = """
+with recursive
+d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from documents),
+grams as (select distinct r, doc_id, array_to_string(w[p:p + 4], ' ') as g from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as u(p) where len(w) > 0),
+size as (select r, count(*) as n from grams group by r),
+shared as (select a.r as x, b.r as y, count(*) as c from grams a join grams b on a.g = b.g and a.r <> b.r group by a.r, b.r),
+links as (select x, y from shared join size p on p.r = x join size q on q.r = y where 10 * c >= 8 * (p.n + q.n - c)),
+reach as (select r as x, r as y from d union select reach.x, links.y from reach join links on links.x = reach.y),
+class as (select x as r, min(doc_id) as class_id from reach join d on d.r = reach.y group by x),
+degree as (select x as r, count(*) as n from links group by x)
+select doc_id, class_id, coalesce(n, 0) as n_links from d join class using (r) left join degree using (r)
+"""

@@ -344,6 +344,23 @@ def brute_contamination(texts, items, width=10):
     return out
 
 
+def brute_match(text, items, width=10):
+    """The longest verbatim match that has a window: words, place in the text, item, place in the item."""
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    w, best = word.findall(lower(text)), None
+    for i, t in items:
+        v = word.findall(lower(t))
+        for p in range(len(w)):
+            for o in range(len(v)):
+                n = 0
+                while p + n < len(w) and o + n < len(v) and w[p + n] == v[o + n]:
+                    n += 1
+                if n >= min(width, len(v)):
+                    found = (-n, p, i is not None, i, o)
+                    best = found if best is None or found[:3] < best[:3] or (found[:3] == best[:3] and found[2] and found[3:] < best[3:]) or (found[:4] == best[:4] and o < best[4]) else best
+    return (-best[0], best[1], best[3], best[4]) if best else (0, None, None, None)
+
+
 @pytest.mark.parametrize("limit", [decontaminate.PIECE_BYTES, 300])
 def test_decontamination(spark, limit):
     rng = random.Random(9)
@@ -358,6 +375,8 @@ def test_decontamination(spark, limit):
     assert len(rows) == len(texts) + 2
     for r in rows:
         n, hit, found = want[r["doc_id"]] if r["doc_id"] is not None else (0, 0, [])
+        text = texts[r["doc_id"]] if r["doc_id"] is not None else None
+        assert (r["match_words"], r["match_at"], r["match_item"], r["match_offset"]) == brute_match(text, items)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(found), hit > 0)
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
     kept = decontaminate.clean(docs, benchmark, limit=limit)
@@ -513,9 +532,10 @@ def brute_classes(texts, ids, threshold=0.8, n=5):
     return links, [ids[find(i)] for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("block", [64, 3])
-def test_ngram_join(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "chain"), [(64, 1.0), (3, 1e9), (3, 0.0)])
+def test_ngram_join(spark, monkeypatch, block, chain):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "CHAIN", chain)  # components, or buckets
     docs = make_docs(spark, TEXTS)
     links, roots = brute_classes(TEXTS, list(range(len(TEXTS))))
     twice = {0, *[i for i, r in enumerate(roots) if r == roots[0] and i != 0]}
