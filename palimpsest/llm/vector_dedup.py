@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bytewords import mix
-from palimpsest.llm.common import components, stored
+from palimpsest.llm.common import components, discard, stored
 
 THRESHOLD = 0.98
 SHARD = 1_500
@@ -399,21 +399,31 @@ def _audited(classes: DataFrame, links: DataFrame, threshold: float, rows: int =
     return seen[1] / seen[0] if seen[0] else None
 
 
-def _linked(members: DataFrame, threshold: float, wide: int, beam: int, slack: float) -> DataFrame:
-    """(rep, links, root) by a graph of the given effort; several rows of a class where several tasks met it."""
-    by = ["label", "dims", "shard"]
-    sizes = members.groupBy(*by).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    members = members.join(sizes, by)
-    one = F.expr("pmod(xxhash64(rep, 11), parts)").cast("int")
-    two = F.expr("pmod(pmod(xxhash64(rep, 11), parts) + 1 + pmod(xxhash64(rep, 13), parts - 1), parts)").cast("int")
-    built = members.filter("inner").select("rep", "unit", *by, F.explode(F.when(F.col("parts") > 1, F.array(one, two)).otherwise(F.array(F.lit(0)))).alias("part"))
-    lists = built.groupBy(*by, "part").applyInArrow(_builder(threshold, wide), "rep bigint, near array<bigint>")
+BY = ["label", "dims", "shard"]
+
+
+def _parted(members: DataFrame) -> DataFrame:
+    """``members`` with the number of parts that their shard is dealt to, and their own."""
+    sizes = members.groupBy(*BY).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    return members.join(sizes, BY).withColumn("own_part", F.expr("pmod(xxhash64(rep, 11), parts)").cast("int"))
+
+
+def _lists(members: DataFrame, threshold: float, wide: int) -> DataFrame:
+    """(rep, near): the united adjacency list of each node."""
+    two = F.expr("pmod(own_part + 1 + pmod(xxhash64(rep, 13), parts - 1), parts)").cast("int")
+    part = F.explode(F.when(F.col("parts") > 1, F.array("own_part", two)).otherwise(F.array(F.lit(0)))).alias("part")
+    lists = _parted(members.filter("inner")).select("rep", "unit", *BY, part).groupBy(*BY, "part").applyInArrow(_builder(threshold, wide), "rep bigint, near array<bigint>")
     # at most the lists of the few parts that a node is in meet in a group
-    lists = stored(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    return lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+
+
+def _linked(members: DataFrame, lists: DataFrame, threshold: float, beam: int, slack: float) -> DataFrame:
+    """(rep, links, root) by searches of the given effort; several rows of a class where several tasks met it."""
     slots = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    asking = members.select("rep", "size", "unit", "home", one.alias("own_part"), *by, slots).withColumn("asks", F.expr("home and part = own_part"))
-    spread = members.select(*[F.col(c).alias(c) for c in ("rep", *by)], slots).join(lists, "rep").select(*[F.col(c).alias(f"own_{c}") for c in [*by, "part"]], F.col("rep").alias("node"), "near")
-    return asking.select("rep", "size", "unit", "asks", *by, "part").groupBy(*by, "part").cogroup(spread.groupBy(*[f"own_{c}" for c in [*by, "part"]])).applyInArrow(_searcher(threshold, beam, slack), LINKS)
+    members = _parted(members)
+    asking = members.select("rep", "size", "unit", "home", "own_part", *BY, slots).withColumn("asks", F.expr("home and part = own_part"))
+    spread = members.select(*[F.col(c).alias(c) for c in ("rep", *BY)], slots).join(lists, "rep").select(*[F.col(c).alias(f"own_{c}") for c in [*BY, "part"]], F.col("rep").alias("node"), "near")
+    return asking.select("rep", "size", "unit", "asks", *BY, "part").groupBy(*BY, "part").cogroup(spread.groupBy(*[f"own_{c}" for c in [*BY, "part"]])).applyInArrow(_searcher(threshold, beam, slack), LINKS)
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -440,12 +450,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
                 table[name] = centroids(_matrix(sample["unit"].take(pa.array(own))), math.ceil(n / SHARD))
     shared = spark.sparkContext.broadcast(table)
     members = stored(nodes.mapInArrow(_assigner(shared, threshold), f"rep bigint, label int, dims int, size bigint, unit array<{real}>, shard int, home boolean, inner boolean"))
-    for effort in EFFORTS:
-        found = stored(_linked(members, threshold, *effort))
+    for wide, beam, slack in EFFORTS:
+        lists = stored(_lists(members, threshold, wide))
+        found = stored(_linked(members, lists, threshold, beam, slack))
+        discard(lists)
         links = found.groupBy("rep").agg(F.sum("links").alias("links"))
         recall = _audited(classes, links, threshold)
         if recall is None or recall >= RECALL:
             break
+        discard(found)
+    discard(members)
     if recall is not None and recall < LEAST_RECALL:
         raise RuntimeError(f"only {recall:.3f} of the links of the audited vectors were found")
     edges = found.filter("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))
@@ -459,3 +473,20 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The same in DuckDB, over all pairs of a label, with their transitive closure.
+ORACLE = """
+with recursive
+v as (
+  select row_number() over () as r, vec_id, label, cast(embedding as double[]) as e,
+         label is not null and len(embedding) > 0 and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), false)
+         and coalesce(list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) as good
+  from embeddings),
+u as (select r, label, len(e) as n, e, sqrt(list_inner_product(e, e)) as size from v where good),
+links as (select a.r as x, b.r as y from u a join u b on a.label = b.label and a.n = b.n and a.r <> b.r where list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+reach as (select r as x, r as y from v union select reach.x, links.y from reach join links on links.x = reach.y),
+class as (select x as r, min(vec_id) as component_id from reach join v on v.r = reach.y group by x),
+degree as (select x as r, count(*) as n from links group by x)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from v join class using (r) left join degree using (r)
+"""
