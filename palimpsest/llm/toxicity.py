@@ -14,7 +14,10 @@ is scored in full.  Labels, language, source and id are no inputs of a score.
 Words are runs of ASCII digits, letters (lower-cased) and non-ASCII characters,
 told apart by 64-bit hashes.  A null or empty text has no words and gets the
 intercept's score.  Without a positive example all scores are 0.  Of several
-labels of an id the largest counts.  Repeated rows are scored one by one.
+labels of an id the largest counts.  Repeated rows are scored one by one, and very
+long texts whole.  An empty table gives an empty result.  Extra columns are left out
+at the scan, whatever their names.  All words of the samples whose shares differ by
+``LEAST_Z`` standard errors are features; there is no cap on them.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ from palimpsest.llm.common import only
 
 FIT_POSITIVE = 4_000
 FIT_UNLABELLED = 12_000
-FEATURES = 4_096
+#: Standard errors by which a word's shares in the two samples differ at least, and texts of them it is in.
 LEAST_Z = 4.0
+LEAST_TEXTS = 3
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 
@@ -88,12 +92,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     names, code = np.unique(every, return_inverse=True)
     in_p = np.bincount(code[owner < n_p], minlength=len(names))
     in_u = np.bincount(code[owner >= n_p], minlength=len(names))
-    # words whose share differs between the two sets by LEAST_Z standard errors, the clearest first
+    # words whose share clearly differs between the two sets
     p, u, pool = in_p / n_p, in_u / (n - n_p), (in_p + in_u + 1) / (n + 2)
     z = np.abs(p - u) / np.sqrt(pool * (1 - pool) * (1 / n_p + 1 / (n - n_p)))
-    often = (z >= LEAST_Z) & (in_p + in_u >= 3)
-    order = np.lexsort((names, -np.where(often, z, -1)))[:FEATURES]
-    order = np.sort(order[often[order]])
+    order = np.flatnonzero((z >= LEAST_Z) & (in_p + in_u >= LEAST_TEXTS))
     place = np.full(len(names), -1)
     place[order] = np.arange(len(order))
     kept = place[code] >= 0
