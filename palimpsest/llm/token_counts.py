@@ -14,7 +14,9 @@ without encoding again (``tokens_at``, ``longest_prefix``).
 Null texts are empty and have no tokens.  A special string inside a text is one
 token, as the tokenizers library has it by default; inside a prefix that ends
 within the string, its characters are ordinary.  Rows are handled one by one,
-whatever their ids, so repeated rows and null ids come out as they come in.
+whatever their ids, so repeated rows and null ids come out as they come in.  Very
+long texts are counted whole.  An empty table gives an empty result; extra columns
+are left out at the scan, whatever their names.
 """
 
 from __future__ import annotations
@@ -199,6 +201,13 @@ class PrefixCounter:
         return count, start
 
 
+def _signed(change: np.ndarray) -> bytes:
+    """Changes as signed bytes; no byte-level vocabulary with tokens of less than 127 bytes needs more."""
+    if len(change) and np.abs(change).max() > 127:
+        raise ValueError("counts of two neighbouring prefixes differ by more than 127")
+    return change.astype(np.int8).tobytes()
+
+
 _counters: dict[int, tuple] = {}
 
 
@@ -222,9 +231,7 @@ class TextCounter:
         first = np.concatenate([[0], np.cumsum(final)])[start]
         change = np.diff(kept, prepend=0)
         change[first[:-1]] = kept[first[:-1]]
-        if np.abs(change).max() > 127:
-            raise ValueError("counts of two neighbouring prefixes differ by more than 127")
-        flat = change.astype(np.int8).tobytes()
+        flat = _signed(change)
         for i, p in enumerate(new):
             self.cache[p] = flat[first[i] : first[i + 1]]
 
@@ -265,7 +272,7 @@ class TextCounter:
                 array[at] += off
                 if at + 1 < len(array):
                     array[at + 1] -= off
-        return array.astype(np.int8).tobytes()
+        return _signed(array)
 
     def _exact(self, pieces: set[str]) -> dict[str, np.ndarray]:
         """Counts after each byte of the pieces."""
@@ -285,7 +292,7 @@ class TextCounter:
             plain = np.frombuffer(self._plain(text[low : at + len(s)]), np.int8).astype(np.int64)
             before = int(np.frombuffer(self._plain(text[low:at]), np.int8).astype(np.int64).sum())
             plain[-1] = before + 1 - int(plain[:-1].sum())
-            out.append(plain.astype(np.int8).tobytes())
+            out.append(_signed(plain))
             low = at + len(s)
         return b"".join(out)
 
