@@ -329,3 +329,12 @@ def public_ranks(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int],
 
 def query(spark, sf_dir: str) -> DataFrame:
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), *public_ranks(), digests=True)
+
+
+def round_trip_query(spark, sf_dir: str) -> DataFrame:
+    """SHA-256 of the bytes decoded from the ids of each document."""
+    return query(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+#: The same of the texts themselves, in DuckDB.
+ROUND_TRIP_ORACLE = "select doc_id, sha256(coalesce(text, '')) as decoded_sha256 from documents"
