@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,12 @@ from palimpsest.sources import formats
 BLOB = "hash string, content binary"
 
 
+def _bytes(content) -> bytes:
+    if content is None:
+        raise E.NotNullViolation("file.content")
+    return content.encode() if isinstance(content, str) else bytes(content)
+
+
 class Files:
     """``Files(session)``: whole files by path.  Every call is one commit, or part of an open transaction."""
 
@@ -44,6 +51,21 @@ class Files:
         return self.files().filter(F.col("path") == path).first()
 
     # --- commands
+    @contextmanager
+    def _as_one(self):
+        """All writes within as one commit, or as part of the open transaction."""
+        outer = self.session.staged is None
+        if outer:
+            self.session.begin()
+        try:
+            yield
+            if outer:
+                self.commit_id = self.session.commit()
+        except Exception:
+            if outer:
+                self.session.rollback()
+            raise
+
     def _directory(self, parts: list[str]) -> str | None:
         """The id of the directory, made with all above it where it is missing."""
         if not parts:
@@ -62,7 +84,8 @@ class Files:
         return parent
 
     def make_directory(self, path: str) -> str | None:
-        return self._directory(P.segments(path))
+        with self._as_one():
+            return self._directory(P.segments(path))
 
     def write(self, path: str, content: bytes) -> str:
         """Writes a whole file, new or old; returns its id."""
@@ -77,22 +100,13 @@ class Files:
             return old["id"]
         if not self._blobs().filter(F.col("hash") == digest).limit(1).count():
             self.spark.createDataFrame([(digest, bytearray(content))], BLOB).write.mode("append").parquet(f"{self.repo.path}/blobs")
-        outer = self.session.staged is None
-        if outer:
-            self.session.begin()
-        try:
+        with self._as_one():
             file_id = old["id"] if old is not None else self.repo.ids()
             if old is None:
                 row = self.spark.createDataFrame([(file_id, self._directory(parts[:-1]), parts[-1])], "id string, directory_id string, name string")
                 self.session.insert("file_descriptor", row)
             ref = self.spark.createDataFrame([(file_id, digest, len(content))], "id string, hash string, size bigint")
             self.session.insert("blob_ref", ref, on_conflict={"hash": F.col("excluded.hash"), "size": F.col("excluded.size")})
-            if outer:
-                self.session.commit()
-        except Exception:
-            if outer:
-                self.session.rollback()
-            raise
         return file_id
 
     def read(self, path: str, start: int = 0, length: int | None = None) -> bytes:
@@ -104,32 +118,80 @@ class Files:
         return bytes(self._blobs().filter(F.col("hash") == row["hash"]).select(part).first()[0])
 
     def delete(self, path: str) -> Receipt:
-        row = self._find(path)
-        if row is None:
+        receipt = self.delete_where(F.col("path") == path)
+        if not receipt.rows_affected:
             raise E.InvalidPath(path)
-        self.session.delete("blob_ref", F.col("id") == row["id"])
-        return self.session.delete("file_descriptor", F.col("id") == row["id"])
+        return receipt
+
+    def delete_where(self, where=None) -> Receipt:
+        """Deletes the files that a condition holds for, with their contents' references."""
+        found = self.files()
+        gone = self.session._pinned((found if where is None else found.filter(where)).select("id"))
+        return self._delete(gone, None)
+
+    def _delete(self, files: DataFrame, directories: DataFrame | None) -> Receipt:
+        with self._as_one():
+            self.session.delete_rows("blob_ref", files)
+            done = self.session.delete_rows("file_descriptor", files).rows_affected
+            if directories is not None:
+                done += self.session.delete_rows("directory_descriptor", directories).rows_affected
+        return Receipt(getattr(self, "commit_id", None), done, files)
 
     def move(self, path: str, to: str) -> Receipt:
         """Renames or moves a file; its id and contents stay."""
         row, parts = self._find(path), P.segments(to)
         if row is None or not parts or self._find(to) is not None:
             raise E.InvalidPath(f"{path} -> {to}")
-        return self.session.update("file_descriptor", {"directory_id": F.lit(self._directory(parts[:-1])).cast("string"), "name": F.lit(parts[-1])}, F.col("id") == row["id"])
+        with self._as_one():
+            receipt = self.session.update("file_descriptor", {"directory_id": F.lit(self._directory(parts[:-1])).cast("string"), "name": F.lit(parts[-1])}, F.col("id") == row["id"])
+        return receipt
 
     def delete_directory(self, path: str) -> int:
         """Deletes a directory with all below it; returns how many files and directories went."""
-        root = self.directories().filter(F.col("path") == path).select("id")
-        gone = P.descendants(self.session._typed("directory_descriptor"), root).select("id")
-        ids = [r[0] for r in gone.collect()]
-        files = [r[0] for r in self.session._typed("file_descriptor").join(gone.withColumnRenamed("id", "directory_id"), "directory_id", "left_semi").select("id").collect()]
-        if not ids:
+        done = self.delete_directories(F.col("path") == path).rows_affected
+        if not done:
             raise E.InvalidPath(path)
-        if files:
-            self.session.delete("blob_ref", F.col("id").isin(files))
-            self.session.delete("file_descriptor", F.col("id").isin(files))
-        self.session.delete("directory_descriptor", F.col("id").isin(ids))
-        return len(ids) + len(files)
+        return done
+
+    def delete_directories(self, where=None) -> Receipt:
+        """Deletes the directories that a condition holds for, with all below them."""
+        found = self.directories()
+        root = (found if where is None else found.filter(where)).select("id")
+        gone = self.session._pinned(P.descendants(self.session._typed("directory_descriptor"), root).select("id"))
+        files = self.session._typed("file_descriptor").join(gone.withColumnRenamed("id", "directory_id"), "directory_id", "left_semi").select("id")
+        return self._delete(self.session._pinned(files), gone)
+
+    # --- rows of the relations ``file`` and ``directory``
+    def insert(self, kind: str, rows: DataFrame) -> Receipt:
+        """Makes files from (path, content), or directories from (path); one commit. The rows of one statement go through the driver."""
+        wanted = {"file": {"path", "content"}, "directory": {"path"}}[kind]
+        if set(rows.columns) != wanted:
+            raise E.ColumnNotFound(f"{kind} is written by {', '.join(sorted(wanted))}")
+        given = rows.collect()
+        known = {r[0] for r in (self.files() if kind == "file" else self.directories()).select("path").join(rows.select("path"), "path", "left_semi").collect()}
+        if known or len({r["path"] for r in given}) < len(given):
+            raise E.UniqueViolation(f"{kind}(path)")
+        with self._as_one():
+            for r in given:
+                if kind == "directory":
+                    self._directory(P.segments(r["path"]))
+                else:
+                    self.write(r["path"], _bytes(r["content"]))
+        return Receipt(getattr(self, "commit_id", None), len(given), rows)
+
+    def update(self, assigned: dict, where=None) -> Receipt:
+        """Sets the contents or paths of the files that a condition holds for; one commit."""
+        if set(assigned) - {"content", "path"}:
+            raise E.ColumnNotFound(", ".join(assigned))
+        found = self.files(content=True)
+        rows = (found if where is None else found.filter(where)).select("path", *[c.alias(f"new_{k}") for k, c in assigned.items()]).collect()
+        with self._as_one():
+            for r in rows:
+                if "content" in assigned:
+                    self.write(r["path"], _bytes(r["new_content"]))
+                if "path" in assigned and r["new_path"] != r["path"]:
+                    self.move(r["path"], r["new_path"])
+        return Receipt(getattr(self, "commit_id", None), len(rows))
 
     # --- contents as rows
     def rows(self, kind: str) -> DataFrame:

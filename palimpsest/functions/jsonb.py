@@ -9,6 +9,7 @@ one key of an object.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -18,20 +19,18 @@ from pyspark.sql import functions as F
 
 from palimpsest.errors import InvalidJson
 
-_NUL = re.compile("\0")
+_floats = 0
 
 
-def _normal(value):
-    if isinstance(value, str):
-        if "\0" in value:
-            raise InvalidJson("U+0000 in a JSONB string")
-        return value
-    if isinstance(value, float):
-        return int(value) if value == int(value) and abs(value) <= 2**53 else value
-    if isinstance(value, list):
-        return [_normal(v) for v in value]
-    if isinstance(value, dict):
-        return {_normal(k): _normal(value[k]) for k in sorted(value)}
+def _float(text: str):
+    """A number with a point or an exponent: an integer where it is a whole one within 2^53."""
+    global _floats
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise InvalidJson(text)
+    if value == int(value) and abs(value) <= 2**53:
+        return int(value)
+    _floats += 1
     return value
 
 
@@ -39,12 +38,27 @@ def _refuse(name: str):
     raise InvalidJson(name)
 
 
+_DECODER = json.JSONDecoder(parse_float=_float, parse_constant=_refuse)
+_ENCODER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
+def _holds_nul(value) -> bool:
+    if isinstance(value, str):
+        return "\0" in value
+    if isinstance(value, dict):
+        return any(_holds_nul(k) or _holds_nul(v) for k, v in value.items())
+    return isinstance(value, list) and any(map(_holds_nul, value))
+
+
 def parse(text: str):
     """The normalised value of a JSON text."""
     try:
-        return _normal(json.loads(text, parse_constant=_refuse))
+        value = _DECODER.decode(text)
+        if "\\u0000" in text and _holds_nul(value):
+            raise InvalidJson("U+0000 in a JSONB string")
     except (ValueError, OverflowError, RecursionError) as error:
         raise InvalidJson(str(error)) from error
+    return value
 
 
 def dump(value) -> str:
@@ -54,7 +68,7 @@ def dump(value) -> str:
     if isinstance(value, list):
         return "[" + ",".join(map(dump, value)) + "]"
     if isinstance(value, dict):
-        return "{" + ",".join(f"{dump(k)}:{dump(v)}" for k, v in value.items()) + "}"
+        return "{" + ",".join(f"{dump(k)}:{dump(value[k])}" for k in sorted(value)) + "}"
     return json.dumps(value, ensure_ascii=False)
 
 
@@ -114,35 +128,60 @@ def exists(value, key: str) -> bool:
     return key in value if isinstance(value, dict) else isinstance(value, list) and any(isinstance(v, str) and v == key for v in value)
 
 
-def as_json(value) -> str | None:
-    return None if value is _MISSING else dump(value)
+def as_json(value, floats: bool = True) -> str | None:
+    """Canonical text; without ``floats`` in the value the compiled encoder gives it."""
+    return None if value is _MISSING else dump(value) if floats else _ENCODER.encode(value)
 
 
-def as_text(value) -> str | None:
+def as_text(value, floats: bool = True) -> str | None:
     if value is _MISSING or value is None:
         return None
-    return value if isinstance(value, str) else dump(value)
+    return value if isinstance(value, str) else as_json(value, floats)
+
+
+def _null(x) -> bool:
+    return x is None or x is pd.NA or (isinstance(x, float) and x != x)
+
+
+def _each(f, *columns: pd.Series) -> pd.Series:
+    """f(value, whether it has floats, ...) of each text; equal neighbours are computed once."""
+    out, last, result = [], None, None
+    for row in zip(*columns, strict=True):
+        if row != last:
+            last = row
+            if any(map(_null, row)):
+                result = None
+            else:
+                before = _floats
+                value = parse(row[0])
+                result = f(value, _floats > before, *row[1:])
+        out.append(result)
+    return pd.Series(out, dtype=object)
+
+
+@functools.lru_cache(256)
+def _parsed(text: str):
+    return parse(text)
 
 
 def _one(f):
-    return lambda a: pd.Series([None if x is None or x is pd.NA else f(parse(x)) for x in a], dtype=object)
+    return lambda a: _each(f, a)
 
 
 def _two(f):
-    null = lambda x: x is None or x is pd.NA or (isinstance(x, float) and x != x)
-    return lambda a, b: pd.Series([None if null(x) or null(y) else f(parse(x), y) for x, y in zip(a, b, strict=True)], dtype=object)
+    return lambda a, b: _each(f, a, b)
 
 
 _FUNCTIONS = {
-    "jsonb": (_one(dump), "string"),
-    "jsonb_get": (_two(lambda v, k: as_json(get(v, k))), "string"),
-    "jsonb_get_text": (_two(lambda v, k: as_text(get(v, k))), "string"),
-    "jsonb_element": (_two(lambda v, k: as_json(get(v, int(k)))), "string"),
-    "jsonb_element_text": (_two(lambda v, k: as_text(get(v, int(k)))), "string"),
-    "jsonb_path": (_two(lambda v, p: as_json(walk(v, p))), "string"),
-    "jsonb_path_text": (_two(lambda v, p: as_text(walk(v, p))), "string"),
-    "jsonb_contains": (_two(lambda v, w: contains(v, parse(w))), "boolean"),
-    "jsonb_exists": (_two(exists), "boolean"),
+    "jsonb": (_one(as_json), "string"),
+    "jsonb_get": (_two(lambda v, fl, k: as_json(get(v, k), fl)), "string"),
+    "jsonb_get_text": (_two(lambda v, fl, k: as_text(get(v, k), fl)), "string"),
+    "jsonb_element": (_two(lambda v, fl, k: as_json(get(v, int(k)), fl)), "string"),
+    "jsonb_element_text": (_two(lambda v, fl, k: as_text(get(v, int(k)), fl)), "string"),
+    "jsonb_path": (_two(lambda v, fl, p: as_json(walk(v, p), fl)), "string"),
+    "jsonb_path_text": (_two(lambda v, fl, p: as_text(walk(v, p), fl)), "string"),
+    "jsonb_contains": (_two(lambda v, fl, w: contains(v, _parsed(w))), "boolean"),
+    "jsonb_exists": (_two(lambda v, fl, k: exists(v, k)), "boolean"),
 }
 
 

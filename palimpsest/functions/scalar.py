@@ -6,8 +6,7 @@ import os
 import time
 import uuid
 
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.errors import TypeMismatch
@@ -49,16 +48,3 @@ def octet_length(df, column: str) -> Column:
     if kind not in ("string", "binary"):
         raise TypeMismatch(f"octet_length takes text or bytes, not {kind}")
     return F.octet_length(F.col(column))
-
-
-def register(spark: SparkSession, account: str, branch: str, commit: str) -> None:
-    """Session facts and volatile ids for SQL."""
-
-    def facts(value):
-        def same(n: pd.Series) -> pd.Series:
-            return pd.Series([value] * len(n))
-
-        return F.pandas_udf(same, "string")
-
-    for name, value in (("active_account_of", account), ("active_branch_of", branch), ("active_commit_of", commit)):
-        spark.udf.register(name, facts(value))

@@ -6,9 +6,11 @@ On disk a repository is a folder of Parquet and small JSON records:
     blobs/                 file contents by hash
     meta/<n>.json          one record for each change of the graph, branches or schemas
 
-A record's name is the next number, and it is created only if it does not exist:
-of two writers one fails with TransactionConflict and can retry.  Members are
-written before the record that makes them visible, so a lost writer leaves no
+A record's name is the next number, and it is created only if it does not exist.
+Of two writers one comes second: it reads the other's records and, if these touch
+none of its rows and its constraints still hold, follows them; else it fails with
+TransactionConflict.  Members are written before the record that makes them
+visible, and a receipt is part of its commit's record, so a lost writer leaves no
 half commit.  States, diffs and merges are DataFrames over the members.
 """
 
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 from palimpsest import errors as E
 from palimpsest.functions import jsonb
 from palimpsest.functions.scalar import Ids, uuidv7
+from palimpsest.operators import concurrency as C
 from palimpsest.operators import diff as D
 from palimpsest.operators import history as H
 from palimpsest.operators import merge as M
@@ -154,7 +157,13 @@ class Repository:
 
     # --- surfaces
     def changes(self) -> DataFrame:
-        return self.members().select(F.col("change_id").alias("id"), "account_id", "row_pk", "schema_key", "file_id", "metadata", F.col("updated_at").alias("created_at"), "origin_key", F.col("snapshot").alias("snapshot_content"))
+        """Every change once, in however many commits it is, and one change for each commit."""
+        columns = [F.col("change_id").alias("id"), "account_id", "row_pk", "schema_key", "file_id", "metadata", F.col("updated_at").alias("created_at"), "origin_key", F.col("snapshot").alias("snapshot_content")]
+        rows = [(c["id"], json.dumps([c["id"]]), datetime.fromisoformat(c["created_at"]), json.dumps({"id": c["id"]}, separators=(",", ":"))) for c in self.meta.commits.values()]
+        made = local(self.spark, rows, "change_id string, row_pk string, updated_at timestamp, snapshot string")
+        none = F.lit(None).cast("string")
+        made = made.withColumns({"account_id": none, "schema_key": F.lit("commit"), "file_id": none, "metadata": none, "origin_key": none})
+        return self.members().dropDuplicates(["change_id", *IDENTITY]).select(*columns).unionByName(made.select(*columns))
 
     def checkpoints(self) -> DataFrame:
         rows = [(c["checkpoint"], c["id"]) for c in self.meta.commits.values() if c.get("checkpoint")]
@@ -186,6 +195,7 @@ class Session:
         self.staged: list[DataFrame] | None = None
         self.closed = False
         self._known: tuple | None = None
+        self._asked: dict | None = None  # the receipt of the call that is running
         self.mergers: dict[str, dict[str, M.Merger]] = {}
 
     # --- facts
@@ -296,6 +306,17 @@ class Session:
             log.commits.select(F.col("commit_id").alias("id")).createOrReplaceTempView("commit")
         if wanted("commit_edge"):
             log.edges().createOrReplaceTempView("commit_edge")
+        info = self.information_schema() if names is None or any(n.startswith("information_schema") for n in names) else {}
+        for name, frame in info.items():
+            frame.createOrReplaceTempView(f"information_schema_{name}")
+        if names and names & {"file", "directory"}:
+            from palimpsest.files import Files
+
+            files = Files(self)
+            if "file" in names:
+                files.files(content="content" in names or "*" in names).createOrReplaceTempView("file")
+            if "directory" in names:
+                files.directories().createOrReplaceTempView("directory")
         if wanted("change"):
             self.repo.changes().createOrReplaceTempView("change")
         if wanted("checkpoint"):
@@ -326,13 +347,42 @@ class Session:
             if seen["fingerprint"] != print_:
                 raise E.IdempotencyReuse(key)
             return Receipt(seen["commit_id"], seen["rows_affected"])
-        out = action()
-        if isinstance(out, Receipt):
-            self.repo.publish({"receipts": [{"key": key, "fingerprint": print_, "commit_id": out.commit_id, "rows_affected": out.rows_affected}]})
+        self._asked = {"key": key, "fingerprint": print_, "commit_id": None, "rows_affected": 0}
+        try:
+            out = action()
+        finally:
+            asked, self._asked = self._asked, None
+        # what made no commit of its own has no record yet
+        if isinstance(out, Receipt) and key not in self.repo.meta.receipts:
+            self.repo.publish({"receipts": [asked | {"commit_id": out.commit_id, "rows_affected": out.rows_affected}]})
         return out
 
+    def script(self, text: str) -> list:
+        """Statements between BEGIN and COMMIT as one commit, or one after another without them."""
+        from palimpsest.front import statements
+
+        parts = statements(text)
+        first, last = (parts[i].strip().lower() if parts else "" for i in (0, -1))
+        if any(p.strip().lower().split()[0] in ("rollback", "savepoint", "release") for p in parts):
+            raise E.UnsupportedSql("rollback and savepoints in a script")
+        if first in ("begin", "begin transaction", "start transaction"):
+            if last != "commit" or any(p.strip().lower() in ("begin", "commit") for p in parts[1:-1]):
+                raise E.UnsupportedSql("a script is one BEGIN ... COMMIT")
+            return self.batch(parts[1:-1])
+        return [self.sql(p) for p in parts]
+
     # --- versions
+    def composed_history(self, kind: str, commit: str | None = None) -> DataFrame:
+        """(id, commit_id, depth, source_changes): revisions of files or directories along the commits that one reaches."""
+        anchor = commit or self.head
+        log = self.repo.log(sorted(self.repo.graph().ancestors(anchor)))
+        parent = {"file_descriptor": "directory_id", "directory_descriptor": "parent_id"}
+        owner, parts = ("file_descriptor", [("blob_ref", "id")]) if kind == "file" else ("directory_descriptor", [])
+        return H.composed(log, anchor, owner, "id", parts, "directory_descriptor", parent)
+
     def history(self, key: str, commit: str | None = None, **more) -> DataFrame:
+        if key in ("file", "directory"):
+            return self.composed_history(key, commit)
         anchor = commit or self.head
         log = self.repo.log(sorted(self.repo.graph().ancestors(anchor)))
         schema = self.schema(key)
@@ -437,6 +487,11 @@ class Session:
         rows = self._typed(key)
         return self._write(key, self._pinned(rows if where is None else rows.filter(where)), True, **more)
 
+    def delete_rows(self, key: str, keys: DataFrame, **more) -> Receipt:
+        """Deletes the rows whose primary keys are in ``keys``."""
+        rows = self._typed(key).join(keys, list(self.schema(key).primary_key), "left_semi")
+        return self._write(key, self._pinned(rows), True, **more)
+
     def write_untracked(self, key: str, rows: DataFrame, deleted: bool = False) -> Receipt:
         """Writes rows (or, with ``deleted``, removes their keys) outside of the log; needs no commit."""
         schema = self.schema(key)
@@ -462,6 +517,8 @@ class Session:
         if not count and len(batch) == 1:
             return Receipt(None, 0, rows)
         own = self.staged is None
+        if self._asked is not None:
+            self._asked["rows_affected"] = count
         before = list(self.staged or [])
         self.staged = before + batch
         try:
@@ -549,13 +606,38 @@ class Session:
         return self._append(last, parents or [self.head], **more)
 
     def _append(self, members: DataFrame | None, parents: list[str], branch: dict | None = None, **more) -> str:
-        repo = self.repo
+        repo, base = self.repo, self.head
         commit = repo.ids()
         if members is not None:
             repo.write_members(commit, members.withColumn("commit_id", F.lit(commit)))
-        head = dict(repo.meta.branches[self.branch_id]) | {"commit_id": commit, "undone": [], "steps": [*repo.meta.branches[self.branch_id].get("steps", []), commit]} | (branch or {})
-        repo.publish({"commits": [repo.commit_record(commit, parents, **({"members": members is not None} | more))], "branches": [head]})
-        return commit
+        while True:
+            own = dict(repo.meta.branches[self.branch_id])
+            head = own | {"commit_id": commit, "undone": [], "steps": [*own.get("steps", []), commit]} | (branch or {})
+            record = {"commits": [repo.commit_record(commit, parents, **({"members": members is not None} | more))], "branches": [head]}
+            if self._asked is not None:
+                record["receipts"] = [self._asked | {"commit_id": commit}]
+            try:
+                repo.publish(record)
+                return commit
+            except E.TransactionConflict:
+                repo.refresh()
+                if self.branch_id not in repo.meta.branches or (self._asked and self._asked["key"] in repo.meta.receipts):
+                    raise
+                if self.head != base:
+                    parents, base = self._follow(members, parents, base), self.head
+
+    def _follow(self, members: DataFrame | None, parents: list[str], base: str) -> list[str]:
+        """Parents on the head that another session has made since ``base``, if its commits leave my rows alone."""
+        graph = self.repo.graph()
+        since = graph.ancestors(self.head).keys() - graph.ancestors(base).keys()
+        if parents != [base] or members is None or base not in graph.ancestors(self.head):
+            raise E.TransactionConflict("the branch was moved by another session")
+        if C.clashes(members, self.repo.members(sorted(since))).limit(1).count():
+            raise E.TransactionConflict("another session has changed the same rows")
+        self._known = None
+        if self.staged:
+            self.validate(self.staged)
+        return [self.head]
 
     def _versions(self, commit: str) -> DataFrame:
         """All rows at a commit, deleted ones too, as members."""

@@ -1,6 +1,11 @@
 """Repositories: writes, constraints, branches, merges and commands, against a plain model."""
 
+import json
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest import errors as E
 from palimpsest.files import Files
@@ -97,12 +102,65 @@ def test_transactions_and_idempotency(session, repo):
     assert one.commit_id == again.commit_id
     with pytest.raises(E.IdempotencyReuse):
         session.sql("insert into task (id, title) values ('8', 'y')", idempotency_key="k")
+    assert repo.meta.receipts["k"]["commit_id"] == one.commit_id
+
+
+def test_two_sessions(session, repo):
+    """A writer that comes second follows the first, unless they touch the same rows or break a constraint together."""
+    session.sql("insert into task (id, title) values ('1', 'a'), ('2', 'b')")
     other = Repository(session.spark, repo.path).session()
-    session.sql("insert into task (id, title) values ('5', 'five')")
+    session.sql("update task set n = 1 where id = '1'")
+    made = other.sql("update task set n = 2 where id = '2'", idempotency_key="k2")
+    assert other.repo.graph().parents[made.commit_id] == [session.head]
+    repo.refresh()
+    assert {k: v["n"] for k, v in table(session).items()} == {"1": 1, "2": 2} and repo.meta.receipts["k2"]["commit_id"] == made.commit_id
+    session.sql("update task set title = 'x' where id = '1'")
     with pytest.raises(E.TransactionConflict):
-        other.sql("insert into task (id, title) values ('6', 'six')")
-    other.repo.refresh()
-    assert other.sql("insert into task (id, title) values ('6', 'six')").rows_affected == 1
+        other.sql("delete from task where id = '1'")
+    session.sql("insert into task (id, title) values ('5', 'five')")
+    with pytest.raises(E.UniqueViolation):
+        other.sql("insert into task (id, title) values ('6', 'five')")
+    head = session.head
+    session.create_branch("side")
+    assert other.sql("insert into task (id, title) values ('7', 'seven')").rows_affected == 1
+    assert other.repo.graph().parents[other.head] == [head]
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_random_versions_and_merges(session, repo, seed):
+    """Writes, branches, merges and undo steps against dictionaries."""
+    rng = random.Random(seed)
+    rows, held = {"main": {}}, {"main": session}
+    bases: dict = {}
+    for step in range(14):
+        name = rng.choice(list(rows))
+        s, own = held[name], rows[name]
+        action = rng.choice(["insert", "insert", "update", "delete", "branch", "merge"])
+        key = str(rng.randint(0, 5))
+        if action == "insert" and key not in own:
+            s.sql("insert into task (id, title, n) values ($1, $2, $3)", [key, f"t{key}", step])
+            own[key] = step
+        elif action == "update" and key in own:
+            s.sql("update task set n = $2 where id = $1", [key, step])
+            own[key] = step
+        elif action == "delete" and key in own:
+            s.sql("delete from task where id = $1", [key])
+            del own[key]
+        elif action == "branch" and len(rows) < 3:
+            new = f"b{step}"
+            s.create_branch(new)
+            held[new], rows[new] = repo.session(new), dict(own)
+            bases[frozenset((name, new))] = dict(own)
+        elif action == "merge" and frozenset((name, "main")) in bases and name != "main":
+            base, main = bases[frozenset((name, "main"))], rows["main"]
+            both = {k for k in {*base, *own, *main} if own.get(k) != base.get(k) and main.get(k) != base.get(k) and own.get(k) != main.get(k)}
+            if both:
+                continue  # settled by column and time: tested on its own
+            held["main"].merge_branch(name)
+            rows["main"] = {k: (own if own.get(k) != base.get(k) else main)[k] for k in {*base, *own, *main} if k in (own if own.get(k) != base.get(k) else main)}
+            bases[frozenset((name, "main"))] = dict(own)
+    for name, own in rows.items():
+        assert {k: v["n"] for k, v in table(held[name]).items()} == own
 
 
 def test_branches_and_merges(session, repo):
@@ -222,3 +280,91 @@ def test_catalog(session):
     with pytest.raises(E.TableNotFound):
         session.table("file_descriptor")
     assert "Scan" in session.sql("explain select * from task")
+
+
+def test_conditions_of_writes(session):
+    session.sql("insert into task (id, title) values ('1', 'a'), ('2', 'b')")
+    for text in ("update task set n = 1 where id <> '1'", "delete from task where id > '1'", "delete from task where n between 1 and 9", "delete from task where not id = '1'", "delete from task where id not in ('1')", "delete from task where id in (select id from task)"):
+        with pytest.raises(E.UnsupportedSql):
+            session.sql(text)
+    assert session.sql("update task set n = 1 where title not like 'b%' and owner is null or id in ('9') and true").rows_affected == 1
+    assert session.sql("update task set n = 1 where owner is not null").rows_affected == 0
+
+
+def test_session_facts_and_checked_functions(session, repo):
+    row = session.sql("select active_branch_id() as b, active_account_id() as a, active_branch_commit_id() as c, octet_length('h\u00e9') as n, 'uuidv7()' as t").first()
+    assert tuple(row) == ("main", "anonymous", session.head, 3, "uuidv7()")
+    ids = [r[0] for r in session.sql("select uuidv7() as id from (values (1), (2), (3)) v").collect()]
+    assert len(set(ids)) == 3 and all(re.fullmatch("[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-8[0-9a-f]{3}-[0-9a-f]{12}", i) for i in ids)
+    session.sql("insert into task (id, title) values (uuidv7(), active_branch_id())")
+    assert [r["title"] for r in session.table("task").collect()] == ["main"]
+    with pytest.raises(Exception, match="octet_length takes text"):
+        session.sql("select octet_length(12) as n").collect()
+    with pytest.raises(E.UnsupportedSql):
+        session.sql("select uuidv7(1)")
+
+
+def test_information_schema_in_sql(session):
+    rows = session.sql("select column_name, value_kind, insert_policy from information_schema.columns where table_name = 'task' order by ordinal_position").collect()
+    assert [tuple(r) for r in rows][0] == ("id", "scalar", "REQUIRED") and len(rows) == 5
+    assert session.sql("select * from information_schema.tables where table_name = 'task'").count() == 1
+    assert session.sql("select function_name from information_schema.table_functions").count() == 4
+
+
+def test_each_change_once(session, repo):
+    session.sql("insert into task (id, title) values ('1', 'a'), ('2', 'b')")
+    session.create_checkpoint()
+    assert session.sql("select * from change where schema_key = 'task'").count() == 2
+    commits = {r[0] for r in session.sql("select id from change where schema_key = 'commit'").collect()}
+    assert commits == set(repo.meta.commits)
+
+
+def test_files_and_directories_in_sql(session, repo):
+    head = session.head
+    got = session.sql("insert into file (path, content) values ('/docs/a/x.txt', 'one'), ('/y.txt', 'two')")
+    assert got.rows_affected == 2 and repo.graph().parents[session.head] == [head]
+    session.sql("insert into directory (path) values ('/docs/b')")
+    assert [r[0] for r in session.sql("select path from directory order by path").collect()] == ["/docs", "/docs/a", "/docs/b"]
+    assert session.sql("update file set content = 'three' where path = '/y.txt'").rows_affected == 1
+    assert {r[0]: bytes(r[1]) for r in session.sql("select path, content from file").collect()} == {"/docs/a/x.txt": b"one", "/y.txt": b"three"}
+    session.sql("update file set path = '/docs/b/z.txt' where path like '/y%'")
+    for text, error in (("insert into file (path, content) values ('/docs/b/z.txt', '')", E.UniqueViolation), ("insert into file (path) values ('/q')", E.ColumnNotFound), ("delete from file where path > '/'", E.UnsupportedSql)):
+        with pytest.raises(error):
+            session.sql(text)
+    before = session.head
+    assert session.sql("delete from directory where path = '/docs/b'").rows_affected == 2
+    assert repo.graph().parents[session.head] == [before]
+    assert [r[0] for r in session.sql("select path from file").collect()] == ["/docs/a/x.txt"]
+    assert session.sql("delete from file where path = '/nothing'").rows_affected == 0
+
+
+def test_composed_history(session, repo):
+    files = Files(session)
+    one = files.write("/docs/in/x.txt", b"1")
+    made = session.head
+    files.write("/docs/in/x.txt", b"2")
+    changed = session.head
+    session.update("directory_descriptor", {"name": F.lit("texts")}, F.col("name") == "docs")
+    renamed = session.head
+    other = files.write("/other.txt", b"3")
+    rows = {(r["id"], r["commit_id"]): r for r in session.sql("select * from history('file')").collect()}
+    assert {c for i, c in rows if i == one} == {made, changed, renamed} and {c for i, c in rows if i == other} == {session.head}
+    causes = lambda c: [x["schema_key"] for x in json.loads(rows[one, c]["source_changes"])]
+    assert sorted(causes(made)) == ["blob_ref", "directory_descriptor", "directory_descriptor", "file_descriptor"]
+    assert causes(changed) == ["blob_ref"] and causes(renamed) == ["directory_descriptor"]
+    ids = [x["change_id"] for x in json.loads(rows[one, made]["source_changes"])]
+    assert ids == sorted(ids)
+    assert session.history("file", changed).filter(F.col("id") == one).count() == 2
+    names = {r["id"]: r["name"] for r in session._typed("directory_descriptor").collect()}
+    revised = {(names[r["id"]], r["commit_id"]) for r in session.sql("select * from history('directory')").collect()}
+    assert revised == {("texts", made), ("in", made), ("texts", renamed), ("in", renamed)}
+
+
+def test_scripts(session, repo):
+    head = session.head
+    session.script("begin; insert into task (id, title) values ('1', 'a;b'); update task set n = 3 where id = '1'; commit;")
+    assert repo.graph().parents[session.head] == [head] and table(session)["1"]["n"] == 3 and table(session)["1"]["title"] == "a;b"
+    for text in ("begin; delete from task", "begin; savepoint x; commit", "rollback"):
+        with pytest.raises(E.UnsupportedSql):
+            session.script(text)
+    assert len(session.script("select 1; select 2")) == 2
