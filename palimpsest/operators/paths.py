@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.errors import InvalidPath
-from palimpsest.sources.store import stored
+from palimpsest.sources.store import local, stored
 
 MAX_DEPTH = 256
+#: Directories up to which paths are made on the driver.
+FEW = 20_000
 
 
 def segments(path: str) -> list[str]:
@@ -23,12 +25,34 @@ def segments(path: str) -> list[str]:
     return parts
 
 
+def _few(directories: DataFrame) -> list | None:
+    """(id, parent_id, name) of all directories where these are at most ``FEW``; one job instead of one a level."""
+    rows = directories.select("id", "parent_id", "name").limit(FEW + 1).collect()
+    return rows if len(rows) <= FEW else None
+
+
+def _paths_of(directories: DataFrame, rows: list) -> DataFrame:
+    below: dict = {}
+    for r in rows:
+        below.setdefault(r["parent_id"], []).append(r)
+    found, layer, depth = [], [(r["id"], "/" + r["name"]) for r in below.get(None, []) if r["name"] is not None], 1
+    while layer:
+        if depth > MAX_DEPTH:
+            raise InvalidPath(f"more than {MAX_DEPTH} levels")
+        found += [(i, path, depth) for i, path in layer]
+        layer, depth = [(r["id"], f"{path}/{r['name']}") for i, path in layer if i is not None for r in below.get(i, []) if r["name"] is not None], depth + 1
+    return local(directories.sparkSession, found, f"id {directories.schema['id'].dataType.simpleString()}, path string, depth int")
+
+
 def directory_paths(directories: DataFrame) -> DataFrame:
     """(id, path, depth) of directories (id, parent_id, name), from the roots down, a level at a time.
 
     Directories that hang on themselves or on nothing never get a path; a chain of
     more than ``MAX_DEPTH`` is an error.
     """
+    few = _few(directories)
+    if few is not None:
+        return _paths_of(directories, few)
     layer = stored(directories.filter("parent_id is null").select("id", F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth")))
     found, depth = layer, 1
     while not layer.isEmpty():
@@ -54,6 +78,20 @@ def file_paths(files: DataFrame, directories: DataFrame) -> DataFrame:
 
 def descendants(directories: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, depth) of the given directories (id) and all below them, each once."""
+    few = _few(directories.select("id", "parent_id", F.lit("").alias("name")))
+    start = roots.select("id").distinct().limit(FEW + 1).collect() if few is not None else None
+    if few is not None and len(start) <= FEW:
+        below: dict = {}
+        for r in few:
+            below.setdefault(r["parent_id"], []).append(r["id"])
+        depths = {r["id"]: 0 for r in start}
+        queue = list(depths)
+        for i in queue:
+            for child in below.get(i, ()) if i is not None else ():
+                if child not in depths:
+                    depths[child] = depths[i] + 1
+                    queue.append(child)
+        return local(directories.sparkSession, list(depths.items()), f"id {directories.schema['id'].dataType.simpleString()}, depth int")
     layer = stored(roots.select("id", F.lit(0).alias("depth")).distinct())
     found, depth = layer, 0
     while not layer.isEmpty():
