@@ -320,3 +320,37 @@ def mask(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)
+
+
+def base_query(spark, sf_dir: str) -> DataFrame:
+    """The base spans' counts and digest, without those that the transducers add."""
+    return query(spark, sf_dir).drop("spans")
+
+
+#: Base spans in DuckDB; a match starts behind the lengths of all stretches between matches, and of the matches, before it.
+BASE_ORACLE = """
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+k(kind, nr, p) as (values
+  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'),
+  ('ip', 1, '[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)'),
+  ('card', 2, '[0-9](?:[ -]?[0-9])+'),
+  ('phone', 3, '\\+[0-9][ ().0-9-]+[0-9]')),
+m as (select r, kind, nr, regexp_extract_all(text, p) as found, string_split_regex(text, p) as rest from d, k),
+s as (
+  select r, kind, nr, found[i] as t, regexp_replace(found[i], '[^0-9]', '', 'g') as n,
+         cast(list_sum(list_transform(rest[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as bigint) as a
+  from m, unnest(range(1, len(found) + 1)) as u(i)),
+good as (
+  select r, kind, nr, a, a + length(t) as b from s
+  where case kind
+    when 'email' then true
+    when 'ip' then list_bool_and(list_transform(string_split(t, '.'), lambda x: coalesce(try_cast(x as hugeint) <= 255, false)))
+    when 'card' then length(n) between 14 and 19 and list_sum(list_transform(range(1, length(n) + 1), lambda j:
+      cast(substr(n, length(n) - j + 1, 1) as int) * (1 + (j - 1) % 2) - case when cast(substr(n, length(n) - j + 1, 1) as int) * (1 + (j - 1) % 2) > 9 then 9 else 0 end)) % 10 = 0
+    else length(n) between 10 and 15 end),
+c as (
+  select r, count(*) filter (nr = 0) as n_email, count(*) filter (nr = 1) as n_ip, count(*) filter (nr = 2) as n_card, count(*) filter (nr = 3) as n_phone,
+         string_agg(kind || ':' || a || ':' || b, ',' order by a, nr) as spans from good group by r)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
+       sha256(coalesce(spans, '')) as base_sha256 from d left join c using (r)
+"""

@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_token_counts": token_counts.query,
     "language_id_pages": langid.pages_query,
+    "personal_data_base": pii.base_query,
     "bpe_round_trip": bpe.round_trip_query,
     "lm_tokens": ppm.tokens_query,
 }
@@ -25,6 +26,7 @@ ORACLES: dict[str, str] = {
     "op4_benchmark_decontamination": decontaminate.ORACLE,
     "op5_vector_dedup": vector_dedup.ORACLE,
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
+    "personal_data_base": pii.BASE_ORACLE,
     "bpe_round_trip": bpe.ROUND_TRIP_ORACLE,
     "lm_tokens": ppm.TOKENS_ORACLE,
 }
