@@ -1,9 +1,12 @@
 """The corpus operators against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import contextlib
 import hashlib
 import math
+import os
 import random
 import re
+import threading
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -493,6 +496,48 @@ def test_vectors_in_blobs(spark, monkeypatch, shard, part):
     assert sum(got[i]["component_id"] == r for i, r in enumerate(low.tolist())) >= 0.99 * len(v)
 
 
+@pytest.mark.parametrize("part", [6_000, 150])
+def test_vectors_of_many_cells_take_little_disk(spark, monkeypatch, part):
+    """Unstructured vectors with some near copies: what is on disk at once follows the input, not the cells that a vector is near to."""
+    monkeypatch.setattr(vector_dedup, "SHARD", 50)
+    monkeypatch.setattr(vector_dedup, "PART", part)
+    monkeypatch.setattr(vector_dedup, "LEAST_ROUND", 1, raising=False)
+    monkeypatch.setattr(vector_dedup, "WHOLE", 1, raising=False)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(4_000, 64))
+    v[2_000:3_000] = v[:1_000] + rng.normal(size=(1_000, 64)) * 0.13
+    v = v.astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98).sum(1) - 1
+    embeddings = vector_dedup.stored(spark.createDataFrame(list(zip(range(len(v)), v.tolist(), [1] * len(v))), "vec_id bigint, embedding array<float>, label int"))
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()] + [spark.conf.get("spark.checkpoint.dir").removeprefix("file://")]
+    start, peak, done = time.time(), 0, threading.Event()
+
+    def watch():
+        nonlocal peak
+        while not done.wait(0.02):
+            now = 0
+            for top in folders:
+                for folder, _, names in os.walk(top):
+                    for name in names:
+                        with contextlib.suppress(FileNotFoundError):
+                            at = os.stat(os.path.join(folder, name))
+                            now += at.st_size * (at.st_mtime >= start)
+            peak = max(peak, now)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(embeddings).collect()}
+    finally:
+        done.set()
+        watcher.join()
+    assert links.sum() > 1_500
+    assert sum(got.values()) >= 0.99 * links.sum()
+    assert all(got[i] <= n for i, n in enumerate(links))
+    assert peak < 8 * v.nbytes
+
+
 def test_vectors_are_compared_in_double_precision(spark):
     a = np.array([1.0, 0.0])
     b = np.array([0.98, math.sqrt(1 - 0.98**2) * (1 + 1e-10)])
