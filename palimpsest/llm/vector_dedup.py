@@ -295,25 +295,28 @@ def joining(vectors: np.ndarray, place: np.ndarray, cosines: np.ndarray, rows: n
     more_a, more_b, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(n)
 
     def join(a, b, cosine):
-        """Joins parts along the best of their edges that lead outside; whether there were any."""
+        """Joins parts along the best of their edges that lead outside, and returns these edges."""
         nonlocal low
         out = np.flatnonzero(low[a] != low[b])
-        if not len(out):
-            return False
         a, b, cosine = a[out], b[out], cosine[out]
+        if not len(out):
+            return a, b, cosine
         order = np.lexsort((-cosine, low[a]))
         best = order[np.unique(low[a][order], return_index=True)[1]]
         more_a.append(a[best]), more_b.append(b[best])
         low = _lowest(n, low[a[best]], low[b[best]])[low]
-        return True
+        return a, b, cosine
+
+    own = np.zeros(n, bool)
+    own[rows] = True
 
-    def known(least):
-        i, j = np.nonzero(cosines >= least)
+    def known(some):
+        i, j = np.nonzero(some)
         a, b, cosine = rows[i], place[i, j], cosines[i, j]
         if len(rows) < n:  # what isn't among the rows joins as well
             a, b, cosine = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([cosine, cosine])
-        while join(a, b, cosine):
-            pass
+        while len(a):
+            a, b, cosine = join(a, b, cosine)
 
     def dense(rows, least):
         while (low[rows] != low[rows][:1]).any():
@@ -324,10 +327,10 @@ def joining(vectors: np.ndarray, place: np.ndarray, cosines: np.ndarray, rows: n
                 other[k : k + 512] = np.argmax(cosine, 1)
                 best[k : k + 512] = cosine[np.arange(len(cosine)), other[k : k + 512]]
             good = best >= least
-            if not good.any() or not join(rows[good], rows[other[good]], best[good]):
+            if not good.any() or not len(join(rows[good], rows[other[good]], best[good])[0]):
                 break
 
-    known(threshold)
+    known(cosines >= threshold)
     full = rows[cosines[:, -1] >= threshold - 1e-5] if cosines.shape[1] else rows[:0]
     linked = np.zeros(n, bool)
     linked[full] = True
@@ -335,7 +338,7 @@ def joining(vectors: np.ndarray, place: np.ndarray, cosines: np.ndarray, rows: n
         for k in range(0, len(full), 128):
             linked |= (v[full[k : k + 128]] @ v.T >= threshold - 1e-5).any(0)
     dense(np.flatnonzero(linked), threshold - 1e-5)
-    known(-1)
+    known(own[place])
     dense(rows, -1)
     return np.concatenate(more_a), np.concatenate(more_b)
 
